@@ -46,10 +46,13 @@ def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each window occurs twice or more; the windows' group numbers and the groups' counts."""
-    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    return counts[inverse] > 1, inverse, counts
+def _repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each window occurs twice or more, and is not the first; the windows' groups and the groups' counts."""
+    _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    dup = counts[inverse] > 1
+    later = dup.copy()
+    later[first] = False
+    return dup, later, inverse, counts
 
 
 def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -88,13 +91,12 @@ def measure(text: str | None) -> tuple:
             for n, limit in REPEATED_NGRAM.items():
                 if total < n:
                     break
-                dup, _, _ = _repeated(_rolling(codes, n))
+                dup, later, _, _ = _repeated(_rolling(codes, n))
                 if not dup.any():
                     break  # longer windows cannot repeat either
-                inside = _covered(dup, n, total)
                 if n == 5:
-                    repeat_words = int(inside.sum())
-                share = float(length[inside].sum()) / chars
+                    repeat_words = int(_covered(dup, n, total).sum())
+                share = float(length[_covered(later, n, total)].sum()) / chars
                 repeat = max(repeat, share)
                 if share > limit and not failed:
                     failed = f"repeated_{n}gram"
@@ -102,7 +104,7 @@ def measure(text: str | None) -> tuple:
             for n, limit in TOP_NGRAM.items():
                 if total < n:
                     break
-                dup, inverse, counts = _repeated(_rolling(codes, n))
+                dup, _, inverse, counts = _repeated(_rolling(codes, n))
                 if not dup.any():
                     break
                 # of the most frequent windows, the one with most characters
