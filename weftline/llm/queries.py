@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash
-from .common import read_table
+from . import bpe, exact_dedup, mixing, quality_rules, simhash
+from .common import read_table, stored
 
 BPE_FILE = "word_bpe_49k.json"
 
@@ -19,11 +19,25 @@ def _bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sizes = stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
+    plan = mixing.planned(sizes, size=F.col("size")).select("doc_id", "_mix.*").drop("copies")
+    return plan.orderBy("position", "doc_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest_documents(docs, _bpe_path()).drop("text")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    # two snapshots and the batch after them, dealt by the id's hash; all rows are in one of them
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    return exact_dedup.dedup(docs, arrival, 3).drop("snapshot")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.with_quality(docs).drop("text")
@@ -36,9 +50,54 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": r"""
+        WITH sizes AS (
+          SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                 md5(concat('mix:', coalesce(doc_id::VARCHAR, 'null'))) AS ord
+          FROM documents),
+        by_source AS (
+          SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+          FROM sizes GROUP BY source),
+        weighted AS (SELECT *, ([5, 2, 1])[(place % 3 + 1)::INT]::BIGINT AS weight, 2 * source_size AS cap FROM by_source),
+        levels AS (
+          SELECT *, (sum(source_size) OVER () * 3 / 2::DOUBLE - coalesce(sum(cap) OVER before, 0))
+                    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+          FROM weighted
+          WINDOW before AS (ORDER BY cap / weight::DOUBLE, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        targets AS (
+          SELECT source, place, source_size,
+                 CASE WHEN cap / weight::DOUBLE > level
+                      THEN max(CASE WHEN cap / weight::DOUBLE > level THEN level END) OVER () * weight ELSE cap::DOUBLE END AS target
+          FROM levels),
+        begun AS (
+          SELECT doc_id, size, source_size, target, place,
+                 coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
+          FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        shares AS (
+          SELECT *, greatest(0, least(size, floor(target)::BIGINT - b)) + greatest(0, least(size, floor(target)::BIGINT - b - source_size)) AS taken,
+                 b / target AS y
+          FROM begun)
+        SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+               CASE WHEN taken = 0 THEN NULL
+                    WHEN place % 3 = 0 THEN 2.0 * y / (1.5 + sqrt(2.25::DOUBLE + -2.0::DOUBLE * y))
+                    WHEN place % 3 = 1 THEN 2.0 * y / (1.0 + sqrt(1.0::DOUBLE + 0.0::DOUBLE * y))
+                    WHEN y < 0.3125 / 1.0 THEN 2.0 * y / (0.5 + sqrt(0.25::DOUBLE + 1.0::DOUBLE * y))
+                    ELSE 0.5 + 2.0 * (y - 0.3125) / (0.75 + sqrt(0.5625::DOUBLE + 5.0::DOUBLE * greatest(y - 0.3125, 0.0))) END AS position
+        FROM shares""",
+    "op5_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AND row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AS kept,
+               text_sha256
+        FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+}
