@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_rules, simhash
+from . import bpe, exact_dedup, license_scan, mixing, quality_rules, sharding, simhash
 from .common import read_table, stored
 
 BPE_FILE = "word_bpe_49k.json"
+SHARDS = 40
 
 
 def _bpe_path() -> str:
@@ -49,14 +50,47 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_sharding": op9_sharding,
+    "op10_license_scan": op10_license_scan,
 }
 
+def _license_sql() -> str:
+    plain = f"regexp_replace(regexp_replace(unit, '{license_scan.COPYRIGHT_LINE}', '', 'g'), '{license_scan.MARKS}', ' ', 'g')"
+    plain = f"' ' || trim({plain}) || ' '"
+    for one, other in license_scan.SPELLINGS:
+        plain = f"replace({plain}, ' {one} ', ' {other} ')"
+    known = ", ".join(f"('{d}', '{n}')" for d, n in license_scan.known_digests())
+    return f"""
+        WITH known(digest, license) AS (VALUES {known}),
+        docs AS (SELECT doc_id, row_number() OVER () AS r, {_LOWER} AS low FROM documents),
+        units AS (
+          SELECT r, 'text' AS kind, low AS unit FROM docs
+          UNION ALL SELECT r, 'block', unnest(b) FROM (SELECT r, regexp_split_to_array(low, '\n[ \t]*\n') AS b FROM docs) WHERE len(b) > 1
+          UNION ALL SELECT r, 'line', unnest(b) FROM (SELECT r, string_split(low, chr(10)) AS b FROM docs) WHERE len(b) > 1),
+        hits AS (
+          SELECT r, kind, license FROM (SELECT r, kind, sha256(trim({plain})) AS digest FROM units WHERE regexp_matches(unit, '{license_scan.ANCHOR}'))
+          JOIN known USING (digest)),
+        found AS (
+          SELECT r, max(license) FILTER (kind = 'text') AS text_license, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+                 greatest(count(*) FILTER (kind = 'text'), count(*) FILTER (kind = 'block'), count(*) FILTER (kind = 'line')) AS n
+          FROM hits GROUP BY r)
+        SELECT doc_id, text_license, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_notices FROM docs LEFT JOIN found USING (r)"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,4 +134,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AND row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AS kept,
                text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op10_license_scan": _license_sql(),
 }
