@@ -7,19 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality_rules, sharding, simhash
 from .common import read_table, stored
 
 BPE_FILE = "word_bpe_49k.json"
 SHARDS = 40
 
 
-def _bpe_path() -> str:
+def bpe_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(BPE_FILE)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs)
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "n_lines", "n_kept", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sizes = stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
@@ -29,7 +36,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest_documents(docs, _bpe_path()).drop("text")
+    return bpe.digest_documents(docs, bpe_path()).drop("text")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +66,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op5_exact_dedup": op5_exact_dedup,
