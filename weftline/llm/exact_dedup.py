@@ -12,6 +12,7 @@ groups without any id. An empty table gives an empty result. Other columns, what
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, small, stored
 
 #: Digests of a filter, on average at most.
 KEYS_PER_BUCKET = 2048
@@ -104,30 +105,46 @@ def _bucketed(groups: DataFrame, buckets: int) -> DataFrame:
     return groups.withColumn("key", key).withColumn("bucket", F.col("key").bitwiseAND(F.lit(buckets - 1)))
 
 
-def snapshot_filters(entries: DataFrame, snapshot: int, buckets: int) -> DataFrame:
-    """One binary-fuse filter for each bucket of an immutable snapshot's distinct digests."""
+def _gathered(groups: DataFrame, buckets: int) -> DataFrame:
+    """One row for each bucket with its keys and digests, KEYS_PER_BUCKET on average: digests are distinct and spread evenly."""
+    each = F.collect_list(F.struct("key", "digest")).alias("each")
+    return _bucketed(groups.select("digest"), buckets).groupBy("bucket").agg(each)
 
-    def build(keys: pd.DataFrame) -> pd.DataFrame:
-        f = BinaryFuse.build(keys["key"].drop_duplicates().to_numpy().astype(np.uint64))
-        row = (int(keys["bucket"].iloc[0]), snapshot, np.uint64(f.seed).view(np.int64), f.segment, f.segments, f.table.tobytes())
-        return pd.DataFrame([row], columns=["bucket", "snapshot", "seed", "segment", "segments", "cells"])
 
-    schema = "bucket long, snapshot int, seed long, segment long, segments long, cells binary"
-    return _bucketed(entries, buckets).select("bucket", "key").groupBy("bucket").applyInPandas(build, schema)
+def _unsigned(keys: np.ndarray) -> np.ndarray:
+    return np.asarray(keys, dtype=np.int64).view(np.uint64)
 
 
-def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The (digest, snapshot) pairs that the filters let through: all true ones and about 1 in 256 of the others."""
+def _built(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for lists in parts:
+        made = [BinaryFuse.build(np.unique(_unsigned(keys))) for keys in lists]
+        rows = [(np.uint64(f.seed).view(np.int64), f.segment, f.segments, f.table.tobytes()) for f in made]
+        yield pd.DataFrame(rows, columns=["seed", "segment", "segments", "cells"])
+
 
-    def pick(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        keys, out = batch["key"].to_numpy().astype(np.uint64), []
-        for row in filters.itertuples():
+def _contained(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+    for lists, filters in parts:
+        out = []
+        for keys, row in zip(lists, filters.itertuples()):
             f = BinaryFuse(int(np.int64(row.seed).view(np.uint64)), row.segment, row.segments, np.frombuffer(row.cells, np.uint8))
-            out.append(pd.DataFrame({"digest": batch["digest"][f.contains(keys)], "snapshot": row.snapshot}))
-        return pd.concat(out) if out else pd.DataFrame({"digest": [], "snapshot": []})
+            out.append(f.contains(_unsigned(keys)))
+        yield pd.Series(out, dtype=object)
+
 
-    left = _bucketed(groups.select("digest"), buckets).groupBy("bucket")
-    return left.cogroup(filters.groupBy("bucket")).applyInPandas(pick, "digest string, snapshot int")
+def snapshot_filters(entries: DataFrame, snapshot: int, buckets: int) -> DataFrame:
+    """One binary-fuse filter for each bucket of an immutable snapshot's distinct digests."""
+    build = F.pandas_udf(_built, "seed long, segment long, segments long, cells binary")
+    gathered = _gathered(entries, buckets)
+    return gathered.select("bucket", F.lit(snapshot).alias("snapshot"), build(F.transform("each", lambda x: x["key"])).alias("filter"))
+
+
+def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
+    """The (digest, snapshot) pairs that the filters let through: all true ones and about 1 in 256 of the others."""
+    contained = F.pandas_udf(_contained, "array<boolean>")
+    tested = _gathered(groups, buckets).join(filters, "bucket")
+    tested = tested.withColumn("in", contained(F.transform("each", lambda x: x["key"]), F.col("filter")))
+    pairs = tested.select("snapshot", F.inline(F.arrays_zip(F.transform("each", lambda x: x["digest"]).alias("digest"), F.col("in"))))
+    return pairs.where("in").select("digest", "snapshot")
 
 
 def dedup(docs: DataFrame, arrival: Column, batches: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -174,7 +191,8 @@ def _same_bytes(plain: DataFrame, hits: DataFrame, number: int) -> DataFrame:
 
     Both are partial aggregates, so that each task sends one text of a digest however many copies it has.
     """
-    texts = plain.withColumn("digest", F.sha2("plain", 256)).join(hits, "digest")
+    rows = hits.count()
+    texts = plain.withColumn("digest", F.sha2("plain", 256)).join(small(hits, rows), "digest")
     texts = texts.where((F.col("batch") == number) | (F.col("batch") == F.col("snapshot")))
     ends = texts.groupBy("digest", "snapshot").agg(F.min("plain").alias("low"), F.max("plain").alias("high"))
     return ends.where("low = high").select("digest", "snapshot")
