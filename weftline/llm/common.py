@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Tables of at most this many rows of two numbers may be broadcast (some 16 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+CUT_ROUNDS = 4
 
 _own_dirs: dict[str, str] = {}
 
@@ -39,9 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep df in the executors' memory or on their disks; what a lost executor held is computed again.
+
+    For intermediate rows of a few numbers that are read more than once. Writing them would cost a file, and a local
+    file system's permission call, for each of their many small partitions.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that stored() made, once nothing reads them any more."""
+    """Drop what held() or stored() made, once nothing reads it any more."""
     spark, path = df.sparkSession, getattr(df, "_weftline_path", None)
+    df.unpersist()
     if path:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -61,12 +73,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is a partial aggregate for the
     smallest neighbour and an equi-join back, so a hub of any degree is split by adaptive execution. Rounds end when
-    the set of edges no longer changes; each is written to the shared folder.
+    the set of edges no longer changes; every CUT_ROUNDS the edges are written to the shared folder, to cut the lineage.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    pairs = stored(pairs, "edges")
+    pairs = held(pairs)
     mark = _mark(pairs)
+    rounds = 0
     while mark[0]:
+        rounds += 1
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -74,10 +88,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
         smaller = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("k", "m"))
-        after = stored(smaller.distinct(), "edges")
-        discard(pairs)
-        pairs, before = after, mark
-        if (mark := _mark(pairs)) == before:
+        after = smaller.distinct()
+        after = held(after) if rounds % CUT_ROUNDS else stored(after, "edges")
+        pairs_before, pairs, before = pairs, after, mark
+        mark = _mark(pairs)
+        discard(pairs_before)
+        if mark == before:
             break
     roots = pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

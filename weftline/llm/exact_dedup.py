@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, stored
+from .common import ascii_lower, held, small
 
 #: Digests of a filter, on average at most.
 KEYS_PER_BUCKET = 2048
@@ -153,7 +153,7 @@ def dedup(docs: DataFrame, arrival: Column, batches: int, text: str = "text", do
     arrival gives each row's batch, 0 to batches - 1; batches are ingested in that order.
     """
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), arrival.cast("int").alias("batch"), normalised(F.col(f"`{text}`")).alias("plain"))
-    digests = stored(plain.select("doc_id", "batch", F.sha2("plain", 256).alias("digest")), "digests")
+    digests = held(plain.select("doc_id", "batch", F.sha2("plain", 256).alias("digest")))
     rows = digests.count()
     buckets = 1
     while buckets * KEYS_PER_BUCKET < rows / batches:
@@ -164,19 +164,19 @@ def dedup(docs: DataFrame, arrival: Column, batches: int, text: str = "text", do
     for number in range(batches):
         # the batch's own duplicates, grouped apart from any snapshot
         groups = digests.where(F.col("batch") == number).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-        groups = stored(groups, "batch")
+        groups = held(groups)
         if known:
             positives = screen(groups, reduce(DataFrame.union, filters), buckets)
-            hits = stored(positives.join(reduce(DataFrame.union, known), ["digest", "snapshot"]), "hits")
+            hits = held(positives.join(reduce(DataFrame.union, known), ["digest", "snapshot"]))
             matched = _same_bytes(plain, hits, number)
-            groups = stored(groups.join(matched, "digest", "left"), "matched")
+            groups = held(groups.join(matched, "digest", "left"))
         else:
             groups = groups.withColumn("snapshot", F.lit(None).cast("int"))
         fresh = groups.where("snapshot is null").select("digest", F.lit(number).alias("snapshot"))
         known.append(fresh)
-        filters.append(stored(snapshot_filters(fresh, number, buckets), "filters"))
+        filters.append(held(snapshot_filters(fresh, number, buckets)))
         ingested.append(groups.select(F.lit(number).alias("batch"), "digest", F.coalesce("snapshot", F.lit(number)).alias("snapshot"), "keep_id", "n"))
-    every = stored(reduce(DataFrame.union, ingested), "ingested")
+    every = reduce(DataFrame.union, ingested)
     whole = every.groupBy("digest", "snapshot").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     classes = every.select("batch", "digest", "snapshot").join(whole, ["digest", "snapshot"])
     found = digests.join(classes, ["batch", "digest"])

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, held
 
 #: Times of training and a source's weight there; more at the start, level, more at the end.
 EARLY, LEVEL, LATE = ((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0))
@@ -92,7 +92,7 @@ def planned(docs: DataFrame, mix: Mix = Mix(), size: Column | None = None, text:
     rows = rows.withColumn("_mix_run", F.substring("_mix_order", 1, mix.run_digits))
     # a key that is never null, for joins
     key = F.coalesce(F.concat(F.lit("="), F.col("_mix_source")), F.lit("null"))
-    runs = stored(rows.groupBy("_mix_source", "_mix_run").agg(F.sum("_mix_size").alias("_mix_size")), "runs")
+    runs = held(rows.groupBy("_mix_source", "_mix_run").agg(F.sum("_mix_size").alias("_mix_size")))
     targets = source_targets(runs, mix)
     ahead = Window.partitionBy("_mix_source").orderBy("_mix_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_mix_base", F.coalesce(F.sum("_mix_size").over(ahead), F.lit(0)))

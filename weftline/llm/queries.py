@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality_rules, sharding, simhash
-from .common import read_table, stored
+from .common import held, read_table
 
 BPE_FILE = "word_bpe_49k.json"
 SHARDS = 40
@@ -29,7 +29,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    sizes = stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
+    sizes = held(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
     plan = mixing.planned(sizes, size=F.col("size")).select("doc_id", "_mix.*").drop("copies")
     return plan.orderBy("position", "doc_id")
 

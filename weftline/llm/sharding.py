@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, held
 
 #: Cells of a rank; a number that does not grow, so that their counts stay a small table.
 CELLS = 1024
@@ -61,27 +61,27 @@ def label_propagation(rows: DataFrame, shards: int, rounds: int = 4) -> DataFram
     state = linked.withColumn("hub", hub).drop("n")
     spread = F.coalesce(F.col("hub"), F.xxhash64("doc_id", F.lit("alone")))
     state = state.withColumn("cell", F.pmod(F.xxhash64(spread), F.lit(CELLS)).cast("int"))
-    state = stored(state.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(shards)).cast("int")), "state")
+    state = held(state.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(shards)).cast("int")))
     order = ["hub", "doc_id", *[c for c in state.columns if c not in ("hub", "doc_id", "cell", "shard")]]
     cut = None
     for number in range(rounds):
         votes = state.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
         # ties go by hash, so that they spread over shards
         want = votes.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("want"))
-        moved = stored(state.join(want, "hub", "left"), "moved")
+        moved = held(state.join(want, "hub", "left"))
         asking = ranked(moved.where("want is not null"), ["want"], order, "at")
         full = F.element_at(F.array(*map(F.lit, quota)), F.col("want") + 1)
-        placed = stored(asking.withColumn("granted", F.col("at") < full).drop("at"), "asked")
+        placed = held(asking.withColumn("granted", F.col("at") < full).drop("at"))
         taken = dict(placed.where("granted").groupBy("want").count().collect())  # a number for each shard
         free = [q - taken.get(s, 0) for s, q in enumerate(quota)]
         rest = placed.where("not granted").drop("granted").unionByName(moved.where("want is null"))
         filled = ranked(rest.withColumn("all", F.lit(0)), ["all"], order, "at")
         filled = filled.withColumn("shard", _place(free, F.col("at")).cast("int")).drop("all", "at", "want")
         after = placed.where("granted").withColumn("shard", F.col("want")).drop("granted", "want").unionByName(filled)
-        after = stored(after, "state")
+        after = held(after)
+        now = cut_links(after)
         discard(moved)
         discard(placed)
-        now = cut_links(after)
         if cut is not None and now >= cut:
             discard(after)
             break
@@ -105,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int, text: str = "text", doc_id: st
         F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(whole) + 16).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole, F.octet_length(whole)).alias("hub"),
     )
-    state = label_propagation(stored(rows, "rows"), shards)
+    state = label_propagation(held(rows), shards)
     state = state.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(CELLS)).cast("int"))
     slots = ranked(state, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, held
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -93,11 +93,11 @@ def near_pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
-    prints = stored(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")))
+    classes = held(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_pairs(classes.select("fp"), tau))
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "roots")
+    named = held(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = named.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
