@@ -14,7 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Tables of at most this many rows of two numbers may be broadcast (some 16 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-CUT_ROUNDS = 4
+#: Rows of a few numbers in a file of a written table.
+FILE_ROWS = 500_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -31,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="weftline-"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    rows, when known, bounds the number of rows from above and so the number of files that are worth writing.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -44,8 +50,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def held(df: DataFrame) -> DataFrame:
     """Keep df in the executors' memory or on their disks; what a lost executor held is computed again.
 
-    For intermediate rows of a few numbers that are read more than once. Writing them would cost a file, and a local
-    file system's permission call, for each of their many small partitions.
+    For intermediate rows of a few numbers that are read more than once, outside of loops. Writing them would cost a
+    file, and a local file system's permission call, for each of their many small partitions.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -73,14 +79,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is a partial aggregate for the
     smallest neighbour and an equi-join back, so a hub of any degree is split by adaptive execution. Rounds end when
-    the set of edges no longer changes; every CUT_ROUNDS the edges are written to the shared folder, to cut the lineage.
+    the set of edges no longer changes; each round's edges are written to the shared folder, which cuts the lineage.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     pairs = held(pairs)
     mark = _mark(pairs)
-    rounds = 0
     while mark[0]:
-        rounds += 1
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -88,8 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
         smaller = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("k", "m"))
-        after = smaller.distinct()
-        after = held(after) if rounds % CUT_ROUNDS else stored(after, "edges")
+        after = stored(smaller.distinct(), "edges", mark[0])
         pairs_before, pairs, before = pairs, after, mark
         mark = _mark(pairs)
         discard(pairs_before)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, held, small
+from .common import ascii_lower, held, small, stored
 
 #: Digests of a filter, on average at most.
 KEYS_PER_BUCKET = 2048
@@ -164,17 +164,17 @@ def dedup(docs: DataFrame, arrival: Column, batches: int, text: str = "text", do
     for number in range(batches):
         # the batch's own duplicates, grouped apart from any snapshot
         groups = digests.where(F.col("batch") == number).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-        groups = held(groups)
         if known:
+            groups = held(groups)
             positives = screen(groups, reduce(DataFrame.union, filters), buckets)
             hits = held(positives.join(reduce(DataFrame.union, known), ["digest", "snapshot"]))
             matched = _same_bytes(plain, hits, number)
-            groups = held(groups.join(matched, "digest", "left"))
+            groups = stored(groups.join(matched, "digest", "left"), "batch", rows)
         else:
-            groups = groups.withColumn("snapshot", F.lit(None).cast("int"))
+            groups = stored(groups.withColumn("snapshot", F.lit(None).cast("int")), "batch", rows)
         fresh = groups.where("snapshot is null").select("digest", F.lit(number).alias("snapshot"))
         known.append(fresh)
-        filters.append(held(snapshot_filters(fresh, number, buckets)))
+        filters.append(stored(snapshot_filters(fresh, number, buckets), "filters", rows))
         ingested.append(groups.select(F.lit(number).alias("batch"), "digest", F.coalesce("snapshot", F.lit(number)).alias("snapshot"), "keep_id", "n"))
     every = reduce(DataFrame.union, ingested)
     whole = every.groupBy("digest", "snapshot").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality_rules, sharding, simhash, toxicity
 from .common import held, read_table
 
 BPE_FILE = "word_bpe_49k.json"
@@ -39,6 +39,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, bpe_path()).drop("text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).drop("text")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     # two snapshots and the batch after them, dealt by the id's hash; all rows are in one of them
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,

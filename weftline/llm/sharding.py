@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, held
+from .common import discard, held, stored
 
 #: Cells of a rank; a number that does not grow, so that their counts stay a small table.
 CELLS = 1024
@@ -78,7 +78,7 @@ def label_propagation(rows: DataFrame, shards: int, rounds: int = 4) -> DataFram
         filled = ranked(rest.withColumn("all", F.lit(0)), ["all"], order, "at")
         filled = filled.withColumn("shard", _place(free, F.col("at")).cast("int")).drop("all", "at", "want")
         after = placed.where("granted").withColumn("shard", F.col("want")).drop("granted", "want").unionByName(filled)
-        after = held(after)
+        after = stored(after, "state", total)
         now = cut_links(after)
         discard(moved)
         discard(placed)
