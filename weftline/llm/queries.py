@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality_rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality_rules, sharding, simhash, toxicity
 from .common import held, read_table
 
 BPE_FILE = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_quality(docs).drop("text")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = simhash.near_duplicates(docs)
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_extract": op7_html_extract,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
