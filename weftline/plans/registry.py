@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import transform_queries
+
+PARTS = (transform_queries,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.oracle_sql().items()}
