@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import normalize_join, type_score
+from ..plans.tables import cut
 from .constraints import constraint_score
 from .names import join_name_score
 from .profile import cells, profiles, value_counts
@@ -60,12 +61,13 @@ def scored_pairs(columns: DataFrame, counts: DataFrame, profile: DataFrame, limi
     pairs = side("l_").join(side("r_"), F.col("l_table") < F.col("r_table"))
     pairs = pairs.withColumn("type_score", type_score(F.col("l_type"), F.col("r_type"))).where("type_score >= 0.20")
     pairs = pairs.withColumnsRenamed({"l_table": "lt", "l_column": "lc", "r_table": "rt", "r_column": "rc"})
-    valued = similarity(counts, profile, pairs.select(*KEY)).select(*KEY, "value_score")
+    pairs = cut(pairs, "typed-pairs")
+    valued = cut(similarity(counts, profile, pairs.select(*KEY)).select(*KEY, "value_score"), "values")
     pairs = pairs.join(valued, KEY, "left").withColumn("value_score", F.coalesce("value_score", F.lit(0.0)))
     keyed = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"{s}.{f}"), F.lit(False)) for s in ("l_meta", "r_meta") for f in ("is_pk", "is_fk")])
     pairs = pairs.where((F.col("value_score") >= 0.08) | keyed)
     score, reasons = constraint_score("l_meta", "r_meta")
-    pairs = pairs.withColumn("constraint_score", score).withColumn("reasons", reasons).where("constraint_score > 0")
+    pairs = cut(pairs.withColumn("constraint_score", score).withColumn("reasons", reasons), "constraints").where("constraint_score > 0")
     pairs = pairs.withColumn("name_score", join_name_score(F.col("lc"), F.col("rc")))
     raw = 0.30 * F.col("name_score") + 0.36 * F.col("value_score") + 0.14 * F.col("type_score") + 0.20 * F.col("constraint_score")
     related = F.array_contains("reasons", "pk_fk_relation")
@@ -85,7 +87,7 @@ def single_edges(pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.col("lt").alias("left_table"), F.array("lc").alias("left_cols"), F.col("rt").alias("right_table"), F.array("rc").alias("right_cols"),
         cardinality(lu, ru, limits.unique).alias("cardinality"), turned.alias("direction"), "confidence", "reasons", F.lit("single").alias("kind"),
         flag("l", "is_pk").alias("l_pk"), flag("r", "is_pk").alias("r_pk"))
-    return sibling_penalty(edges).drop("l_pk", "r_pk")
+    return sibling_penalty(cut(edges, "singles")).drop("l_pk", "r_pk")
 
 
 def sibling_penalty(edges: DataFrame) -> DataFrame:
@@ -165,10 +167,11 @@ def discover(tables: dict[str, DataFrame], columns: DataFrame, limits: Limits =
     wanted: dict[str, list[str]] = {}
     for r in columns.select("table", "column").collect():
         wanted.setdefault(r.table, []).append(r.column)
-    counts = value_counts(cells({k: tables[k] for k in wanted}, wanted)).persist()
-    profile = profiles(counts).persist()
-    pairs = scored_pairs(columns, counts, profile, limits).persist()
+    columns = cut(columns, "columns")
+    counts = cut(value_counts(cells({k: tables[k] for k in wanted}, wanted)), "counts")
+    profile = cut(profiles(counts), "profiles")
+    pairs = cut(scored_pairs(columns, counts, profile, limits), "pairs")
     edges = single_edges(pairs, limits)
     if composites:
         edges = edges.unionByName(composite_edges(tables, pairs, limits))
-    return best_edges(edges, limits).orderBy(F.desc("confidence"), "left_table", "right_table", "left_cols", "right_cols")
+    return best_edges(cut(edges, "edges"), limits).orderBy(F.desc("confidence"), "left_table", "right_table", "left_cols", "right_cols")

@@ -97,6 +97,10 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(either, F.lit(1)))
 
 
+def _any_opposite(a: Column, b: Column, known: Column) -> Column:
+    return F.exists(a, lambda t: F.coalesce(F.arrays_overlap(F.try_element_at(known, t), b), F.lit(False)))
+
+
 def conflicts(a: Column, b: Column) -> Column:
     """Kinds of conflict between two token arrays, sorted."""
     found = []
@@ -105,8 +109,7 @@ def conflicts(a: Column, b: Column) -> Column:
         for x, y in pairs:
             opposite.setdefault(x, []).append(y)
             opposite.setdefault(y, []).append(x)
-        known = _map(opposite)
-        found.append(F.when(F.exists(a, lambda t, known=known: F.coalesce(F.arrays_overlap(F.try_element_at(known, t), b), F.lit(False))), kind))
+        found.append(F.when(_any_opposite(a, b, _map(opposite)), kind))
     units = F.array(*map(F.lit, UNITS))
     ua, ub = F.array_intersect(a, units), F.array_intersect(b, units)
     # any two different units conflict, of the same group or not

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
 from .profile import most_common
 
 KEY = ["lt", "lc", "rt", "rc"]
@@ -30,7 +31,7 @@ def _of(counts: DataFrame, side: str, **renamed: str) -> DataFrame:
 
 def shared_values(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair, shared): how many distinct values, or numbers to six decimals, both columns have."""
-    plain = F.coalesce(F.format_string("%.6f", F.round("number", 6)), F.col("value"))
+    plain = F.when(F.col("number").isNotNull(), F.format_string("%.6f", F.round("number", 6))).otherwise(F.col("value"))
     values = counts.where("value is not null").select("table", "column", plain.alias("value")).distinct()
     left, right = _of(values, "l", v="value"), _of(values, "r", v="value")
     return left.join(right, "v").join(pairs, KEY).groupBy(*KEY).agg(F.count("*").alias("shared"))
@@ -73,10 +74,13 @@ def similarity(counts: DataFrame, profiles: DataFrame, pairs: DataFrame) -> Data
     joined = pairs
     for side in ("l", "r"):
         joined = joined.join(_of(profiles, side, **{f"{side}_{f}": f for f in fields}), [side + "t", side + "c"])
+    joined = cut(joined, "sides")
     same = joined.where("l_kind = r_kind and l_kind != 'unknown'")
     met = shared_values(counts, same.select(*KEY))
+    met = cut(met, "shared")
     freq = _frequencies(counts, same.where("l_kind = 'categorical'").select(*KEY))
     hist = _histograms(counts, same.where("l_kind = 'numeric'"))
+    freq, hist = cut(freq, "frequencies"), cut(hist, "histograms")
     joined = joined.join(met, KEY, "left").join(freq, KEY, "left").join(hist, KEY, "left")
     zero = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0))
     l, r = (lambda f: F.col("l_" + f)), (lambda f: F.col("r_" + f))

@@ -1,0 +1 @@
+"""Registries of queries and helpers for plans."""

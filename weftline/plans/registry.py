@@ -6,13 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import transform_queries
+from . import match_queries, transform_queries
 
-PARTS = (transform_queries,)
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+PARTS = (transform_queries, match_queries)
+flagship = match_queries.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
