@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import transforms as t
-from ..operators import candidates, execute, joins, metrics, names, paths, profile, value_similarity
+from ..functions import legacy
+from ..operators import candidates, execute, joins, metrics, names, paths, profile, synthesis, value_similarity
 from ..sources import catalog
 from ..sources.tables import table
 from ..streaming.profiles import event_profile
@@ -158,12 +159,50 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, [d.select(F.lit(n).alias("part"), "k") for n, d in parts])
 
 
+def legacy_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    big, late = legacy.compare("o_totalprice", "gte", 100000), legacy.conditional_recent("o_orderdate", "1997-01-01")
+    return o.select(
+        "o_orderkey", big.alias("gte"), legacy.and_op(big, late).alias("both"), legacy.or_op(big, late).alias("any"), legacy.not_op(big).alias("small"), legacy.cast_to_int("o_totalprice").alias("whole"),
+        legacy.cast_to_decimal("o_totalprice").cast("string").alias("cents"), legacy.add_days("o_orderdate", 10).cast("string").alias("later"), legacy.concat_with("-", "o_orderstatus", "o_orderpriority").alias("dashed"),
+        legacy.trim_upper("o_orderpriority").alias("loud"), legacy.conditional_bucket("o_totalprice", 50000, "low", "high").alias("bucket"), legacy.date_to_quarter_format("o_orderdate").alias("quarter"))
+
+
+def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import transform_queries as tq
+
+    labels = sorted([*tq.ROWS, *tq.GROUPED, *tq.FRAMES])
+    return synthesis.split(synthesis.records(spark, labels, 25, 25), "target")
+
+
 SPARK = {
+    "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
     "name_scores": name_scores, "join_edges": join_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping,
     "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "set_operations": set_operations, "flagship": flagship,
 }
 
+
+
+def _synthetic_sql() -> str:
+    from . import transform_queries as tq
+
+    lists = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    labels, nouns, prefixes = sorted([*tq.ROWS, *tq.GROUPED, *tq.FRAMES]), synthesis.NOUNS, synthesis.PREFIXES
+    fields, kinds = [f for f, _ in synthesis.FIELDS], [k for _, k in synthesis.FIELDS]
+    draw = lambda key, salt, n: f"(('0x' || substr(md5('{salt}|' || {key}), 1, 8))::BIGINT % {n})::INT"
+    k = "('7:' || id)"
+    n, f = len(nouns), len(fields)
+    return f"""
+        WITH r AS (SELECT i AS id, ({lists(labels)})[(i // 50 + 1)::INT] AS label, i % 50 AS pos FROM range({len(labels) * 50}) t(i)),
+        d AS (SELECT id, label, {draw(k, 'noun', n)} AS noun, {draw(k, 'field', f)} AS field, {draw(k, 'prefix', len(prefixes))} AS p, {draw(k, 'n', n - 1)} AS dn, {draw(k, 'f', f - 1)} AS df,
+              CASE WHEN pos < 25 THEN 'positive' WHEN {draw(k, 'kind', 100)} < 40 THEN 'easy' WHEN {draw(k, 'kind', 100)} < 70 THEN 'hard' ELSE 'crossed' END AS kind FROM r),
+        e AS (SELECT *, CASE WHEN kind IN ('positive', 'crossed') THEN noun ELSE (noun + 1 + dn) % {n} END AS sn, CASE WHEN kind IN ('positive', 'hard') THEN field ELSE (field + 1 + df) % {f} END AS sf FROM d),
+        g AS (SELECT id, label, ({lists(nouns)})[noun + 1] || '_' || ({lists(fields)})[field + 1] AS target, ({lists(prefixes)})[p + 1] || ({lists(nouns)})[sn + 1] || '_' || ({lists(fields)})[sf + 1] AS source,
+              ({lists(kinds)})[sf + 1] AS source_type, ({lists(kinds)})[field + 1] AS target_type, kind = 'positive' AS positive, kind FROM e)
+        SELECT *, CASE WHEN {draw('target', 'split', 100)} < 85 THEN 'train' ELSE 'val' END AS split FROM g"""
+
+
 _NULLS = "('', 'null', 'none', 'nan', 'na', 'n/a', 'nil')"
 
 
@@ -176,6 +215,12 @@ def _cells_sql() -> str:
 
 
 SQL = {
+    "legacy_operators": """
+        SELECT o_orderkey, o_totalprice >= 100000 AS gte, o_totalprice >= 100000 AND o_orderdate >= TIMESTAMP '1997-01-01' AS both, o_totalprice >= 100000 OR o_orderdate >= TIMESTAMP '1997-01-01' AS any,
+               NOT o_totalprice >= 100000 AS small, trunc(o_totalprice)::BIGINT AS whole, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS cents, CAST(CAST(o_orderdate AS DATE) + 10 AS VARCHAR) AS later,
+               concat_ws('-', o_orderstatus, o_orderpriority) AS dashed, upper(trim(o_orderpriority)) AS loud, CASE WHEN o_totalprice < 50000 THEN 'low' ELSE 'high' END AS bucket,
+               concat(year(o_orderdate), '-Q', quarter(o_orderdate)) AS quarter FROM orders""",
+    "synthetic_records": _synthetic_sql(),
     "profile_columns": f"""
         WITH {_cells_sql()},
         rows AS (SELECT "table", "column", value, TRY_CAST(regexp_replace(replace(value, ',', ''), '%$', '') AS DOUBLE) AS number FROM norm),
