@@ -86,6 +86,24 @@ def test_line_dedup_finds_edited_lines(spark):
     assert found >= 118 and all(r.n_kept == 1 for r in out if r.doc_id % 2 == 0)
 
 
+def mixed_bands():
+    """300 pairs of addresses that differ in their last character, and 300 one-word edits of one line."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("etaoinshrdlu"), n))
+    lines = [f"https://{stem}{end}" for stem in (word(40) for _ in range(300)) for end in "ab"]
+    base = [word(6) for _ in range(24)]
+    for i in range(300):
+        lines.append(" ".join([*base[: i % 24], word(6), *base[i % 24 + 1 :]]))
+    return list(enumerate(lines))
+
+
+def test_line_dedup_compares_large_mixed_bands(spark):
+    rows = mixed_bands()
+    kept = {d for d, _ in dedup_by_hand(rows)}
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_kept} == kept and len(kept) < 340
+
+
 def test_line_dedup_edges(spark, docs, nothing, clashing):
     assert line_dedup.dedup_lines(nothing).count() == 0
     out = line_dedup.dedup_lines(clashing).collect()
