@@ -104,6 +104,20 @@ def test_line_dedup_compares_large_mixed_bands(spark):
     assert {r.doc_id for r in out if r.n_kept} == kept and len(kept) < 340
 
 
+def test_line_dedup_of_lines_without_spaces(spark):
+    """Tabs, addresses, Khmer, and lines whose distinct shingles are few."""
+    rng = np.random.default_rng(9)
+    word = lambda n, of="etaoinshrdlu": "".join(rng.choice(list(of), n))
+    lines = ["-" * 40, "-" * 80]
+    for i in range(30):
+        for tail in ("\t".join(word(6) for _ in range(20)), word(120), word(120, "កខគឃងចឆជឈញ")):
+            lines += [f"{i:02d}:{end}{tail}" for end in "01"]
+    rows = list(enumerate(lines))
+    kept = {d for d, _ in dedup_by_hand(rows)}
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_kept} == kept and len(kept) == 91
+
+
 def test_line_dedup_edges(spark, docs, nothing, clashing):
     assert line_dedup.dedup_lines(nothing).count() == 0
     out = line_dedup.dedup_lines(clashing).collect()
