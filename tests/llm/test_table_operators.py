@@ -272,6 +272,17 @@ def test_label_propagation_joins_groups(spark):
     assert sharding.cut_links(state) <= 9
 
 
+def test_label_propagation_keeps_groups_whole(spark):
+    """Groups of .6 of a shard stay whole; one of two and a half shards is cut twice."""
+    sizes = [60] * 5 + [250]
+    rows = [(1000 * g + i, g) for g, n in enumerate(sizes) for i in range(n)] + [(10_000 + i, None) for i in range(450)]
+    state = sharding.label_propagation(spark.createDataFrame(rows, "doc_id long, hub long"), 10)
+    got = state.collect()
+    assert set(Counter(r.shard for r in got).values()) == {100}
+    cut = sum(len({r.shard for r in got if r.doc_id // 1000 == g and r.hub is not None}) - 1 for g in range(6))
+    assert sharding.cut_links(state) == cut and cut <= 4
+
+
 def test_license_scan(spark, docs, nothing, clashing):
     mit = next(t for n, t in license_scan.KNOWN if n == "MIT" and t.startswith("MIT License"))
     rows = [

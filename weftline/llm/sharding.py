@@ -6,7 +6,8 @@ quotas bound what a shard takes in; what is refused, and documents without links
 order that keeps hubs together. Every round ends in a whole assignment under the law `rows` (counts at most one
 apart); rounds end when no fewer links are cut.
 
-Only DataFrame functions. A hub of any size is split into parts of a fraction of a shard before the first round, and
+Only DataFrame functions. A hub over a shard's quota is cut into parts of a quota, which want shards next to each
+other; every other hub stays whole, and links cut are counted over whole hubs. Large hubs are salted for joins, and
 ranks are taken in short cells whose counts are summed apart, so that no task holds a hub or a shard. Null texts have
 no bytes and are linked with empty ones; repeated rows are rows of their own and interchangeable; null ids are rows
 like any other; an empty table gives an empty result. Columns of other names are not read.
@@ -14,6 +15,8 @@ like any other; an empty table gives an empty result. Columns of other names are
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from .common import discard, held, stored
 
 #: Cells of a rank; a number that does not grow, so that their counts stay a small table.
 CELLS = 1024
-#: A part of a hub holds at most about this share of a shard.
+#: Rows of a larger share of a shard than one of so many are counted and joined under several salts.
 PART_OF_SHARD = 4
 
 
@@ -47,28 +50,42 @@ def _place(free: list[int], rank: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda e: e <= rank))
 
 
-def label_propagation(rows: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
-    """rows (doc_id, hub, ...) with shard. hub is null for a document without links."""
+def _quota_parts(linked: DataFrame, quota: int) -> DataFrame:
+    """linked with _part: rows of a hub over the quota are dealt to parts of just a quota, others are of part 0."""
+    rest = [c for c in linked.columns if c not in ("hub", "doc_id", "n")]
+    over = linked.where(F.col("n") > quota).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
+    over = ranked(over, ["hub"], ["doc_id", *rest], "at").withColumn("_part", F.floor(F.col("at") / quota).cast("int")).drop("cell", "at")
+    return linked.where(F.coalesce(F.col("n") <= quota, F.lit(True))).withColumn("_part", F.lit(0)).unionByName(over)
+
+
+def label_propagation(rows: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
+    """rows (doc_id, hub, ...) with shard. hub is null for a document without links. rounds bounds the rounds, if given."""
     total = rows.count()
     if not total:
         return rows.withColumn("shard", F.lit(0))
     quota = _quota(total, shards)
-    part = max(1, quota[-1] // PART_OF_SHARD)
-    sizes = rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / part).cast("int")
+    whole = max(1, quota[-1])
+    salted = max(1, quota[-1] // PART_OF_SHARD)
+    sizes = held(rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"))
     linked = rows.join(sizes, "hub", "left")
-    hub = F.when(F.col("n") > 1, F.xxhash64("hub", F.pmod(F.xxhash64("doc_id"), parts)))
-    state = linked.withColumn("hub", hub).drop("n")
+    linked = linked.withColumn("_part", F.lit(0)) if sizes.where(F.col("n") > whole).isEmpty() else _quota_parts(held(linked), whole)
+    salts = F.coalesce(F.ceil(F.col("n") / salted), F.lit(1)).cast("int")
+    state = linked.withColumns({"hub": F.when(F.col("n") > 1, F.xxhash64("hub")), "_salts": salts, "_salt": F.pmod(F.xxhash64("doc_id"), salts).cast("int")}).drop("n")
     spread = F.coalesce(F.col("hub"), F.xxhash64("doc_id", F.lit("alone")))
-    state = state.withColumn("cell", F.pmod(F.xxhash64(spread), F.lit(CELLS)).cast("int"))
+    # a large hub has cells of its own, next to each other; there are few such hubs
+    near = F.when(F.col("_salts") > 1, (1 + F.pmod(F.xxhash64("hub", F.lit("cell")), F.lit(1 << 28))) * (1 << 20) + F.col("_salt")).otherwise(F.lit(0))
+    state = state.withColumn("cell", F.pmod(F.xxhash64(spread), F.lit(CELLS)) * (1 << 50) + near)
     state = held(state.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(shards)).cast("int")))
     order = ["hub", "doc_id", *[c for c in state.columns if c not in ("hub", "doc_id", "cell", "shard")]]
     cut = None
-    for number in range(rounds):
-        votes = state.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    for number in itertools.count():
+        if number == rounds:
+            break
+        votes = state.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"), F.max("_salts").alias("_salts"))
         # ties go by hash, so that they spread over shards
-        want = votes.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("want"))
-        moved = held(state.join(want, "hub", "left"))
+        want = votes.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("want"), F.max("_salts").alias("_of"))
+        want = want.select("hub", "want", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_salt"))
+        moved = held(state.join(want, ["hub", "_salt"], "left").withColumn("want", F.pmod(F.col("want") + F.col("_part"), F.lit(shards))))
         asking = ranked(moved.where("want is not null"), ["want"], order, "at")
         full = F.element_at(F.array(*map(F.lit, quota)), F.col("want") + 1)
         placed = held(asking.withColumn("granted", F.col("at") < full).drop("at"))
@@ -89,7 +106,7 @@ def label_propagation(rows: DataFrame, shards: int, rounds: int = 4) -> DataFram
         state, cut = after, now
         if not cut:
             break
-    return state.drop("cell")
+    return state.drop("cell", "_part", "_salt", "_salts")
 
 
 def cut_links(state: DataFrame) -> int:
