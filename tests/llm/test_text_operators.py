@@ -167,6 +167,15 @@ def test_simhash_edges(docs, nothing, clashing):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 6, 7, 8, 9]
 
 
+def test_one_document_of_each_component_stays(spark):
+    """Null and repeated ids do not stand for one document."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, text(i)) for i in range(5)] + [(None, text(0)), (7, text(1)), (8, text(6)), (8, text(7)), (8, text(7)), (9, text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == Counter([(None, text(i)) for i in (0, 2, 3, 4)] + [(7, text(1)), (8, text(6)), (8, text(7))])
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -91,23 +91,30 @@ def near_pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
     return found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= tau).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
-    prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")))
+def _rooted(prints: DataFrame, tau: int) -> DataFrame:
+    """One row per fp of prints: fp, root (its component's key), component_id (the component's smallest doc_id)."""
     classes = held(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_pairs(classes.select("fp"), tau))
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = held(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; rows that repeat it count once.
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
+    prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")))
+    return prints.join(_rooted(prints, tau).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
-    Rows without a doc_id stay only if no row of their component has one.
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
+    """One document of each component stays: the one with the smallest doc_id, of several texts of that id the one with
+    the smallest hash. Rows without a doc_id come last; rows that repeat doc_id and text count once.
     """
-    found = near_duplicates(docs, text, doc_id, tau).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    key = F.xxhash64(F.col(f"`{text}`"))
+    prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), fingerprints(F.col(f"`{text}`")).alias("fp")))
+    rooted = prints.join(_rooted(prints, tau).select("fp", "root"), "fp")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    found = first.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_keep_key"))
+    kept = docs.withColumn("_key", key).join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_keep_key")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_key"]).drop("_key")
