@@ -232,7 +232,7 @@ def test_html_templates(spark):
 def test_html_own_elements_nest(spark):
     """An element that only some pages have ends itself, not the template's element of that name."""
     figure = "<div class=fig>F</div>"
-    page = "<html><body><div id=page><nav class=m>{1}<i>menu</i></nav><article><p>a{0}</p>{1}<p>b{0}</p></article></div></body></html>"
+    page = "<html><body><div id=page><nav class=m><i>menu</i></nav><article><p>a{0}</p>{1}<p>b{0}</p></article></div></body></html>"
     rows = [(i, f"http://h.example.org/{i}", page.format(i, figure if i == 0 else "")) for i in range(6)]
     got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n".join([f"a{i}", *(["F"] if i == 0 else []), f"b{i}"]) for i in range(6)}
