@@ -25,10 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that driver and executors share; a temporary one only where all run in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="weftline-"))
 
 
@@ -65,6 +67,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that df does not have."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark df for broadcast when its counted rows are within the bound; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -80,9 +90,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is a partial aggregate for the
     smallest neighbour and an equi-join back, so a hub of any degree is split by adaptive execution. Rounds end when
     the set of edges no longer changes; each round's edges are written to the shared folder, which cuts the lineage.
+    The result is written too, for the caller to discard.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    pairs = held(pairs)
+    pairs = stored(pairs, "edges")
     mark = _mark(pairs)
     while mark[0]:
         both = pairs.union(pairs.select("v", "u"))
@@ -99,7 +110,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
     roots = pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    found = stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots", 2 * mark[0])
+    discard(pairs)
+    return found
 
 
 def _mark(pairs: DataFrame) -> tuple:
