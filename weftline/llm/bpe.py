@@ -23,10 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, unused
+
 #: Words of more symbols than this go to the heap.
 SHORT = 256
-#: Entries of a worker's memory of encoded chunks; when full it is emptied.
-MEMORY = 200_000
+#: Bytes of a worker's memory of encoded chunks, and what an entry takes beside its key and ids; when full it is emptied.
+MEMORY_BYTES = 16 << 20
+ENTRY_BYTES = 140
 #: Chunks of more bytes than this are not remembered.
 REMEMBER_BYTES = 64
 
@@ -66,8 +69,8 @@ class WordBpe:
         self.special_at = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.word_at = regex.compile(pattern)
-        self.words: dict[str, list[int]] = {}
         self.chunks: dict[bytes, bytes] = {}
+        self.used = 0
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         pairs = self.merges
@@ -110,17 +113,10 @@ class WordBpe:
         return [x for x, a in zip(ids, alive) if a]
 
     def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            raw = word.encode("utf-8", "replace")
-            ids = [self.inner[b] for b in raw]
-            ids[-1] = self.last[raw[-1]]
-            ids = (self._merge_short if len(ids) <= SHORT else self._merge_long)(ids)
-            if len(raw) <= REMEMBER_BYTES:
-                if len(self.words) >= MEMORY:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        raw = word.encode("utf-8", "replace")
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        return (self._merge_short if len(ids) <= SHORT else self._merge_long)(ids)
 
     def _plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens: normalised, cut into words, merged."""
@@ -151,8 +147,10 @@ class WordBpe:
             if ids is None:
                 ids = self._chunk(chunk)
                 if len(chunk) <= REMEMBER_BYTES:
-                    if len(known) >= MEMORY:
+                    self.used += len(chunk) + len(ids) + ENTRY_BYTES
+                    if self.used > MEMORY_BYTES:
                         known.clear()
+                        self.used = 0
                     known[chunk] = ids
             out.append(ids)
         return b"".join(out)
@@ -181,6 +179,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
         for texts in parts:
             yield pd.Series([bpe.encode(t) for t in texts], dtype=object)
 
+    small_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
     return docs.select(*rest, encoded(F.col(f"`{text}`")).alias("ids")).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
 
@@ -212,4 +211,6 @@ def digest_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     own = ("n_tokens", "ids_sha256", "decoded_sha256")
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
-    return docs.select(*rest, digested(F.col(f"`{text}`")).alias("_bpe")).select(*rest, "_bpe.*")
+    small_batches(docs.sparkSession)
+    (made,) = unused(docs, "bpe")
+    return docs.select(*rest, digested(F.col(f"`{text}`")).alias(made)).select(*rest, f"{made}.*")

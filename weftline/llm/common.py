@@ -16,6 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 500_000
 #: Rows of a few numbers in a file of a written table.
 FILE_ROWS = 500_000
+#: Whole texts in a batch that a Python worker holds.
+BATCH_ROWS = 1000
 
 _own_dirs: dict[str, str] = {}
 
@@ -49,6 +51,14 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return back
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_ROWS rows: whole texts in batches of the default size fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def held(df: DataFrame) -> DataFrame:
     """Keep df in the executors' memory or on their disks; what a lost executor held is computed again.
 
