@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, held, stored
 
-#: Cells of a rank; a number that does not grow, so that their counts stay a small table.
+#: Rows of a cell of a rank, on average at most, in tables of more than CELLS cells of so many; the cells' counts are a small table.
+CELL_ROWS = 50_000
 CELLS = 1024
 #: Rows of a larger share of a shard than one of so many are counted and joined under several salts.
 PART_OF_SHARD = 4
@@ -37,6 +38,11 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return rows.withColumn("_rank", inner).join(base, [*keys, "cell"]).withColumn(name, F.col("_base") + F.col("_rank")).drop("_base", "_rank")
 
 
+def _cells(rows: int) -> int:
+    """The number of cells for so many rows, a power of two."""
+    return max(CELLS, 1 << (rows // CELL_ROWS).bit_length())
+
+
 def _quota(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
@@ -50,10 +56,22 @@ def _place(free: list[int], rank: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda e: e <= rank))
 
 
-def _quota_parts(linked: DataFrame, quota: int) -> DataFrame:
+def _with_sizes(rows: DataFrame, sizes: DataFrame, large: int) -> DataFrame:
+    """rows with n, the size of their hub, null if they are alone. sizes has hub and n.
+
+    There are few hubs of over large rows, a bounded part of all rows each: they are broadcast. Rows without a hub take
+    no part in the join of the others, so that no key of it has more than large rows.
+    """
+    alone = rows.where("hub is null").withColumn("n", F.lit(None).cast("long"))
+    first = rows.where("hub is not null").join(F.broadcast(sizes.where(F.col("n") > large)), "hub", "left")
+    rest = first.where("n is null").drop("n").join(sizes.where(F.col("n") <= large), "hub", "left")
+    return first.where("n is not null").unionByName(rest).unionByName(alone)
+
+
+def _quota_parts(linked: DataFrame, quota: int, cells: int) -> DataFrame:
     """linked with _part: rows of a hub over the quota are dealt to parts of just a quota, others are of part 0."""
     rest = [c for c in linked.columns if c not in ("hub", "doc_id", "n")]
-    over = linked.where(F.col("n") > quota).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
+    over = linked.where(F.col("n") > quota).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)))
     over = ranked(over, ["hub"], ["doc_id", *rest], "at").withColumn("_part", F.floor(F.col("at") / quota).cast("int")).drop("cell", "at")
     return linked.where(F.coalesce(F.col("n") <= quota, F.lit(True))).withColumn("_part", F.lit(0)).unionByName(over)
 
@@ -67,14 +85,16 @@ def label_propagation(rows: DataFrame, shards: int, rounds: int | None = None) -
     whole = max(1, quota[-1])
     salted = max(1, quota[-1] // PART_OF_SHARD)
     sizes = held(rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"))
-    linked = rows.join(sizes, "hub", "left")
-    linked = linked.withColumn("_part", F.lit(0)) if sizes.where(F.col("n") > whole).isEmpty() else _quota_parts(held(linked), whole)
+    cells = _cells(total)
+    linked = _with_sizes(rows, sizes, salted)
+    linked = linked.withColumn("_part", F.lit(0)) if sizes.where(F.col("n") > whole).isEmpty() else _quota_parts(held(linked), whole, cells)
     salts = F.coalesce(F.ceil(F.col("n") / salted), F.lit(1)).cast("int")
     state = linked.withColumns({"hub": F.when(F.col("n") > 1, F.xxhash64("hub")), "_salts": salts, "_salt": F.pmod(F.xxhash64("doc_id"), salts).cast("int")}).drop("n")
     spread = F.coalesce(F.col("hub"), F.xxhash64("doc_id", F.lit("alone")))
-    # a large hub has cells of its own, next to each other; there are few such hubs
-    near = F.when(F.col("_salts") > 1, (1 + F.pmod(F.xxhash64("hub", F.lit("cell")), F.lit(1 << 28))) * (1 << 20) + F.col("_salt")).otherwise(F.lit(0))
-    state = state.withColumn("cell", F.pmod(F.xxhash64(spread), F.lit(CELLS)) * (1 << 50) + near)
+    # a large hub has cells of its own, next to each other and before all others, so that its parts are granted whole;
+    # there are few such hubs
+    near = F.pmod(F.xxhash64("hub", F.lit("cell")), F.lit(1 << 20)) * (1 << 20) + F.col("_salt")
+    state = state.withColumn("cell", F.when(F.col("_salts") > 1, near).otherwise((1 + F.pmod(F.xxhash64(spread), F.lit(cells))) * (1 << 42)))
     state = held(state.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(shards)).cast("int")))
     order = ["hub", "doc_id", *[c for c in state.columns if c not in ("hub", "doc_id", "cell", "shard")]]
     cut = None
@@ -85,7 +105,9 @@ def label_propagation(rows: DataFrame, shards: int, rounds: int | None = None) -
         # ties go by hash, so that they spread over shards
         want = votes.groupBy("hub").agg(F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard"))).alias("want"), F.max("_salts").alias("_of"))
         want = want.select("hub", "want", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_salt"))
-        moved = held(state.join(want, ["hub", "_salt"], "left").withColumn("want", F.pmod(F.col("want") + F.col("_part"), F.lit(shards))))
+        # rows without a hub stay out of the join: their key would be one
+        moved = state.where("hub is not null").join(want, ["hub", "_salt"]).withColumn("want", F.pmod(F.col("want") + F.col("_part"), F.lit(shards)))
+        moved = held(moved.unionByName(state.where("hub is null").withColumn("want", F.lit(None).cast("int"))))
         asking = ranked(moved.where("want is not null"), ["want"], order, "at")
         full = F.element_at(F.array(*map(F.lit, quota)), F.col("want") + 1)
         placed = held(asking.withColumn("granted", F.col("at") < full).drop("at"))
@@ -122,7 +144,8 @@ def shard_documents(docs: DataFrame, shards: int, text: str = "text", doc_id: st
         F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(whole) + 16).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole, F.octet_length(whole)).alias("hub"),
     )
-    state = label_propagation(held(rows), shards)
-    state = state.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(CELLS)).cast("int"))
+    rows = held(rows)
+    state = label_propagation(rows, shards)
+    state = state.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(_cells(rows.count()))).cast("int"))
     slots = ranked(state, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
