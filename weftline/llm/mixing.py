@@ -10,8 +10,8 @@ time at which the demand reaches them, and documents are range-sorted by it.
 
 Only DataFrame functions. A source may hold any share of the rows: running sums are taken inside short runs of the
 order's hash, and the runs' totals are summed separately. Null texts have no words; null sources are one source, last
-in order; repeated rows and ties are ordered alike each time; documents without words are never taken; an empty table
-gives an empty result. Columns of docs pass through; names beginning with _mix are the operator's own.
+in order; repeated rows and ties are ordered alike each time; documents without words are never taken, and sources
+without any words have target 0; an empty table gives an empty result. Columns of docs pass through; names beginning with _mix are the operator's own.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Mix:
     max_repeats: int = 2
     seed: str = "mix"
     #: Hexadecimal digits of the order's hash that name a run.
-    run_digits: int = 2
+    run_digits: int = 3
 
 
 def n_words(text: Column) -> Column:
@@ -106,7 +106,7 @@ def planned(docs: DataFrame, mix: Mix = Mix(), size: Column | None = None, text:
     places = len(mix.schedules)
 
     def when(words: Column) -> Column:
-        share, out = words / F.col("_mix_target"), F.lit(None).cast("double")
+        share, out = F.try_divide(words, F.col("_mix_target")), F.lit(None).cast("double")
         for i, schedule in enumerate(mix.schedules):
             out = F.when(F.col("_mix_place") % places == i, _time_of(schedule, share)).otherwise(out)
         return out
