@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, held, small, stored
+from .common import ascii_lower, held, small, stored, unused
 
 #: Digests of a filter, on average at most.
 KEYS_PER_BUCKET = 2048
@@ -153,7 +153,7 @@ def dedup(docs: DataFrame, arrival: Column, batches: int, text: str = "text", do
     arrival gives each row's batch, 0 to batches - 1; batches are ingested in that order.
     """
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), arrival.cast("int").alias("batch"), normalised(F.col(f"`{text}`")).alias("plain"))
-    digests = held(plain.select("doc_id", "batch", F.sha2("plain", 256).alias("digest")))
+    digests = held(plain.select("doc_id", "batch", F.sha2("plain", 256).alias("digest"), F.xxhash64("plain").alias("quick")))
     rows = digests.count()
     buckets = 1
     while buckets * KEYS_PER_BUCKET < rows / batches:
@@ -163,11 +163,12 @@ def dedup(docs: DataFrame, arrival: Column, batches: int, text: str = "text", do
     ingested: list[DataFrame] = []
     for number in range(batches):
         # the batch's own duplicates, grouped apart from any snapshot
-        groups = digests.where(F.col("batch") == number).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        groups = digests.where(F.col("batch") == number).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"), F.min("quick").alias("quick"))
         if known:
             groups = held(groups)
             positives = screen(groups, reduce(DataFrame.union, filters), buckets)
-            hits = held(positives.join(reduce(DataFrame.union, known), ["digest", "snapshot"]))
+            hits = positives.join(reduce(DataFrame.union, known), ["digest", "snapshot"])
+            hits = held(hits.join(groups.select("digest", "quick"), "digest"))
             matched = _same_bytes(plain, hits, number)
             groups = stored(groups.join(matched, "digest", "left"), "batch", rows)
         else:
@@ -179,7 +180,7 @@ def dedup(docs: DataFrame, arrival: Column, batches: int, text: str = "text", do
     every = reduce(DataFrame.union, ingested)
     whole = every.groupBy("digest", "snapshot").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     classes = every.select("batch", "digest", "snapshot").join(whole, ["digest", "snapshot"])
-    found = digests.join(classes, ["batch", "digest"])
+    found = digests.drop("quick").join(classes, ["batch", "digest"])
     # of rows that repeat the kept doc_id, one stays
     turn = F.row_number().over(Window.partitionBy("digest", "snapshot", "doc_id").orderBy("batch"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
@@ -192,14 +193,16 @@ def _same_bytes(plain: DataFrame, hits: DataFrame, number: int) -> DataFrame:
     Both are partial aggregates, so that each task sends one text of a digest however many copies it has.
     """
     rows = hits.count()
-    texts = plain.withColumn("digest", F.sha2("plain", 256)).join(small(hits, rows), "digest")
-    texts = texts.where((F.col("batch") == number) | (F.col("batch") == F.col("snapshot")))
+    # the quick hash finds the few texts that are digested again
+    texts = plain.where(F.col("batch") <= number).withColumn("quick", F.xxhash64("plain")).join(small(hits, rows), "quick")
+    texts = texts.where((F.col("batch") == number) | (F.col("batch") == F.col("snapshot"))).where(F.sha2("plain", 256) == F.col("digest"))
     ends = texts.groupBy("digest", "snapshot").agg(F.min("plain").alias("low"), F.max("plain").alias("high"))
     return ends.where("low = high").select("digest", "snapshot")
 
 
 def stay(docs: DataFrame, arrival: Column, batches: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows one."""
-    found = dedup(docs, arrival, batches, text, doc_id).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.sha2(normalised(F.col(f"`{text}`")), 256) == F.col("_sha"))
+    own_id, own_sha = unused(docs, "id", "sha")
+    found = dedup(docs, arrival, batches, text, doc_id).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.sha2(normalised(F.col(f"`{text}`")), 256) == F.col(own_sha))
     return docs.join(found, same, "left_semi").dropDuplicates([doc_id, text])
