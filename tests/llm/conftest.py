@@ -30,7 +30,7 @@ def clashing(docs):
     """Extra columns named as results and helpers are."""
     from pyspark.sql import functions as F
 
-    names = ("size", "taken", "fp", "kept", "n_words", "ids", "shard", "hub", "cell", "key", "bucket", "digest", "u", "v", "node", "root", "pos", "line", "n_lines", "batch", "plain", "p_toxic", "license", "target")
+    names = ("size", "taken", "fp", "kept", "n_words", "ids", "shard", "hub", "cell", "key", "bucket", "digest", "u", "v", "node", "root", "pos", "line", "n_lines", "batch", "plain", "p_toxic", "license", "target", "_id", "_gone", "_bpe", "_tox", "_quality", "_key", "_keep", "__id", "_all", "_sha")
     return docs.select("*", *[F.lit("x").alias(n) for n in names])
 
 

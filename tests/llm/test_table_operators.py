@@ -156,6 +156,12 @@ def test_mixing(spark, docs, nothing, clashing):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 1
     assert mixing.planned(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
     assert mixing.planned(clashing).count() == docs.count()
+    # sources without a word have nothing to give
+    blank = docs.withColumn("text", F.when(F.col("source") == "a", F.col("text")))
+    for frame in (blank, docs.withColumn("text", F.lit(" "))):
+        plan = mixing.planned(frame).select("source", "_mix.*").collect()
+        assert len(plan) == docs.count() and all(r.taken == 0 and r.target == 0 for r in plan if r.source != "a" or frame is not blank)
+        assert all(r.source == "a" for r in mixing.mixed(frame).collect())
 
 
 def test_mixed_documents_follow_their_positions(spark):
@@ -194,12 +200,12 @@ def test_exact_dedup_edges(spark, docs, nothing, clashing):
         assert {r.keep_id for r in rows} == {max(ids) if ids else None} and {r.group_size for r in rows} == {len(rows)}
         assert sum(r.kept for r in rows) == 1
     assert exact_dedup.dedup(nothing, arrival, 3).count() == 0
-    assert exact_dedup.stay(docs, arrival, 3).count() == len(by)
+    assert exact_dedup.stay(docs, arrival, 3).count() == exact_dedup.stay(clashing, arrival, 3).count() == len(by)
 
 
 def test_hits_of_equal_bytes_stay(spark):
     plain = spark.createDataFrame([(1, 0, "one"), (2, 1, "two")], "doc_id long, batch int, plain string")
-    hits = spark.createDataFrame([(hashlib.sha256(b"one").hexdigest(), 0)], "digest string, snapshot int")
+    hits = spark.createDataFrame([(hashlib.sha256(b"one").hexdigest(), 0)], "digest string, snapshot int").withColumn("quick", F.xxhash64(F.lit("one")))
     same = plain.withColumn("plain", F.lit("one"))
     assert exact_dedup._same_bytes(same, hits, 1).count() == 1
 
@@ -264,6 +270,17 @@ def test_sharding(spark, docs, nothing):
     assert sharding.shard_documents(nothing, 40).count() == 0
 
 
+def test_sharding_of_hot_groups(spark):
+    """A third of all rows are copies, another third have no link: law, slots and groups hold."""
+    rows = [(i, "same" if i % 3 == 0 else f"text {i}" if i % 3 == 1 else f"pair {i // 6}") for i in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    assert set(Counter(r.shard for r in got).values()) == {75}
+    at = defaultdict(set)
+    for r in got:
+        at[dict(rows)[r.doc_id]].add(r.shard)
+    assert len(at["same"]) <= 15 and sum(len(s) > 1 for t, s in at.items() if t.startswith("pair")) <= 15
+
+
 def test_label_propagation_joins_groups(spark):
     rows = [(i, i // 4) for i in range(400)] + [(1000 + i, None) for i in range(100)]
     state = sharding.label_propagation(spark.createDataFrame(rows, "doc_id long, hub long"), 10)

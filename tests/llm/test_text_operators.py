@@ -67,6 +67,7 @@ def test_quality_edges(docs, nothing, clashing):
     out = quality_rules.with_quality(clashing)
     assert out.columns.count("kept") == 1 and out.schema["kept"].dataType.simpleString() == "boolean"
     assert set(quality_rules.filter_quality(docs).columns) == set(docs.columns)
+    assert quality_rules.filter_quality(clashing).count() == quality_rules.filter_quality(docs).count()
 
 
 def test_bpe_equals_the_library():
@@ -98,6 +99,7 @@ def test_bpe_query(spark, docs, nothing, clashing):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digest_documents(nothing, PATH).count() == 0
+    assert bpe.digest_documents(clashing, PATH).count() == docs.count()
     out = bpe.decode_documents(bpe.encode_documents(clashing, PATH), PATH).collect()
     assert len(out) == docs.count() and all((r.n_tokens == 0) == (not (r.text or "").strip()) for r in out)
     assert all(r.decoded == lib.decode(np.frombuffer(r.ids, "<u4").tolist(), skip_special_tokens=False) for r in out)
@@ -163,6 +165,7 @@ def test_simhash_edges(docs, nothing, clashing):
     by = {r.doc_id: r.component_id for r in got}
     assert by[1] == by[2] == 1 and by[3] == by[4] == by[5] == 3
     assert next(r.component_id for r in got if r.doc_id is None and r.fp == 0) == 3
+    assert simhash.drop_near_duplicates(clashing).count() == simhash.drop_near_duplicates(docs).count()
     kept = simhash.drop_near_duplicates(docs).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 6, 7, 8, 9]
 
@@ -185,9 +188,46 @@ def test_toxicity_held_out(spark):
     clean = [r.is_toxic for r in got if r.toxic == 0]
     bad = [r.is_toxic for r in got if r.toxic == 1]
     assert sum(clean) / len(clean) < 0.05 and sum(bad) / len(bad) > 0.6
-    assert chain.names == ("insult", "contempt", "toxic")
+    assert chain.names == ("low_quality", "kind_1", "kind_2", "toxic")
     # later models see earlier probabilities
-    assert [len(w) - len(chain.features) for w in chain.weights] == [1, 2, 3]
+    assert [len(w) - len(chain.features) for w in chain.weights] == [1, 2, 3, 4]
+
+
+def test_toxicity_chain_by_hand():
+    """Each link is fitted beside probabilities that were made without the document's fold; the fit is a stationary point."""
+    rng = np.random.default_rng(3)
+    toxic = (rng.random(300) < 0.3).astype(float)
+    low = (rng.random(300) < 0.4).astype(float)
+    words = []
+    for t, q in zip(toxic, low):
+        pool = ["fine", "good", *(["mud"] if t else ["sun"]), *(["dull"] if q else ["bright"])]
+        own = {w for w in pool if rng.random() < 0.8} | {f"n{rng.integers(0, 40)}"}
+        if t:
+            own |= {f"{'red' if rng.random() < 0.5 else 'blue'}{j}" for j in range(4)}
+        words.append(own)
+    chain = toxicity.fit_chain(words, toxic, low)
+    x = np.array([[1.0, *[f in own for f in chain.features]] for own in words])
+    kind = np.full(300, -1)
+    kind[toxic > 0] = toxicity.kinds_of(x[toxic > 0][:, 1:])
+    reds = np.array(["red0" in own for own in words])[toxic > 0]
+    assert len({(k, r) for k, r in zip(kind[toxic > 0], reds)}) == 2  # the kinds are the two vocabularies
+    labels = [low, (kind == 0) * 1.0, (kind == 1) * 1.0, toxic]
+    early = []
+    for y, weights in zip(labels, chain.weights):
+        full = np.column_stack([x, *early])
+        p = 1 / (1 + np.exp(-full @ np.array(weights)))
+        shrink = np.r_[1e-6, np.full(full.shape[1] - 1, toxicity.RIDGE)]
+        assert np.abs(full.T @ (y - p) - shrink * np.array(weights)).max() < 1e-3
+        made = np.zeros(300)
+        for i in range(300):
+            others = np.arange(300) % toxicity.FOLDS != i % toxicity.FOLDS
+            key = i % toxicity.FOLDS
+            if i < toxicity.FOLDS:
+                early_fit = toxicity._logistic(full[others], y[others])
+                same = np.arange(300) % toxicity.FOLDS == key
+                made[same] = 1 / (1 + np.exp(-full[same] @ early_fit))
+        early.append(made)
+    assert 0.2 <= chain.threshold <= 0.9
 
 
 def test_toxicity_edges(spark, docs, nothing, clashing):

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, unused
+
 # The largest allowed share of characters in repeated n-grams by n, in the most frequent n-gram by n,
 # and in repeated lines; the base rules' symbols and limits.
 REPEATED_NGRAM = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -136,11 +138,15 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of SCHEMA; columns of those names in docs are replaced."""
     own = {x.split()[0] for x in SCHEMA.split(", ")}
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
-    judged = docs.select(*rest, quality_measures(F.col(f"`{text}`")).alias("_quality"))
-    return judged.select(*rest, "_quality.*")
+    small_batches(docs.sparkSession)
+    (made,) = unused(docs, "quality")
+    judged = docs.select(*rest, quality_measures(F.col(f"`{text}`")).alias(made))
+    return judged.select(*rest, f"{made}.*")
 
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*columns, quality_measures(F.col(f"`{text}`")).alias("_quality")).where("_quality.kept").select(*columns)
+    small_batches(docs.sparkSession)
+    (made,) = unused(docs, "quality")
+    return docs.select(*columns, quality_measures(F.col(f"`{text}`")).alias(made)).where(f"{made}.kept").select(*columns)

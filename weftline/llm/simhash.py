@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, held
+from .common import components, held, small_batches, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -103,18 +103,22 @@ def _rooted(prints: DataFrame, tau: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
+    small_batches(docs.sparkSession)
     prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")))
     return prints.join(_rooted(prints, tau).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id, of several texts of that id the one with
-    the smallest hash. Rows without a doc_id come last; rows that repeat doc_id and text count once.
+    the smallest hash. Rows without a doc_id come last; rows that repeat doc_id and text count once. Columns of docs pass
+    through, whatever their names.
     """
+    small_batches(docs.sparkSession)
+    own_key, keep, keep_key = unused(docs, "key", "keep", "keep_key")
     key = F.xxhash64(F.col(f"`{text}`"))
     prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), fingerprints(F.col(f"`{text}`")).alias("fp")))
     rooted = prints.join(_rooted(prints, tau).select("fp", "root"), "fp")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
-    found = first.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_keep_key"))
-    kept = docs.withColumn("_key", key).join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_keep_key")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_key"]).drop("_key")
+    found = first.select(F.col("first.doc_id").alias(keep), F.col("first.key").alias(keep_key))
+    kept = docs.withColumn(own_key, key).join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(keep)) & (F.col(own_key) == F.col(keep_key)), "left_semi")
+    return kept.dropDuplicates([doc_id, own_key]).drop(own_key)
