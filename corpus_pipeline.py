@@ -1,4 +1,9 @@
-"""A corpus pipeline of five training-data operators: each stage reads what the one before it kept."""
+"""A corpus pipeline of five training-data operators: each stage reads what the one before it kept.
+
+Null and empty texts fail the quality rules and go there; null ids, sources and other columns pass every stage; ties go
+as the stage's operator says, alike in each run; rows that repeat id and text are one document to line dedup and
+near-duplicates; each stage takes an empty table and columns beyond documents' own, of any names, without reading them.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, line_dedup, mixing, quality_rules, simhash
-from weftline.llm.common import read_table, stored
+from weftline.llm.common import discard, read_table, stored
 from weftline.llm.queries import bpe_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -46,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return stored(STAGES[-1][1](spark, docs, sf_dir), "encoded")
