@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import values
+from weftline.functions import legacy, values
 from weftline.operators import constraints, names
 from weftline.sources import catalog
 
@@ -30,6 +30,18 @@ def test_names(spark):
     assert rows["buyer_id", "seller_id"].conflicts == ["role"]
     assert "unit" in rows["amount_usd", "amount_eur"].conflicts
     assert rows["emp", "employee"].bridge == 1.0
+    # a name never conflicts with itself, nor a unit with what it stands for; different units of a kind do
+    rows = {(r.a, r.b): r for r in scores(spark, [("amount_usd", "amount_usd"), ("price_usd", "price_dollar"), ("speed_m_sec", "speed_m_hr"), ("fname", "firstname"), ("lname", "lastname"), ("fname", "first_name")])}
+    assert rows["amount_usd", "amount_usd"].name == 1.0 and rows["amount_usd", "amount_usd"].conflicts == []
+    assert rows["price_usd", "price_dollar"].conflicts == [] and "unit" in rows["speed_m_sec", "speed_m_hr"].conflicts
+    assert all(rows[p].bridge > 0.2 for p in (("fname", "firstname"), ("lname", "lastname"), ("fname", "first_name")))
+
+
+def test_labels_of_united_records(spark):
+    parts = [spark.createDataFrame([(1, "date_trunc_week"), (2, "concat")], "id int, label string"), spark.createDataFrame([(3, "date_diff_days", 0.5)], "id int, label string, weight double")]
+    got = [tuple(r) for r in catalog.union_records(parts, "label", legacy.ALIASES, 7).collect()]
+    assert sorted(got) == [(1, "truncate_to_period", None), (2, "concat", None), (3, "date_difference", 0.5)]
+    assert got == [tuple(r) for r in catalog.union_records(parts[::-1], "label", legacy.ALIASES, 7).collect()]
 
 
 def constraint(spark, a, b):

@@ -11,10 +11,10 @@ _c = t._c
 
 # Older labels and the label that stands for each now.
 ALIASES = {
-    "extract_month": "extract_quarter", "date_trunc_month": "truncate_to_period", "date_trunc_year": "truncate_to_period", "eq": "equality_check", "neq": "equality_check",
-    "gt": "threshold_flag", "gte": "threshold_flag", "lt": "threshold_flag", "lte": "threshold_flag", "between": "range_check", "in_list": "in_list_check",
-    "is_null": "null_presence_flag", "is_not_null": "null_presence_flag", "and_op": "case_when_multi", "or_op": "case_when_multi", "not_op": "case_when_multi",
-    "cast_to_int": "type_cast", "cast_to_decimal": "type_cast", "cast_to_string": "type_cast", "add_days": "add_interval", "date_diff": "date_difference", "parse_date": "parse_datetime", "format_date": "format_datetime",
+    "format_date": "format_datetime", "parse_date": "parse_datetime", "date_diff_days": "date_difference", "add_days": "add_interval", "date_trunc_year": "truncate_to_period",
+    "date_trunc_week": "truncate_to_period", "date_trunc_month": "truncate_to_period", "date_trunc_day": "truncate_to_period", "extract_month": "extract_quarter", "cast_to_int": "type_cast",
+    "cast_to_decimal": "type_cast", "in_list": "in_list_check", "between": "range_check", "is_null": "null_presence_flag", "is_not_null": "null_presence_flag", "eq": "equality_check",
+    "gt": "threshold_flag", "gte": "threshold_flag", "lt": "threshold_flag", "lte": "threshold_flag", "and_op": "case_when_multi", "or_op": "case_when_multi", "not_op": "case_when_multi",
 }
 
 

@@ -49,13 +49,17 @@ TEMPORAL = (
     ("approved", "rejected"), ("locked", "unlocked"), ("subscribed", "unsubscribed"), ("enrolled", "withdrawn"), ("hired", "terminated"),
     ("born", "deceased"), ("birth", "death"), ("login", "logout"), ("checkin", "checkout"), ("entry", "exit"),
 )
-UNITS = tuple(
-    "usd inr eur gbp jpy aud cad chf sgd hkd nzd sek nok dkk zar rub brl mxn krw try aed sar dollar pound rupee yen yuan euro "
-    "kg kilogram gram g lb oz ounce ton tonne km kilometer mile mi meter m ft foot inch in yard yd cm mm "
-    "sec second ms millisecond minute min hour hr day week month year c celsius f fahrenheit kelvin k "
-    "byte kb mb gb tb pb kilobyte megabyte gigabyte terabyte watt kw kilowatt mw megawatt hp horsepower "
-    "liter litre gallon gal ml milliliter pint quart cup".split()
+UNIT_GROUPS = (
+    ("usd", "inr", "eur", "gbp", "jpy", "aud", "cad", "chf", "sgd", "hkd", "nzd", "sek", "nok", "dkk", "zar", "rub", "brl", "mxn", "krw", "try", "aed", "sar", "dollar", "pound", "rupee", "yen", "yuan", "euro"),
+    ("kg", "kilogram", "gram", "g", "lb", "oz", "ounce", "ton", "tonne"),
+    ("km", "kilometer", "mile", "mi", "meter", "m", "ft", "foot", "inch", "in", "yard", "yd", "cm", "mm"),
+    ("sec", "second", "ms", "millisecond", "minute", "min", "hour", "hr", "day", "week", "month", "year"),
+    ("c", "celsius", "f", "fahrenheit", "kelvin", "k"),
+    ("byte", "kb", "mb", "gb", "tb", "pb", "kilobyte", "megabyte", "gigabyte", "terabyte"),
+    ("watt", "kw", "kilowatt", "mw", "megawatt", "hp", "horsepower"),
+    ("liter", "litre", "gallon", "gal", "ml", "milliliter", "pint", "quart", "cup"),
 )
+UNITS = tuple(u for group in UNIT_GROUPS for u in group)
 PENALTIES = {"directional": 0.45, "role": 0.40, "temporal": 0.35, "unit": 0.50}
 PAIRS = {"directional": DIRECTIONAL, "role": ROLES, "temporal": TEMPORAL}
 # Words for the same thing in names.
@@ -64,7 +68,7 @@ SYNONYMS = {
     "manager": ["mgr"], "addr": ["address"], "address": ["addr"], "num": ["number", "no"], "qty": ["quantity"], "amt": ["amount"], "amount": ["amt"],
     "desc": ["description"], "cat": ["category"], "org": ["organization", "organisation"], "loc": ["location"], "location": ["loc"],
     "tel": ["telephone", "phone"], "proj": ["project"], "project": ["proj"], "cust": ["customer"], "customer": ["cust"], "prod": ["product"],
-    "product": ["prod"], "txn": ["transaction"], "acct": ["account"], "account": ["acct"], "fname": ["first", "name"], "lname": ["last", "name"],
+    "product": ["prod"], "txn": ["transaction"], "acct": ["account"], "account": ["acct"], "fname": ["first", "name", "firstname"], "lname": ["last", "name", "lastname"],
     "dob": ["date", "of", "birth"], "title": ["name", "label"], "key": ["id", "pk", "identifier"], "id": ["key", "identifier"],
     "owning": ["owner", "owns"], "annual": ["yearly", "year"], "salary": ["pay", "compensation", "wage"],
 }
@@ -112,8 +116,8 @@ def conflicts(a: Column, b: Column) -> Column:
         found.append(F.when(_any_opposite(a, b, _map(opposite)), kind))
     units = F.array(*map(F.lit, UNITS))
     ua, ub = F.array_intersect(a, units), F.array_intersect(b, units)
-    # any two different units conflict, of the same group or not
-    differ = (F.size(ua) > 0) & (F.size(ub) > 0) & (F.size(F.array_union(ua, ub)) > 1)
+    # any two different units conflict, of the same group or not; a unit and what it stands for are no conflict
+    differ = (F.size(F.array_except(ua, ub)) > 0) & (F.size(F.array_except(ub, ua)) > 0)
     found.append(F.when(differ, "unit"))
     return F.array_sort(F.array_compact(F.array(*found)))
 

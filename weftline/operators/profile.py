@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import normalize, parse_number
+from ..plans.tables import cut
 
 #: Most common values kept of each column.
 MCV = 100
@@ -37,6 +38,33 @@ def value_counts(cells: DataFrame) -> DataFrame:
     return counted.withColumn("number", parse_number(F.col("value")))
 
 
+def quantiles(numbers: DataFrame, shares: list[float]) -> DataFrame:
+    """(table, column, quantiles): exact interpolated quantiles of numbers (table, column, number, n), distinct rows.
+
+    Numbers are range-partitioned, so no task holds a column: ranks are running sums within a part of a column, on top
+    of the sums of the parts before, and only the parts that hold a quantile's rank are searched for it.
+    """
+    key = ["table", "column"]
+    parts = cut(numbers.repartitionByRange(*key, "number").withColumn("part", F.spark_partition_id()), "numbers")
+    sums = parts.groupBy(*key, "part").agg(F.sum("n").alias("held"))
+    ahead = Window.partitionBy(*key).orderBy("part")
+    sums = sums.withColumns({"upto": F.sum("held").over(ahead), "of": F.sum("held").over(Window.partitionBy(*key))})
+    positions = F.array(*[F.lit(float(q)) for q in shares])
+    asked = sums.select(*key, "part", (F.col("upto") - F.col("held")).alias("base"), "upto", "of", F.posexplode(positions).alias("place", "share"))
+    at = F.col("share") * (F.col("of") - 1)
+    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("end"), f(at).cast("long").alias("rank")) for e, f in (("low", F.floor), ("high", F.ceil))]))
+    asked = asked.withColumn("at", at).select("*", ends.alias("e")).select(*key, "part", "base", "upto", "place", "at", "e.*").where("rank >= base and rank < upto")
+    asked = cut(asked.drop("upto"), "ranks")
+    running = F.sum("n").over(Window.partitionBy(*key, "part").orderBy("number"))
+    ranked = parts.withColumn("running", running).join(asked, [*key, "part"])
+    found = ranked.where("rank >= base + running - n and rank < base + running")
+    value = lambda e: F.max(F.when(F.col("end") == e, F.col("number")))
+    found = found.groupBy(*key, "place").agg(value("low").alias("low"), value("high").alias("high"), F.max("at").alias("at"))
+    one = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    found = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", one.alias("value")))).alias("each"))
+    return found.select(*key, F.col("each.value").alias("quantiles"))
+
+
 def profiles(counts: DataFrame) -> DataFrame:
     """One row per column. Ratios of a column without valid values are 0; entropy is 0 for numeric columns."""
     valid = F.col("value").isNotNull()
@@ -47,37 +75,38 @@ def profiles(counts: DataFrame) -> DataFrame:
     )
     # one row a column: as small as the catalog, which the planner sees from its size
     kind = F.when(F.col("valid_count") == 0, "unknown").when(F.col("numbers") >= NUMERIC_SHARE * F.col("valid_count"), "numeric").otherwise("categorical")
-    totals = totals.withColumn("kind", kind)
+    totals = cut(totals.withColumn("kind", kind), "totals")
     joined = counts.where(valid).join(totals.select(*key, "valid_count", "kind"), key)
     share = F.col("n") / F.col("valid_count")
     numeric = F.when(F.col("kind") == "numeric", F.col("number"))
-    weight = F.when(numeric.isNotNull(), F.col("n"))
     length = F.when(F.col("kind") == "categorical", F.char_length("value").cast("double"))
     detail = joined.groupBy(*key).agg(
-        F.when(F.first("kind") == "numeric", F.count_distinct("number")).otherwise(F.count("*")).alias("n_distinct"),
-        F.when(F.first("kind") == "numeric", 0.0).otherwise(-F.sum(share * F.ln(share + 1e-12))).alias("entropy"),
+        F.count("*").alias("n_values"), F.when(F.first("kind") == "numeric", 0.0).otherwise(-F.sum(share * F.ln(share + 1e-12))).alias("entropy"),
         F.min(numeric).alias("min"), F.max(numeric).alias("max"),
         (F.sum(length * F.col("n")) / F.sum(F.when(length.isNotNull(), F.col("n")))).alias("avg_len"),
         (F.sum(length * length * F.col("n")) / F.sum(F.when(length.isNotNull(), F.col("n")))).alias("_len2"),
-        (F.sum(F.when(numeric == F.floor(numeric), F.col("n"))) / F.sum(weight)).alias("integer_ratio"),
-        F.percentile(numeric, F.array(*map(F.lit, QUANTILES)), F.coalesce(weight, F.lit(0)).cast("long")).alias("quantiles"),
-        F.percentile(numeric, F.array(F.lit(0.01), F.lit(0.25), F.lit(0.75), F.lit(0.99)), F.coalesce(weight, F.lit(0)).cast("long")).alias("_q"),
+        (F.sum(F.when(numeric == F.floor(numeric), F.col("n"))) / F.sum(F.when(numeric.isNotNull(), F.col("n")))).alias("integer_ratio"),
     )
-    low, high = (F.col("_q")[1] - 1.5 * (F.col("_q")[2] - F.col("_q")[1]), F.col("_q")[2] + 1.5 * (F.col("_q")[2] - F.col("_q")[1]))
-    ends = detail.select(*key, low.alias("_low"), high.alias("_high"))
-    beyond = joined.where("kind = 'numeric'").join(ends, key).groupBy(*key).agg(
-        (F.sum(F.when((F.col("number") < F.col("_low")) | (F.col("number") > F.col("_high")), F.col("n")).otherwise(0)) / F.sum("n")).alias("_out")
+    numbers = cut(joined.where("kind = 'numeric' and number is not null").groupBy(*key, "number").agg(F.sum("n").alias("n")), "numbers")
+    inner = (0.01, 0.25, 0.75, 0.99)
+    ranks = cut(quantiles(numbers, [*QUANTILES, *inner]), "quantiles")
+    of = lambda q: F.col("quantiles")[len(QUANTILES) + inner.index(q)]
+    reach = 1.5 * (of(0.75) - of(0.25))
+    beyond = numbers.join(ranks.select(*key, (of(0.25) - reach).alias("_low"), (of(0.75) + reach).alias("_high")), key).groupBy(*key).agg(
+        F.count("*").alias("n_numbers"), F.sum(F.when((F.col("number") < F.col("_low")) | (F.col("number") > F.col("_high")), F.col("n")).otherwise(0)).alias("_out")
     )
-    out = totals.join(detail, key, "left").join(beyond, key, "left")
+    out = totals.join(detail, key, "left").join(beyond, key, "left").join(ranks, key, "left")
     many = F.col("numbers") >= 10
+    distinct = F.when(F.col("kind") == "numeric", F.col("n_numbers")).otherwise(F.col("n_values"))
+    out = out.withColumns({"n_distinct": F.coalesce(distinct, F.lit(0)), "inner": F.slice("quantiles", len(QUANTILES) + 1, len(inner)), "quantiles": F.slice("quantiles", 1, len(QUANTILES))})
     return out.select(
         *key, "total_rows", "valid_count", F.try_divide(F.col("total_rows") - F.col("valid_count"), "total_rows").alias("null_frac"), "kind",
-        F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), F.coalesce(F.try_divide("n_distinct", "valid_count"), F.lit(0.0)).alias("distinct_ratio"),
+        "n_distinct", F.coalesce(F.try_divide("n_distinct", "valid_count"), F.lit(0.0)).alias("distinct_ratio"),
         F.coalesce("entropy", F.lit(0.0)).alias("entropy"), "min", "max", F.coalesce("avg_len", F.lit(0.0)).alias("avg_len"),
         F.coalesce(F.sqrt(F.greatest(F.col("_len2") - F.col("avg_len") * F.col("avg_len"), F.lit(0.0))), F.lit(0.0)).alias("std_len"),
-        F.coalesce("integer_ratio", F.lit(0.0)).alias("integer_ratio"), F.when(many, F.coalesce("_out", F.lit(0.0))).otherwise(0.0).alias("outlier_ratio"),
-        F.col("quantiles")[0].alias("q05"), F.col("quantiles")[9].alias("q50"), F.col("quantiles")[18].alias("q95"),
-        "quantiles", F.col("_q")[0].alias("q01"), F.col("_q")[3].alias("q99"),
+        F.coalesce("integer_ratio", F.lit(0.0)).alias("integer_ratio"), F.when(many, F.coalesce(F.try_divide("_out", "valid_count"), F.lit(0.0))).otherwise(0.0).alias("outlier_ratio"),
+        F.get("quantiles", F.lit(0)).alias("q05"), F.get("quantiles", F.lit(9)).alias("q50"), F.get("quantiles", F.lit(18)).alias("q95"),
+        "quantiles", F.get("inner", F.lit(0)).alias("q01"), F.get("inner", F.lit(3)).alias("q99"),
     )
 
 

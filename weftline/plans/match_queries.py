@@ -14,11 +14,26 @@ from ..operators import candidates, execute, joins, metrics, names, paths, profi
 from ..sources import catalog
 from ..sources.tables import table
 from ..streaming.profiles import event_profile
-
-# The part of the star schema that is matched: few columns, declared keys.
-WANTED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "region": ["r_regionkey", "r_name"]}
-KEYS = {"customer": "c_custkey", "nation": "n_nationkey", "orders": "o_orderkey", "region": "r_regionkey"}
-REFERENCES = {"orders.o_custkey": "customer.c_custkey", "customer.c_nationkey": "nation.n_nationkey", "nation.n_regionkey": "region.r_regionkey"}
+from . import matcher_sql
+from .tables import cut
+
+# The star schema as it is matched: all columns of all its tables with their declared types, and the declared keys.
+SCHEMA = {
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+                 "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+}
+WANTED = {n: list(cs) for n, cs in SCHEMA.items()}
+KEYS = {"customer": "c_custkey", "nation": "n_nationkey", "orders": "o_orderkey", "part": "p_partkey", "region": "r_regionkey", "supplier": "s_suppkey"}
+REFERENCES = {
+    "orders.o_custkey": "customer.c_custkey", "customer.c_nationkey": "nation.n_nationkey", "nation.n_regionkey": "region.r_regionkey", "lineitem.l_orderkey": "orders.o_orderkey",
+    "lineitem.l_partkey": "part.p_partkey", "lineitem.l_suppkey": "supplier.s_suppkey", "supplier.s_nationkey": "nation.n_nationkey",
+}
 TARGETS = (("fact_order", "order_key", "int", "identifier of the order"), ("fact_order", "customer_name", "string", "name of the customer"), ("fact_order", "order_status", "string", "status of the order"),
            ("fact_order", "total_price", "decimal", "total price of the order"), ("dim_customer", "customer_key", "int", "key of the customer"), ("dim_customer", "nation_name", "string", "name of the nation"))
 
@@ -27,8 +42,9 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: table(spark, sf_dir, n).select(*c) for n, c in WANTED.items()}
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.value_counts(profile.cells(_tables(spark, sf_dir), WANTED))
+def _counts(spark: SparkSession, sf_dir: str, wanted: dict[str, list[str]] = WANTED) -> DataFrame:
+    frames = _tables(spark, sf_dir)
+    return profile.value_counts(profile.cells({n: frames[n] for n in wanted}, wanted))
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +65,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.profiles(_counts(spark, sf_dir))
+    p = profile.profiles(cut(_counts(spark, sf_dir), "counts"))
     digits = lambda c: F.round(c, 6).alias(c)
     return p.select("table", "column", "total_rows", "valid_count", "kind", "n_distinct", *map(digits, ("null_frac", "distinct_ratio", "entropy", "min", "max", "avg_len", "std_len", "integer_ratio", "q05", "q50", "q95")))
 
@@ -60,22 +76,21 @@ def most_common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.histogram(_counts(spark, sf_dir).where("column = 'o_totalprice'"))
+    return profile.histogram(_counts(spark, sf_dir, {"orders": ["o_totalprice"]}))
 
 
 def shared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir).where("column in ('c_nationkey', 'n_nationkey', 'o_custkey', 'c_custkey', 'n_regionkey', 'r_regionkey')")
+    counts = _counts(spark, sf_dir, {"customer": ["c_custkey", "c_nationkey"], "nation": ["n_nationkey", "n_regionkey"], "orders": ["o_custkey"], "region": ["r_regionkey"]})
     pairs = counts.select("table", "column").distinct()
     side = lambda s: pairs.select(F.col("table").alias(s + "t"), F.col("column").alias(s + "c"))
     return value_similarity.shared_values(counts, side("l").join(side("r"), F.col("lt") < F.col("rt")))
 
 
 def value_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tables import cut
-
     counts = cut(_counts(spark, sf_dir), "counts")
     p = cut(profile.profiles(counts), "profiles")
-    return value_similarity.similarity(counts, p, value_similarity.column_pairs(p))
+    scored = value_similarity.similarity(counts, p, value_similarity.column_pairs(p))
+    return scored.select(*value_similarity.KEY, "value_score", "reason", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in matcher_sql.SIGNALS])
 
 
 def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,15 +98,23 @@ def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = c.select(F.col("column").alias("a")), c.select(F.col("column").alias("b"))
     met = a.join(b, F.col("a") < F.col("b"))
     x, y = F.col("a"), F.col("b")
-    return met.select("a", "b", names.join_name_score(x, y).alias("join_name"), names.lexical_similarity(x, y).alias("lexical"), names.bridge_similarity(x, y).alias("bridge"), names.name_similarity(x, y).alias("name"), names.conflicts(names.words(x), names.words(y)).alias("conflicts"))
+    scores = {"join_name": names.join_name_score(x, y), "lexical": names.lexical_similarity(x, y), "bridge": names.bridge_similarity(x, y), "name": names.name_similarity(x, y)}
+    return met.select("a", "b", *[F.round(v, 9).alias(k) for k, v in scores.items()], F.array_join(names.conflicts(names.words(x), names.words(y)), ",").alias("conflicts"))
 
 
-def join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.discover(_tables(spark, sf_dir), _catalog(spark, sf_dir), composites=False)
 
 
+def join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = [F.array_join(c, ",").alias(c) for c in ("left_cols", "right_cols", "reasons")]
+    return _edges(spark, sf_dir).select("left_table", told[0], "right_table", told[1], "cardinality", "direction", "confidence", told[2], "kind")
+
+
 def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.best_paths(spark, join_edges(spark, sf_dir), "orders", "region")
+    found = paths.best_paths(spark, _edges(spark, sf_dir), "orders", "region")
+    steps = F.array_join(F.transform("steps", lambda s: F.concat_ws(".", s["from"], F.array_join(s["left_cols"], "+"), s["to"], F.array_join(s["right_cols"], "+"))), " ")
+    return found.select("place", F.round("cost", 6).alias("cost"), F.round("probability", 6).alias("probability"), F.round("confidence", 6).alias("confidence"), "hops", F.array_join("tables", ">").alias("tables"), steps.alias("steps"))
 
 
 def declared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +237,14 @@ def _cells_sql() -> str:
         counts AS (SELECT "table", "column", value, TRY_CAST(regexp_replace(replace(value, ',', ''), '%$', '') AS DOUBLE) AS number, count(*) AS n FROM norm GROUP BY ALL)"""
 
 
+_CATALOG = [(n, c, kind, KEYS.get(n) == c, f"{n}.{c}" in REFERENCES) for n, cs in SCHEMA.items() for c, kind in cs.items()]
+_DECLARED = ", ".join(f"('{x}', '{y}'), ('{y}', '{x}')" for x, y in sorted({(a.split(".")[0], b.split(".")[0]) for a, b in REFERENCES.items()}))
+
 SQL = {
+    "value_scores": matcher_sql.value_scores(_cells_sql()),
+    "name_scores": matcher_sql.name_scores([c for cs in WANTED.values() for c in cs]),
+    "join_edges": matcher_sql.join_edges(_cells_sql(), _CATALOG),
+    "join_paths": matcher_sql.best_paths(_cells_sql(), _CATALOG, "orders", "region"),
     "legacy_operators": """
         SELECT o_orderkey, o_totalprice >= 100000 AS gte, o_totalprice >= 100000 AND o_orderdate >= TIMESTAMP '1997-01-01' AS both, o_totalprice >= 100000 OR o_orderdate >= TIMESTAMP '1997-01-01' AS any,
                NOT o_totalprice >= 100000 AS small, trunc(o_totalprice)::BIGINT AS whole, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS cents, CAST(CAST(o_orderdate AS DATE) + 10 AS VARCHAR) AS later,
@@ -253,8 +283,8 @@ SQL = {
         c AS (SELECT combo, key, count(*) FILTER (is_left) AS l, count(*) FILTER (NOT is_left) AS r FROM k GROUP BY ALL),
         s AS (SELECT combo, count(*) FILTER (l > 0 AND r > 0) AS shared, count(*) FILTER (l > 0) AS ld, count(*) FILTER (r > 0) AS rd, sum(l) AS la, sum(r) AS ra, sum(least(l, r)) AS low FROM c GROUP BY combo)
         SELECT combo, round(shared / least(ld, rd), 9) AS contain, round(shared / (ld + rd - shared), 9) AS jacc, round(low / (la + ra - low), 9) AS freq, round(ld / la, 9) AS lu, round(rd / ra, 9) AS ru FROM s""",
-    "declared_paths": """
-        WITH RECURSIVE e(source, target) AS (VALUES ('orders', 'customer'), ('customer', 'orders'), ('customer', 'nation'), ('nation', 'customer'), ('nation', 'region'), ('region', 'nation')),
+    "declared_paths": f"""
+        WITH RECURSIVE e(source, target) AS (VALUES {_DECLARED}),
         p AS (SELECT source AS start, target, [source, target] AS tables, 1 AS hops FROM e
               UNION ALL SELECT p.start, e.target, list_append(p.tables, e.target), p.hops + 1 FROM p JOIN e ON p.target = e.source WHERE NOT list_contains(p.tables, e.target) AND p.hops < 3)
         SELECT start, target, array_to_string(tables, '>') AS tables, round(hops * -ln(0.9::DOUBLE * 0.97), 9) AS cost, hops, CAST(row_number() OVER (PARTITION BY start, target ORDER BY hops, tables) AS INT) AS place FROM p""",

@@ -16,7 +16,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     Plans over the catalog join many small frames; without a cut their analysis costs more than their rows.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="weftline-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = named or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="weftline-"))
     path = f"{folder}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
