@@ -188,44 +188,32 @@ def test_toxicity_held_out(spark):
     clean = [r.is_toxic for r in got if r.toxic == 0]
     bad = [r.is_toxic for r in got if r.toxic == 1]
     assert sum(clean) / len(clean) < 0.05 and sum(bad) / len(bad) > 0.6
-    assert chain.names == ("low_quality", "kind_1", "kind_2", "toxic")
+    assert chain.names == ("insult", "contempt", "toxic")
     # later models see earlier probabilities
-    assert [len(w) - len(chain.features) for w in chain.weights] == [1, 2, 3, 4]
+    assert [len(w) - len(chain.features) for w in chain.weights] == [1, 2, 3]
 
 
 def test_toxicity_chain_by_hand():
     """Each link is fitted beside probabilities that were made without the document's fold; the fit is a stationary point."""
     rng = np.random.default_rng(3)
     toxic = (rng.random(300) < 0.3).astype(float)
-    low = (rng.random(300) < 0.4).astype(float)
     words = []
-    for t, q in zip(toxic, low):
-        pool = ["fine", "good", *(["mud"] if t else ["sun"]), *(["dull"] if q else ["bright"])]
-        own = {w for w in pool if rng.random() < 0.8} | {f"n{rng.integers(0, 40)}"}
-        if t:
-            own |= {f"{'red' if rng.random() < 0.5 else 'blue'}{j}" for j in range(4)}
-        words.append(own)
-    chain = toxicity.fit_chain(words, toxic, low)
+    for t in toxic:
+        own = {w for w in ("fine", "good", "mud" if t else "sun", "dull" if t else "bright") if rng.random() < 0.8}
+        own |= {m for m in ("*insult", "*contempt") if rng.random() < (0.5 if t else 0.1)}
+        words.append(own | {f"n{rng.integers(0, 40)}"})
+    chain = toxicity.fit_chain(words, toxic)
     x = np.array([[1.0, *[f in own for f in chain.features]] for own in words])
-    kind = np.full(300, -1)
-    kind[toxic > 0] = toxicity.kinds_of(x[toxic > 0][:, 1:])
-    reds = np.array(["red0" in own for own in words])[toxic > 0]
-    assert len({(k, r) for k, r in zip(kind[toxic > 0], reds)}) == 2  # the kinds are the two vocabularies
-    labels = [low, (kind == 0) * 1.0, (kind == 1) * 1.0, toxic]
-    early = []
+    labels = [toxic * np.array([m in own for own in words]) for m in ("*insult", "*contempt")] + [toxic]
+    early, fold = [], np.arange(300) % toxicity.FOLDS
     for y, weights in zip(labels, chain.weights):
         full = np.column_stack([x, *early])
         p = 1 / (1 + np.exp(-full @ np.array(weights)))
         shrink = np.r_[1e-6, np.full(full.shape[1] - 1, toxicity.RIDGE)]
         assert np.abs(full.T @ (y - p) - shrink * np.array(weights)).max() < 1e-3
         made = np.zeros(300)
-        for i in range(300):
-            others = np.arange(300) % toxicity.FOLDS != i % toxicity.FOLDS
-            key = i % toxicity.FOLDS
-            if i < toxicity.FOLDS:
-                early_fit = toxicity._logistic(full[others], y[others])
-                same = np.arange(300) % toxicity.FOLDS == key
-                made[same] = 1 / (1 + np.exp(-full[same] @ early_fit))
+        for f in range(toxicity.FOLDS):
+            made[fold == f] = 1 / (1 + np.exp(-full[fold == f] @ toxicity._logistic(full[fold != f], y[fold != f])))
         early.append(made)
     assert 0.2 <= chain.threshold <= 0.9
 

@@ -2,18 +2,17 @@
 
 Categories are predicted one after another by linear (logistic) models over the same word features; each later model
 also sees the earlier categories' probabilities. In training those probabilities are out-of-fold: each labelled
-document's comes from models that did not see its fold. The chain's links are low quality, as labelled; KINDS kinds of
-toxicity, which are the groups that the toxic documents' vocabulary falls into (no words are given beforehand); and
-last toxic, as labelled.
+document's comes from models that did not see its fold. Categories before the last are labelled by a short list of
+words within toxic documents, the last, toxic, by the label itself.
 
 Features are words, and beginnings of words, that the labelled documents tie to the label most strongly, at most
 FEATURES. The fit uses a bounded sample of the labelled documents (TRAIN_ROWS, distinct texts, in order of a hash);
 every document is scored, whole, wherever it is.
 
-Null and empty texts have no features and get the models' base probability; null labels are not used; of rows that
-repeat a text one is fitted; without both classes among the labels every probability is the share of the class;
-repeated rows get the same answer; an empty table gives an empty result. Columns of docs pass through, whatever their
-names, but columns that the result names are replaced.
+Null and empty texts have no features and get the models' base probability; null labels are not used; without both
+classes among the labels every probability is the share of the class; repeated rows get the same answer; an empty
+table gives an empty result. Columns of docs pass through, whatever their names, but columns that the result names are
+replaced.
 """
 
 from __future__ import annotations
@@ -42,20 +41,23 @@ THRESHOLDS = (0.2, 0.9)
 FOLDS = 5
 RIDGE = 1.0
 
-#: Kinds of toxicity, and steps that part toxic documents into them at most.
-KINDS = 2
-KIND_STEPS = 50
+# Words that mark a category within toxic documents.
+CATEGORIES = (
+    ("insult", ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb", "imbecile")),
+    ("contempt", ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage", "vermin", "filth")),
+)
 LAST = "toxic"
 
 _word = re.compile(r"[^\W_]+")
 
 
 def features_of(text: str | None) -> set[str]:
-    """The distinct words of a whole text in lower case, and their beginnings (with a star)."""
+    """The distinct words of a whole text in lower case, their beginnings (with a star), and the categories they mark."""
     words = set(_word.findall((text or "").lower()))
     found = set(words)
     for n in PREFIXES:
         found.update(w[:n] + "*" for w in words if len(w) > n)
+    found.update(f"*{name}" for name, marks in CATEGORIES if not words.isdisjoint(marks))
     return found
 
 
@@ -97,24 +99,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 12) -> np.ndarray:
     return w
 
 
-def kinds_of(x: np.ndarray) -> np.ndarray:
-    """The kind, 0 to KINDS - 1, of each toxic document: k-means of its features' directions, begun along their main axis."""
-    if len(x) < KINDS:
-        return np.zeros(len(x), dtype=int)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, _, axes = np.linalg.svd(unit - unit.mean(axis=0), full_matrices=False)
-    along = unit @ (axes[0] * np.sign(axes[0][np.argmax(np.abs(axes[0]))]))
-    kind = np.argsort(np.argsort(along, kind="stable"), kind="stable") * KINDS // len(x)
-    for _ in range(KIND_STEPS):
-        centres = np.stack([unit[kind == k].mean(axis=0) if (kind == k).any() else unit[k] for k in range(KINDS)])
-        nearest = np.argmin(((unit[:, None, :] - centres) ** 2).sum(axis=2), axis=1)
-        if (nearest == kind).all():
-            break
-        kind = nearest
-    return kind
-
-
-def fit_chain(words: list[set[str]], toxic: np.ndarray, low_quality: np.ndarray) -> Chain:
+def fit_chain(words: list[set[str]], toxic: np.ndarray) -> Chain:
     """Fit on labelled documents' words. Rows are taken in the order given, which fixes the folds."""
     toxic = np.asarray(toxic, dtype=float)
     n, positive = len(words), float(toxic.sum())
@@ -128,16 +113,14 @@ def fit_chain(words: list[set[str]], toxic: np.ndarray, low_quality: np.ndarray)
         if clean + bad >= MIN_DOCS:
             odds = np.log((bad + 0.5) / (positive - bad + 0.5)) - np.log((clean + 0.5) / (n - positive - clean + 0.5))
             z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (clean + 0.5))
-            if abs(z) >= MIN_Z:
+            if abs(z) >= MIN_Z or w.startswith("*"):
                 strength.append((-abs(z), w))
     features = tuple(w for _, w in sorted(strength)[:FEATURES])
     number = {w: i for i, w in enumerate(features)}
     x = np.zeros((n, len(features)))
     for row, own in enumerate(words):
         x[row, [number[w] for w in own if w in number]] = 1.0
-    kind = np.full(n, -1)
-    kind[toxic > 0] = kinds_of(x[toxic > 0])
-    labels = [np.asarray(low_quality, dtype=float), *[(kind == k).astype(float) for k in range(KINDS)], toxic]
+    labels = [toxic * np.array([f"*{name}" in own for own in words], dtype=float) for name, _ in CATEGORIES] + [toxic]
     fold = np.arange(n) % FOLDS
     ones, early, weights = np.ones((n, 1)), np.zeros((n, 0)), []
     out_of_fold = np.zeros(n)
@@ -149,7 +132,7 @@ def fit_chain(words: list[set[str]], toxic: np.ndarray, low_quality: np.ndarray)
             if (fold == f).any():
                 out_of_fold[fold == f] = _sigmoid(full[fold == f] @ _logistic(full[fold != f], y[fold != f]))
         early = np.column_stack([early, out_of_fold])
-    return Chain(features, ("low_quality", *[f"kind_{k + 1}" for k in range(KINDS)], LAST), tuple(weights), _threshold(out_of_fold, toxic))
+    return Chain(features, (*[c for c, _ in CATEGORIES], LAST), tuple(weights), _threshold(out_of_fold, toxic))
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -165,12 +148,10 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order][best] + below) / 2, *THRESHOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", quality: str = "quality", rows: int = TRAIN_ROWS) -> Chain:
-    """Fit on at most rows labelled documents; only their distinct words reach the driver. A null quality counts as good."""
-    low = F.coalesce(F.col(f"`{quality}`").cast("int") == 0, F.lit(False)).cast("int") if quality in labels.columns else F.lit(0)
-    marked = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_toxic"), low.alias("_low")).dropna()
-    marked = marked.groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.max("_low").alias("_low"))
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = TRAIN_ROWS) -> Chain:
+    """Fit on at most rows labelled documents; only their distinct words reach the driver."""
+    marked = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_toxic")).dropna().distinct()
+    chosen = marked.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(rows)
     joined = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id")
 
     def listed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,13 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pd.Series([sorted(features_of(t)) for t in texts], dtype=object)
 
     udf = F.pandas_udf(listed, "array<string>")
-    ends = [F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"), F.max("_low").alias("_low"), F.max("_text").alias("_text")]
+    found = joined.groupBy(F.xxhash64("_text").alias("_same")).agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"), F.max("_text").alias("_text"))
     # an id may stand at several texts
-    found = joined.groupBy(F.xxhash64("_text").alias("_same")).agg(*ends).orderBy(F.xxhash64("_id"), "_id", "_same").limit(rows)
-    sample = found.select("_id", "_same", "_toxic", "_low", udf("_text").alias("_words")).collect()
+    found = found.orderBy(F.xxhash64("_id"), "_id", "_same").limit(rows)
+    sample = found.select("_id", "_same", "_toxic", udf("_text").alias("_words")).collect()
     sample.sort(key=lambda r: (r["_id"], r["_same"]))
-    flags = [np.array([r[c] > 0 for r in sample], dtype=float) for c in ("_toxic", "_low")]
-    return fit_chain([set(r["_words"]) for r in sample], *flags)
+    return fit_chain([set(r["_words"]) for r in sample], np.array([r["_toxic"] > 0 for r in sample], dtype=float))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
