@@ -6,6 +6,7 @@ import hashlib
 import os
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -244,6 +245,46 @@ def test_html_own_elements_nest(spark):
     assert got == {i: "\n".join([f"a{i}", *(["F"] if i == 0 else []), f"b{i}"]) for i in range(6)}
 
 
+def extracted(spark, pages, host="h.example.org"):
+    rows = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    found = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_html_template_text_goes(spark):
+    """A menu that no name tells is known by the host's other pages, and by nothing else."""
+    page = "<html><body><div class=x9>Home | Login</div><div class=q><p>Story {0}</p><p>More</p></div></body></html>"
+    other = "<html><body><div class=q><p>Home | Login</p><p>Alone</p></div></body></html>"
+    pages = [page.format(i).replace("More", f"More {i}") for i in range(5)]
+    assert extracted(spark, pages) == [f"Story {i}\nMore {i}" for i in range(5)]
+    assert extracted(spark, pages[:2]) == [f"Home | Login\nStory {i}\nMore {i}" for i in range(2)]
+    assert extracted(spark, [other]) == ["Home | Login\nAlone"]
+    # pages that are all alike have no text of their own to tell from the template's
+    assert extracted(spark, [pages[0]] * 4) == ["Home | Login\nStory 0\nMore 0"] * 4
+    # text of an article stays, however often it occurs
+    article = "<html><body><p>Menu</p><article><p>Same</p><p>{0}</p></article></body></html>"
+    assert extracted(spark, [article.format(i) for i in range(5)]) == [f"Same\n{i}" for i in range(5)]
+
+
+def test_html_names_inside_of_articles(spark):
+    """A role word among others in a name counts inside of an article if the template has the element."""
+    page = "<html><body><article><p>a{0}</p>{1}</article></body></html>"
+    own = [page.format(i, f'<div class="related-research"><p>r{i}</p></div>' if i == 2 else "") for i in range(6)]
+    assert extracted(spark, own) == [f"a{i}" + ("\nr2" if i == 2 else "") for i in range(6)]
+    each = [page.format(i, f'<div class="ad-leaderboard">buy {i}</div>') for i in range(6)]
+    assert extracted(spark, each) == [f"a{i}" for i in range(6)]
+    plain = '<article><div class="entry-header"><h1>T</h1></div><p class="social-impact">s</p><div class="share-buttons">x</div><div class="ads">y</div></article>'
+    assert html_extract.extract(plain, None) == "T\ns"
+    side = '<div class="sidebar"><div class="u7">ad</div>LEAK</div><p>main</p>'
+    assert html_extract.extract(side, {"div class=sidebar"}) == html_extract.extract(side, None) == "main"
+
+
+def test_html_pages_listed_twice(spark):
+    rows = [("h", i % 3, f"<html><body><i>{i % 3}</i></body></html>") for i in range(6)] + [("h", 7, "<html><body><u>1</u></body></html>")] * 2
+    template = html_extract.host_templates(spark.createDataFrame(rows, "host string, key long, html string")).first().template
+    assert {"html", "body", "/body", "/html", "i", "/i"} <= set(template) and "u" not in template
+
+
 def test_html_pages_equal_a_plain_reading(spark):
     import html
     import re
@@ -313,3 +354,16 @@ def test_license_scan(spark, docs, nothing, clashing):
     assert got[4] == [(None, "MIT", 1)] * 2 and got[5] == [("CC-BY-NC-4.0", "CC-BY-NC-4.0", 1)] and got[6] == got[7] == [(None, "", 0)]
     assert license_scan.scan(nothing).count() == 0 and license_scan.scan(clashing).count() == docs.count()
     assert all(any(a in license_scan.canonical_text(t) for a in ("licens", "permission", "redistribution", "public domain")) for _, t in license_scan.KNOWN)
+
+
+def test_whole_licences(spark):
+    """The texts whose digests are listed, where the system has them, and with other case, spaces and holders."""
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(name, (folder / file).read_text()) for file, name in names.items() if (folder / file).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this system")
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(100 + i, t.upper().replace("\n", " \n\t")) for i, (_, t) in enumerate(texts)]
+    rows += [(200, texts[0][1] + " and one more word"), (201, texts[0][1][:-200])]
+    got = {r.doc_id: r.text_license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {200: None, 201: None} | {k + i: name for i, (name, _) in enumerate(texts) for k in (0, 100)}

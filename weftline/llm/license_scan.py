@@ -77,6 +77,36 @@ KNOWN = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
 
+# Digests of the canonical forms of whole licences (the texts of Debian's common-licenses): with all that follows
+# the terms ("whole"), up to the line that ends the terms ("terms"), and without that line ("before end").
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "whole", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),
+    ("Apache-2.0", "terms", "0933e9fdf25f8a4aced10e10246650350123e13b939182f69b5ec6730ce2d793"),
+    ("Apache-2.0", "before end", "a657010cc8660623635462386107381af70d2c7ec43ab36e27484c72cbb3b28f"),
+    ("Artistic-1.0-Perl", "whole", "7684e7ab2b843b2ea93db77f1db7f373c6a2c3be0cb5c87cb97f1c1752ab1cf4"),
+    ("CC0-1.0", "whole", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "whole", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.3", "whole", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GPL-1.0", "whole", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-1.0", "terms", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-1.0", "before end", "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb"),
+    ("GPL-2.0", "whole", "c230c00f329737cb7ce3d97a266318b4c9d4c1fd321335e592b2ce1112179b88"),
+    ("GPL-2.0", "terms", "ae49934a47b15ec36e1ce1eb7504b3439c29f0e9be2ed0f60ba20ad7124dcb7c"),
+    ("GPL-2.0", "before end", "178d586a448701f01712744f9de166175b5625d05f71dd532a3d694e2b935def"),
+    ("GPL-3.0", "whole", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
+    ("GPL-3.0", "terms", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),
+    ("GPL-3.0", "before end", "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943"),
+    ("LGPL-2.0", "whole", "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135"),
+    ("LGPL-2.0", "terms", "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513"),
+    ("LGPL-2.0", "before end", "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a"),
+    ("LGPL-2.1", "whole", "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70"),
+    ("LGPL-2.1", "terms", "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1"),
+    ("LGPL-2.1", "before end", "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a"),
+    ("LGPL-3.0", "whole", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "whole", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "whole", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+
 #: A line that only says who holds the copyright. Java and RE2 read it alike.
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©|all rights reserved)([^a-z\n][^\n]*)?$"
 #: What is not a letter or digit; anything beyond ASCII counts as one.
@@ -106,7 +136,8 @@ def canonical_text(text: str) -> str:
 
 def known_digests(known: tuple[tuple[str, str], ...] = KNOWN) -> list[tuple[str, str]]:
     """(digest, licence) of each known text, once each."""
-    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, t in known})
+    listed = {(digest, name) for name, _, digest in KNOWN_DIGESTS} if known is KNOWN else set()
+    return sorted(listed | {(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, t in known})
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
