@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import RETAIL, json_tables
-from weftline.operators import candidates, metrics, profile, value_similarity
+from weftline.operators import candidates, joins, metrics, profile, value_similarity
 from weftline.plans import match_queries
 from weftline.sources import catalog
 
@@ -52,6 +52,28 @@ def test_mapping_of_retail_targets(spark):
     assert found["city"].transform == "direct_copy"
 
 
+def test_mapping_order_and_join_paths(spark):
+    schema = {
+        "employees": ("emp_id int pk, first_name string, last_name string, dept_id int fk, manager_id int fk, salary decimal", [(1, "A", "B", 7, 2, 10.0)]),
+        "departments": ("dept_id int pk, dept_name string, budget decimal", [(7, "R", 5.0)]), "projects": ("project_id int pk, project_name string, dept_id int fk", [(3, "P", 7)]),
+    }
+    columns = catalog.from_json_tables(catalog.json_tables(spark, json_tables(schema)))
+    targets = [("employee_name", "string", ""), ("manager_name", "string", ""), ("full_name", "string", ""), ("department_name", "string", "name of the department"), ("owning_department", "string", ""), ("salary", "decimal", ""), ("label", "string", "first and last name")]
+    targets = spark.createDataFrame([("dim_employee", *t) for t in targets], "table string, column string, type string, description string")
+    edges = [("employees", ["dept_id"], "departments", ["dept_id"], "many_to_one", "left_to_right", 0.91, ["pk_fk_relation"], "single"), ("projects", ["dept_id"], "departments", ["dept_id"], "many_to_one", "left_to_right", 0.95, ["pk_fk_relation"], "single")]
+    got = {r.tc: r for r in candidates.plan_mappings(targets, columns, spark.createDataFrame(edges, joins.EDGE)).collect()}
+    for name in ("employee_name", "manager_name", "full_name", "label"):
+        assert (got[name].by, got[name].transform, got[name].refs, got[name].join_path) == ("concat", "concat", ["employees.first_name", "employees.last_name"], None), name
+    # a single column that scores as high as the lookup, here the same one, is left to the ranking
+    for name, by in (("department_name", "rank"), ("owning_department", "lookup")):
+        assert (got[name].by, got[name].transform, got[name].refs) == (by, "fk_lookup", ["departments.dept_name"]), got[name]
+        # the weaker edge is taken: it leads to the target's own table
+        assert [(p["from"], p["to"], p.left_cols, p.confidence) for p in got[name].join_path] == [("employees", "departments", ["dept_id"], 0.91)]
+    assert (got["salary"].by, got["salary"].refs, got["salary"].join_path) == ("rank", ["employees.salary"], None)
+    none = candidates.plan_mappings(targets.limit(0), columns, spark.createDataFrame([], joins.EDGE))
+    assert none.count() == 0
+
+
 def test_transform_inference(spark):
     src = "array<struct<table:string,column:string,type:string>>"
     rows = [
@@ -75,6 +97,15 @@ def test_metrics_and_matching(spark):
     assert dot(a["customer_name"], a["customer_names"]) > 0.8 > dot(a["customer_name"], a["zzz"])
 
 
+def test_mapping_of_the_star_schema(spark):
+    """Prefixes that abbreviate a table stand for it."""
+    got = {(r.tt, r.tc): r for r in match_queries.mapping(spark, "/root/testdata/sf0.001").collect()}
+    want = {("fact_order", "order_key"): "orders.o_orderkey", ("fact_order", "customer_name"): "customer.c_name", ("fact_order", "order_status"): "orders.o_orderstatus",
+            ("fact_order", "total_price"): "orders.o_totalprice", ("dim_customer", "customer_key"): "customer.c_custkey", ("dim_customer", "nation_name"): "nation.n_name"}
+    assert {k: r.refs[0] for k, r in got.items()} == want
+    assert [p["to"] for p in got["fact_order", "customer_name"].join_path] == ["customer"] and got["fact_order", "customer_name"].transform == "fk_lookup"
+
+
 def test_flagship(spark):
     df = match_queries.flagship(spark, "/root/testdata/sf0.001")
     assert df.columns == ["order_key", "customer_name", "order_year", "is_open"]

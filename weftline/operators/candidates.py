@@ -19,6 +19,19 @@ KEY_WORDS = ("key", "id", "pk", "identifier")
 NAME_WORDS = ("name", "full", "fullname")
 DURATION_WORDS = ("diff", "days", "duration", "tenure", "age", "elapsed")
 TEMPLATE_WORDS = ("formatted", "combined", "template")
+# Phrases of descriptions that ask for several columns, and words before "name" that tell people or things.
+COMBINING = ("combining", "combined", "concatenat", "merge", "full name", "first and last", "formatted as", "template")
+PERSON_ROLES = (
+    "lead", "manager", "mgr", "employee", "emp", "customer", "cust", "user", "contact", "owner", "author", "creator", "approver", "reviewer", "assignee", "supervisor",
+)
+ENTITY_WORDS = (
+    "department", "dept", "project", "proj", "product", "prod", "account", "acct", "order", "table", "category", "org", "organization", "company", "team", "group", "region", "store",
+)
+# Target names that stand for parts, and the words that the sources of one alternative must have.
+COMPOSITE_NAMES = {
+    "full_name": [["first", "last"], ["fname", "lname"]], "lead_name": [["first", "last"]], "display_name": [["first", "last"]], "name_email": [["first", "last", "email"], ["name", "email"]],
+    "address": [["street", "city"], ["line1", "city"], ["addr1", "city"]],
+}
 DATE_PARTS = ("year", "month", "quarter", "week", "day", "hour")
 # Priors of families of transformations that can be executed on samples.
 PRIORS = {
@@ -36,6 +49,13 @@ def _share(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(b), F.lit(1))
 
 
+def _name_score(table: Column, column: Column, target: Column) -> Column:
+    """bridge_similarity of the column's name, or of the table's name in place of a prefix that abbreviates it."""
+    prefix = F.regexp_extract(F.lower(column), r"^([a-z]{1,2})_.", 1)
+    whole = F.concat(table, F.lit("_"), F.regexp_replace(column, r"^[A-Za-z]{1,2}_", ""))
+    return F.greatest(bridge_similarity(column, target), F.when((prefix != "") & F.lower(table).startswith(prefix), bridge_similarity(whole, target)))
+
+
 def scored_sources(targets: DataFrame, columns: DataFrame, min_score: float = 0.15) -> DataFrame:
     """Each target with each source column: name, description, type, key and table evidence, best first."""
     t = targets.select(F.col("table").alias("tt"), F.col("column").alias("tc"), F.col("type").alias("t_type"), "description")
@@ -48,7 +68,7 @@ def scored_sources(targets: DataFrame, columns: DataFrame, min_score: float = 0.
     key = F.when(F.col("is_pk") | F.col("is_fk"), F.when(asked, 0.15).otherwise(-0.10)).otherwise(0.0)
     fits = (type_family(F.col("s_type")) == type_family(F.col("t_type"))) | (F.lower("s_type") == F.lower("t_type"))
     kind = F.when(F.coalesce(fits, F.lit(False)), 0.15).otherwise(-0.15)
-    score = bridge_similarity(F.col("sc"), F.col("tc")) + 0.3 * F.when(F.size("d_words") > 0, _share(F.col("s_words"), F.col("d_words"))).otherwise(0.0) + kind + key + 0.2 * _share(F.col("st_words"), F.col("t_words"))
+    score = _name_score(F.col("st"), F.col("sc"), F.col("tc")) + 0.3 * F.when(F.size("d_words") > 0, _share(F.col("s_words"), F.col("d_words"))).otherwise(0.0) + kind + key + 0.2 * _share(F.col("st_words"), F.col("t_words"))
     primary = F.arrays_overlap("st_words", "tt_words")
     found = met.select("tt", "tc", "t_type", "st", "sc", "s_type", "is_pk", "is_fk", "t_words", primary.alias("is_primary"), F.round(score, 6).alias("score")).where(F.col("score") > min_score)
     place = F.row_number().over(Window.partitionBy("tt", "tc").orderBy(F.desc("score"), F.desc("is_primary"), "st", "sc"))
@@ -134,6 +154,93 @@ def select_mappings(found: DataFrame, alternatives: int = 3, threshold: float =
                        F.round(1 / (1 + F.exp(-(first["score"] - 0.42) / 0.20)), 4).alias("confidence"), rest.alias("alternatives"))
 
 
+def concat_asked(target: Column, description: Column, sources: Column) -> Column:
+    """Whether several source columns are the parts that a target's name or description asks for.
+
+    By a known composite name, by a phrase in the description, or by the name of a person's role and "name"
+    (manager_name, but not department_name) over a first and a last name.
+    """
+    words, told = _tokens(target), _tokens(description)
+    arr = lambda ws: F.array(*map(F.lit, ws))
+    held_words = F.array_distinct(F.flatten(F.transform(sources, lambda s: simple_tokens(s["column"]))))
+    has = lambda ws, xs: F.size(F.array_intersect(ws, arr(xs))) == len(set(xs))
+    asked = F.lit(False)
+    for name, alternatives in COMPOSITE_NAMES.items():
+        parts = reduce(lambda a, b: a | b, [has(held_words, x) for x in alternatives])
+        named = F.contains(F.replace(F.lower(target), F.lit("_"), F.lit(" ")), F.lit(name.replace("_", " "))) | has(F.array_union(words, told), name.split("_"))
+        asked = asked | (named & parts)
+    phrase = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(description, F.lit(""))), F.lit(x)) for x in COMBINING])
+    roles = _synonymous(F.array_remove(words, "name"))
+    person = F.array_contains(words, "name") & F.arrays_overlap(roles, arr(PERSON_ROLES)) & ~F.arrays_overlap(roles, arr(ENTITY_WORDS))
+    return (F.size(sources) > 1) & (asked | phrase | ((person | has(words, ("full", "name"))) & has(held_words, ("first", "last"))))
+
+
+def lookups(targets: DataFrame, columns: DataFrame, least: float = 0.15, min_score: float = 0.3) -> DataFrame:
+    """The best column of the source table that a target's words name: (tt, tc, t_type, source, is_primary, score).
+
+    Tables are met by their words, so no target is compared with a table that shares none with it.
+    """
+    t = targets.select(F.col("table").alias("tt"), F.col("column").alias("tc"), F.col("type").alias("t_type"), F.array_distinct(F.array_union(_synonymous(_tokens(F.col("column"))), _tokens(F.col("description")))).alias("words"))
+    s = columns.select("table").distinct().select("table", F.array_distinct(_synonymous(_tokens(F.col("table")))).alias("st_words"))
+    met = t.withColumn("word", F.explode("words")).join(s.withColumn("word", F.explode("st_words")), "word")
+    shares = met.groupBy("tt", "tc", "t_type", "words", "table", "st_words").agg((F.count("*") / F.size("words")).alias("share"))
+    primary = F.arrays_overlap("st_words", _synonymous(_tokens(F.col("tt"))))
+    place = F.row_number().over(Window.partitionBy("tt", "tc").orderBy(F.desc("share"), "table"))
+    named = shares.where(F.col("share") > least).withColumns({"place": place, "is_primary": primary}).where("place = 1").select("tt", "tc", "t_type", "words", "table", "is_primary")
+    each = named.join(columns.select("table", F.col("column").alias("sc"), F.col("type").alias("s_type"), "is_pk", "is_fk"), "table")
+    asked = F.arrays_overlap(_tokens(F.col("tc")), F.array(*map(F.lit, ("key", "id", "pk", "fk", "identifier", "code"))))
+    kind = F.when(F.coalesce(compatible(type_bucket(F.col("s_type")), type_bucket(F.col("t_type"))), F.lit(False)), 0.2).otherwise(-0.2)
+    score = _name_score(F.col("table"), F.col("sc"), F.col("tc")) + kind + F.when((F.col("is_pk") | F.col("is_fk")) & ~asked, -0.15).otherwise(0.0)
+    turn = F.row_number().over(Window.partitionBy("tt", "tc").orderBy(F.desc("score"), "sc"))
+    source = F.struct(F.col("table").alias("table"), F.col("sc").alias("column"), F.col("s_type").alias("type"))
+    best = each.withColumn("score", F.round(score, 6)).withColumn("turn", turn).where((F.col("turn") == 1) & (F.col("score") > min_score))
+    return best.select("tt", "tc", "t_type", source.alias("source"), "is_primary", "score")
+
+
+def ways(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tt, table, join_path): for each table with joins, its best edge, one to a primary table of the target table first."""
+    ends = F.array(*[F.struct(F.col(a).alias("table"), F.col(b).alias("other")) for a, b in (("left_table", "right_table"), ("right_table", "left_table"))])
+    step = F.struct(F.col("left_table").alias("from"), F.col("right_table").alias("to"), "left_cols", "right_cols", F.round("confidence", 4).alias("confidence"))
+    each = edges.select(step.alias("step"), F.inline(ends))
+    named = targets.select(F.col("table").alias("tt")).distinct().select("tt", _synonymous(_tokens(F.col("tt"))).alias("tt_words"))
+    primary = F.arrays_overlap(_synonymous(_tokens(F.col("other"))), "tt_words")
+    # target tables meet edges, both of the schemas' size
+    met = named.join(each, F.lit(True)).withColumn("primary", primary)
+    place = F.row_number().over(Window.partitionBy("tt", "table").orderBy(F.desc("primary"), F.desc("step.confidence"), "other", "step.left_cols"))
+    return met.withColumn("place", place).where("place = 1").select("tt", "table", F.array("step").alias("join_path"))
+
+
+def plan_mappings(targets: DataFrame, columns: DataFrame, edges: DataFrame, alternatives: int = 3, threshold: float = 0.2, strong: float = 0.86) -> DataFrame:
+    """select_mappings with the order concat, lookup, rank, and the join that a mapping needs: adds join_path and by.
+
+    Parts that concat_asked finds come first. Else a column of another table that the target's words name is looked up,
+    if it scores over .4 and no single column scores over strong and at least as high. Else the ranking decides. A
+    mapping from outside the target's primary tables has the edge that leads to its table as join_path, others have none.
+    """
+    scored = cut(scored_sources(targets, columns), "scored")
+    found = cut(candidates(scored).join(targets.select(F.col("table").alias("tt"), F.col("column").alias("tc"), "description"), ["tt", "tc"]), "candidates")
+    ranked = select_mappings(found.drop("description"), alternatives, threshold)
+    sure = lambda score, least: F.round(F.greatest(F.lit(least), 1 / (1 + F.exp(-(score - 0.42) / 0.20))), 4)
+    names = F.array_sort(F.transform("sources", lambda s: F.concat_ws(".", s["table"], s["column"])))
+    parts = found.where(concat_asked(F.col("tc"), F.col("description"), F.col("sources"))).withColumn("refs", names)
+    turn = F.row_number().over(Window.partitionBy("tt", "tc").orderBy(F.desc("score"), F.desc("is_primary"), "refs"))
+    kind = F.when(F.col("transform") == "template", "template").otherwise("concat")
+    parts = parts.withColumn("turn", turn).where("turn = 1").select("tt", "tc", F.struct("refs", kind.alias("transform"), sure(F.col("score"), 0.75).alias("confidence"), F.lit("concat").alias("by")).alias("parts"))
+    direct = found.where(F.size("sources") == 1).groupBy("tt", "tc").agg(F.max("score").alias("direct"))
+    looked = lookups(targets, columns).where(~F.col("is_primary") & (F.col("score") > 0.4)).join(direct, ["tt", "tc"], "left")
+    looked = looked.where(F.coalesce(F.col("direct"), F.lit(0.0)) <= F.greatest(F.lit(strong), "score"))
+    kind = infer_transform(F.col("tc"), F.col("t_type"), F.array("source"), F.lit(True))
+    kind = F.when(kind.isin("rename", "direct_copy"), "fk_lookup").otherwise(kind)
+    refs = F.array(F.concat_ws(".", "source.table", "source.column"))
+    looked = looked.select("tt", "tc", F.struct(refs.alias("refs"), kind.alias("transform"), F.round(F.least(F.lit(0.95), F.col("score") * 0.7 + 0.25), 4).alias("confidence"), F.lit("lookup").alias("by")).alias("looked"))
+    ranks = F.struct("refs", "transform", "confidence", F.lit("rank").alias("by"))
+    best = ranked.select("tt", "tc", ranks.alias("ranks"), "alternatives").join(parts, ["tt", "tc"], "full").join(looked, ["tt", "tc"], "full")
+    best = best.select("tt", "tc", F.coalesce("parts", "looked", "ranks").alias("best"), "alternatives").select("tt", "tc", "best.*", "alternatives")
+    table = F.substring_index(F.get("refs", F.lit(0)), ".", 1)
+    outside = ~F.arrays_overlap(_synonymous(_tokens(F.col("table"))), _synonymous(_tokens(F.col("tt"))))
+    return best.withColumn("table", table).join(ways(targets, edges), ["tt", "table"], "left").select("tt", "tc", "refs", "transform", "confidence", F.when(outside, F.col("join_path")).alias("join_path"), "by", "alternatives")
+
+
 def feasible_families(target_type: Column, arity: Column) -> Column:
     """Families of transformations that a target type and a number of sources allow."""
     bucket = type_bucket(target_type)

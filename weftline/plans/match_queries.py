@@ -136,8 +136,8 @@ def tuple_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame(TARGETS, "table string, column string, type string, description string")
-    found = candidates.candidates(candidates.scored_sources(targets, _catalog(spark, sf_dir)))
-    return candidates.select_mappings(found)
+    rows = [(a.split(".")[0], [a.split(".")[1]], b.split(".")[0], [b.split(".")[1]], "many_to_one", "left_to_right", 0.9, ["pk_fk_relation"], "single") for a, b in REFERENCES.items()]
+    return candidates.plan_mappings(targets, _catalog(spark, sf_dir), spark.createDataFrame(rows, joins.EDGE))
 
 
 def star_load(spark: SparkSession, sf_dir: str) -> DataFrame:
