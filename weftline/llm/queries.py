@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality_rules, sharding, simhash, toxicity
+from . import bpe, byte_bpe, exact_dedup, filter_audit, html_extract, license_scan, line_dedup, mixing, quality_rules, sharding, simhash, toxicity
 from .common import held, read_table
 
 BPE_FILE = "word_bpe_49k.json"
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
 
 
@@ -20,6 +21,13 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def byte_bpe_file() -> tuple[str, str]:
+    """The rank file's path and the pattern that cuts words."""
+    import public_tokenizers
+
+    return public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     left = line_dedup.dedup_lines(docs)
@@ -75,6 +83,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digest_documents(docs, *byte_bpe_file()).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -86,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 def _license_sql() -> str:
@@ -155,4 +175,34 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op10_license_scan": _license_sql(),
+    "op12_filter_audit": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                 min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low
+          FROM documents),
+        f AS (
+          SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+                 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > low, false) AS e
+          FROM d),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        t AS (
+          SELECT part, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails,
+                 count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+          FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (
+          SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+          WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        steps AS (
+          SELECT filter_order, step::INT AS step, filter_order[step] AS filter, string_split(filter_order[1:step - 1], '') AS earlier FROM orders, range(1, 6) u(step)),
+        told AS (
+          SELECT part, filter_order, step, filter, n, good, toxic, n_fails, fails[filter] AS fail,
+                 len(list_filter(earlier, x -> x <> '' AND coalesce(fails[x], false))) > 0 AS gone
+          FROM t, steps)
+        SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0)::BIGINT AS kept,
+               coalesce(sum(n) FILTER (fail AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant,
+               coalesce(sum(n) FILTER (fail AND n_fails = 1), 0)::BIGINT AS unique_fails,
+               coalesce(sum(good) FILTER (fail AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fail AND NOT gone), 0)::BIGINT AS toxic_lost,
+               coalesce(sum(n * 120 // n_fails) FILTER (fail), 0)::BIGINT AS shapley
+        FROM told GROUP BY part, filter_order, step, filter""",
 }
