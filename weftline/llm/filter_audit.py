@@ -13,6 +13,7 @@ repeat count as labelled if one of their rows is so. Other columns are not read;
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import permutations
 from math import factorial
@@ -127,15 +128,15 @@ def counted(masks: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> Data
 
 
 def orders(letters: str) -> Column:
-    """Every step of every order: order, step, filter, its bit and the bits of the filters before it, one struct each."""
+    """Every step of every order: filter_order, step, filter, its bit and the bits of the filters before it, one struct each."""
     steps = []
     for order in permutations(letters):
         earlier = 0
         for step, letter in enumerate(order, 1):
             bit = 1 << letters.index(letter)
-            steps.append((F.lit("".join(order)).alias("filter_order"), F.lit(step).alias("step"), F.lit(letter).alias("filter"), F.lit(bit).alias("bit"), F.lit(earlier).alias("earlier")))
+            steps.append({"filter_order": "".join(order), "step": step, "filter": letter, "bit": bit, "earlier": earlier})
             earlier |= bit
-    return F.array(*[F.struct(*s) for s in steps])
+    return F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order string, step int, filter string, bit int, earlier int>>")
 
 
 def steps_of(cells: DataFrame, letters: str) -> DataFrame:

@@ -197,12 +197,12 @@ ORACLE_SQL: dict[str, str] = {
           SELECT filter_order, step::INT AS step, filter_order[step] AS filter, string_split(filter_order[1:step - 1], '') AS earlier FROM orders, range(1, 6) u(step)),
         told AS (
           SELECT part, filter_order, step, filter, n, good, toxic, n_fails, fails[filter] AS fail,
-                 len(list_filter(earlier, x -> x <> '' AND coalesce(fails[x], false))) > 0 AS gone
+                 len(list_filter(earlier, lambda x: x <> '' AND coalesce(fails[x], false))) > 0 AS gone
           FROM t, steps)
         SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0)::BIGINT AS kept,
                coalesce(sum(n) FILTER (fail AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant,
                coalesce(sum(n) FILTER (fail AND n_fails = 1), 0)::BIGINT AS unique_fails,
                coalesce(sum(good) FILTER (fail AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fail AND NOT gone), 0)::BIGINT AS toxic_lost,
-               coalesce(sum(n * 120 // n_fails) FILTER (fail), 0)::BIGINT AS shapley
+               coalesce(sum(n * 120 // greatest(n_fails, 1)) FILTER (fail), 0)::BIGINT AS shapley
         FROM told GROUP BY part, filter_order, step, filter""",
 }
