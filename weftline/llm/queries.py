@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, exact_dedup, filter_audit, html_extract, license_scan, line_dedup, mixing, quality_rules, sharding, simhash, toxicity
+from . import bpe, byte_bpe, conversation_repair, exact_dedup, filter_audit, html_extract, license_scan, line_dedup, mixing, quality_rules, sharding, simhash, toxicity
 from .common import held, read_table
 
 BPE_FILE = "word_bpe_49k.json"
@@ -83,6 +83,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.summarise_repairs(conversation_repair.damaged(rows))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_byte_bpe": op13_byte_bpe,
 }
