@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import TYPES, compatible, normalize_match, parse_date, parse_number, type_bucket, type_family
 from ..plans.tables import cut
-from .names import _synonymous, bridge_similarity, simple_tokens
+from .names import _map, _synonymous, bridge_similarity, simple_tokens
+from .paths import JoinGraph, branch
 
 # Words of target names by what they ask for.
 KEY_WORDS = ("key", "id", "pk", "identifier")
@@ -197,17 +198,63 @@ def lookups(targets: DataFrame, columns: DataFrame, least: float = 0.15, min_sco
     return best.select("tt", "tc", "t_type", source.alias("source"), "is_primary", "score")
 
 
-def ways(targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tt, table, join_path): for each table with joins, its best edge, one to a primary table of the target table first."""
-    ends = F.array(*[F.struct(F.col(a).alias("table"), F.col(b).alias("other")) for a, b in (("left_table", "right_table"), ("right_table", "left_table"))])
-    step = F.struct(F.col("left_table").alias("from"), F.col("right_table").alias("to"), "left_cols", "right_cols", F.round("confidence", 4).alias("confidence"))
-    each = edges.select(step.alias("step"), F.inline(ends))
-    named = targets.select(F.col("table").alias("tt")).distinct().select("tt", _synonymous(_tokens(F.col("tt"))).alias("tt_words"))
-    primary = F.arrays_overlap(_synonymous(_tokens(F.col("other"))), "tt_words")
-    # target tables meet edges, both of the schemas' size
-    met = named.join(each, F.lit(True)).withColumn("primary", primary)
-    place = F.row_number().over(Window.partitionBy("tt", "table").orderBy(F.desc("primary"), F.desc("step.confidence"), "other", "step.left_cols"))
-    return met.withColumn("place", place).where("place = 1").select("tt", "table", F.array("step").alias("join_path"))
+# Beginnings of target tables' names that name no entity, and words for one entity.
+LAYER_WORDS = ("dim", "fact", "bridge", "stg", "raw", "src")
+ENTITY_GROUPS = (
+    ("employee", "staff", "worker", "person", "people"), ("product", "item", "items", "goods", "merchandise", "store_item", "store_items", "catalog"),
+    ("order", "purchase", "sale", "transaction"), ("customer", "client", "buyer", "account"), ("sensor", "device", "probe"), ("reading", "measurement", "observation"),
+    ("department", "dept"), ("project", "initiative"), ("location", "site", "building", "place"), ("supplier", "vendor", "provider"),
+)
+
+
+def primary_tables(targets: DataFrame, columns: DataFrame) -> DataFrame:
+    """(tt, primary, votes): the source table that a target table is about.
+
+    Each pair of a word of the target's name and one of the source's votes 2 if they are the same but for an s at the
+    end, 1.5 if they stand for the same entity. Words meet by equi-joins on themselves and on their groups.
+    """
+    base = lambda c: F.regexp_replace(c, "s+$", "")
+    groups = _map({base_of: [f"#{i}" for i, g in enumerate(ENTITY_GROUPS) if base_of in {w.rstrip("s") for w in g}] for g in ENTITY_GROUPS for base_of in {w.rstrip("s") for w in g}})
+
+    def voters(tables: DataFrame, name: str) -> DataFrame:
+        each = tables.select(name, F.explode(_tokens(F.col(name))).alias("word")).where(~F.col("word").isin(*LAYER_WORDS)).withColumn("base", base(F.col("word")))
+        keys = F.concat(F.array("base"), F.coalesce(F.try_element_at(groups, F.col("base")), F.array().cast("array<string>")))
+        return each.withColumn("key", F.explode(keys))
+
+    t = voters(targets.select(F.col("table").alias("tt")).distinct(), "tt").withColumnRenamed("word", "target_word")
+    s = voters(columns.select(F.col("table").alias("primary")).distinct(), "primary").withColumnRenamed("word", "source_word")
+    met = t.select("tt", "target_word", "key").join(s.select("primary", "source_word", "key"), "key")
+    vote = F.max(F.when(F.col("key").startswith("#"), 1.5).otherwise(2.0)).alias("vote")
+    votes = met.groupBy("tt", "primary", "target_word", "source_word").agg(vote).groupBy("tt", "primary").agg(F.sum("vote").alias("votes"))
+    place = F.row_number().over(Window.partitionBy("tt").orderBy(F.desc("votes"), "primary"))
+    return votes.withColumn("place", place).where("place = 1").drop("place")
+
+
+WAYS = "tt string, tc string, primary string, join_path array<struct<from:string,to:string,left_cols:array<string>,right_cols:array<string>,confidence:double>>"
+
+
+def join_ways(mapped: DataFrame, primaries: DataFrame, edges: DataFrame, min_confidence: float = 0.55) -> DataFrame:
+    """(tt, tc, primary, join_path): the joins that bring each mapping's tables to the target table's primary table.
+
+    For each target table one tree of joins is sought over all tables that its mappings need, so mappings share joins.
+    A target table without votes is rooted in the table that most of its mappings read. The frames are as small as the
+    catalog. A mapping whose tables cannot be reached, or need no join, has no join_path.
+    """
+    roots = {r.tt: r.primary for r in primaries.collect()}
+    needs: dict[str, list[tuple[str, list[str]]]] = {}
+    for r in mapped.select("tt", "tc", "refs").orderBy("tt", "tc").collect():
+        needs.setdefault(r.tt, []).append((r.tc, [x.split(".")[0] for x in r.refs]))
+    graph, rows = JoinGraph(edges, min_confidence), []
+    for tt, each in needs.items():
+        read = [t for _, tables in each for t in tables]
+        root = roots.get(tt) or min(set(read), key=lambda t: (-read.count(t), t), default=None)
+        tree = graph.tree(root, set(read)) if root else []
+        reached = {root, *(s.target for s in tree)}
+        for tc, tables in each:
+            steps = list(dict.fromkeys(s for t in tables for s in branch(tree, t))) if set(tables) <= reached else []
+            told = [(s.source, s.target, list(s.left), list(s.right), round(s.edge if s.edge is not None else s.confidence, 4)) for s in steps]
+            rows.append((tt, tc, root, told or None))
+    return mapped.sparkSession.createDataFrame(rows, WAYS)
 
 
 def plan_mappings(targets: DataFrame, columns: DataFrame, edges: DataFrame, alternatives: int = 3, threshold: float = 0.2, strong: float = 0.86) -> DataFrame:
@@ -215,7 +262,7 @@ def plan_mappings(targets: DataFrame, columns: DataFrame, edges: DataFrame, alte
 
     Parts that concat_asked finds come first. Else a column of another table that the target's words name is looked up,
     if it scores over .4 and no single column scores over strong and at least as high. Else the ranking decides. A
-    mapping from outside the target's primary tables has the edge that leads to its table as join_path, others have none.
+    mapping from outside the target's primary table has the joins that lead from there to its tables as join_path.
     """
     scored = cut(scored_sources(targets, columns), "scored")
     found = cut(candidates(scored).join(targets.select(F.col("table").alias("tt"), F.col("column").alias("tc"), "description"), ["tt", "tc"]), "candidates")
@@ -236,9 +283,9 @@ def plan_mappings(targets: DataFrame, columns: DataFrame, edges: DataFrame, alte
     ranks = F.struct("refs", "transform", "confidence", F.lit("rank").alias("by"))
     best = ranked.select("tt", "tc", ranks.alias("ranks"), "alternatives").join(parts, ["tt", "tc"], "full").join(looked, ["tt", "tc"], "full")
     best = best.select("tt", "tc", F.coalesce("parts", "looked", "ranks").alias("best"), "alternatives").select("tt", "tc", "best.*", "alternatives")
-    table = F.substring_index(F.get("refs", F.lit(0)), ".", 1)
-    outside = ~F.arrays_overlap(_synonymous(_tokens(F.col("table"))), _synonymous(_tokens(F.col("tt"))))
-    return best.withColumn("table", table).join(ways(targets, edges), ["tt", "table"], "left").select("tt", "tc", "refs", "transform", "confidence", F.when(outside, F.col("join_path")).alias("join_path"), "by", "alternatives")
+    best = cut(best, "mappings")
+    ways = join_ways(best, primary_tables(targets, columns), edges)
+    return best.join(ways, ["tt", "tc"], "left").select("tt", "tc", "refs", "transform", "confidence", "primary", "join_path", "by", "alternatives")
 
 
 def feasible_families(target_type: Column, arity: Column) -> Column:

@@ -27,6 +27,8 @@ class Step:
     right: tuple[str, ...]
     confidence: float
     cardinality: str
+    #: The edge's own confidence, before cardinality and direction weigh in.
+    edge: float | None = None
 
     @property
     def cost(self) -> float:
@@ -66,7 +68,7 @@ class JoinGraph:
         confidence = min(1.0, max(1e-6, (e.confidence + gain) * CARDINALITY.get(e.cardinality, 0.88) + turn))
         kind = e.cardinality if not back else {"1:N": "N:1", "N:1": "1:N"}.get(e.cardinality, e.cardinality)
         sides = (e.right_table, e.left_table, tuple(e.right_cols), tuple(e.left_cols)) if back else (e.left_table, e.right_table, tuple(e.left_cols), tuple(e.right_cols))
-        return Step(*sides, confidence, kind)
+        return Step(*sides, confidence, kind, e.confidence)
 
     def paths(self, start: str, target: str, k: int = 3, max_hops: int = 6, required: set[str] = frozenset(), banned: set[str] = frozenset()) -> list[list[Step]]:
         """The k cheapest simple paths that pass all required tables and no banned one.
@@ -93,6 +95,108 @@ class JoinGraph:
                     heapq.heappush(queue, (cost + s.cost, hops + 1, turn, s.target, (*steps, s)))
         return out
 
+    def tree(self, root: str, needed: set[str], exact: int = 7) -> list[Step]:
+        """The cheapest set of joins, all leading away from root, that reaches every needed table that can be reached.
+
+        A directed Steiner tree by dynamic programming over subsets of the needed tables, each grown by a shortest-path
+        search; of equal costs the fewest joins, then the first names. Beyond exact needed tables (the programme grows
+        with 3 to that power) the nearest table not yet reached is joined again and again.
+        """
+        first = self._distances(root)
+        wanted = sorted(t for t in needed if t != root and t in first)
+        if not wanted:
+            return []
+        if len(wanted) > exact:
+            return self._nearest_first(root, wanted)
+        back: dict[str, list[Step]] = {}
+        for steps in self.next.values():
+            for s in steps:
+                back.setdefault(s.target, []).append(s)
+        full = (1 << len(wanted)) - 1
+        best: list[dict[str, tuple]] = [{} for _ in range(full + 1)]
+        for mask in range(1, full + 1):
+            here = best[mask]
+            if mask & (mask - 1) == 0:
+                here[wanted[mask.bit_length() - 1]] = (0.0, 0, ())
+            part = (mask - 1) & mask
+            while part > mask - part:
+                for node, one in best[part].items():
+                    other = best[mask - part].get(node)
+                    if other is not None:
+                        self._better(here, node, (one[0] + other[0], one[1] + other[1], one[2] + other[2]))
+                part = (part - 1) & mask
+            queue = [(*v[:2], self._names(v), node) for node, v in here.items()]
+            heapq.heapify(queue)
+            while queue:
+                cost, hops, _, node = heapq.heappop(queue)
+                value = here[node]
+                if (cost, hops) != value[:2]:
+                    continue
+                for s in back.get(node, ()):
+                    grown = (cost + s.cost, hops + 1, (s, *value[2]))
+                    if self._better(here, s.source, grown):
+                        heapq.heappush(queue, (*grown[:2], self._names(grown), s.source))
+        return self._ordered(root, best[full][root][2])
+
+    @staticmethod
+    def _names(value: tuple) -> tuple:
+        return tuple((s.source, s.target, s.left, s.right) for s in value[2])
+
+    def _better(self, known: dict[str, tuple], node: str, value: tuple) -> bool:
+        rank = lambda v: (round(v[0], 9), v[1], self._names(v))
+        if node in known and rank(known[node]) <= rank(value):
+            return False
+        known[node] = value
+        return True
+
+    def _distances(self, *sources: str) -> dict[str, tuple[float, Step | None]]:
+        """Each table that the sources reach: its distance, and the last step of a shortest path."""
+        found: dict[str, tuple[float, Step | None]] = {}
+        queue = [(0.0, s, 0, None) for s in sources]
+        turn = 0
+        while queue:
+            cost, node, _, step = heapq.heappop(queue)
+            if node in found:
+                continue
+            found[node] = (cost, step)
+            for s in self.next.get(node, ()):
+                turn += 1
+                heapq.heappush(queue, (cost + s.cost, s.target, turn, s))
+        return found
+
+    def _nearest_first(self, root: str, wanted: list[str]) -> list[Step]:
+        reached, steps = {root}, []
+        while left := [t for t in wanted if t not in reached]:
+            found = self._distances(*sorted(reached))
+            node = min(left, key=lambda t: (found[t][0], t))
+            while node not in reached:
+                step = found[node][1]
+                steps.append(step)
+                reached.add(node)
+                node = step.source
+        return self._ordered(root, steps)
+
+    @staticmethod
+    def _ordered(root: str, steps) -> list[Step]:
+        """Each join after the one that brings its source; of two joins to one table the first."""
+        out, reached, left = [], {root}, sorted(set(steps), key=lambda s: (s.cost, s.source, s.target, s.left, s.right))
+        while ready := next((s for s in left if s.source in reached), None):
+            left.remove(ready)
+            if ready.target not in reached:
+                out.append(ready)
+                reached.add(ready.target)
+        return out
+
+
+def branch(tree: list[Step], table: str) -> list[Step]:
+    """The way from a tree's root to one of its tables."""
+    to = {s.target: s for s in tree}
+    way: list[Step] = []
+    while table in to:
+        way.append(to[table])
+        table = to[table].source
+    return way[::-1]
+
 
 def best_paths(spark: SparkSession, edges: DataFrame, start: str, target: str, k: int = 3, **options) -> DataFrame:
     """The k best paths as rows: oriented steps, cost, the product and the geometric mean of confidences."""

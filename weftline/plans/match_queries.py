@@ -35,7 +35,7 @@ REFERENCES = {
     "lineitem.l_partkey": "part.p_partkey", "lineitem.l_suppkey": "supplier.s_suppkey", "supplier.s_nationkey": "nation.n_nationkey",
 }
 TARGETS = (("fact_order", "order_key", "int", "identifier of the order"), ("fact_order", "customer_name", "string", "name of the customer"), ("fact_order", "order_status", "string", "status of the order"),
-           ("fact_order", "total_price", "decimal", "total price of the order"), ("dim_customer", "customer_key", "int", "key of the customer"), ("dim_customer", "nation_name", "string", "name of the nation"))
+           ("fact_order", "total_price", "decimal", "total price of the order"), ("fact_order", "nation_name", "string", "name of the nation"), ("dim_customer", "customer_key", "int", "key of the customer"), ("dim_customer", "nation_name", "string", "name of the nation"))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -135,9 +135,15 @@ def tuple_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of two target tables over the edges that discovery finds in the data."""
     targets = spark.createDataFrame(TARGETS, "table string, column string, type string, description string")
-    rows = [(a.split(".")[0], [a.split(".")[1]], b.split(".")[0], [b.split(".")[1]], "many_to_one", "left_to_right", 0.9, ["pk_fk_relation"], "single") for a, b in REFERENCES.items()]
-    return candidates.plan_mappings(targets, _catalog(spark, sf_dir), spark.createDataFrame(rows, joins.EDGE))
+    return candidates.plan_mappings(targets, _catalog(spark, sf_dir), cut(_edges(spark, sf_dir), "edges"))
+
+
+def mapping_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fact_order, loaded by the mappings that were found along the joins that were discovered."""
+    kinds = {c: kind for tt, c, kind, _ in TARGETS if tt == "fact_order"}
+    return execute.load(_tables(spark, sf_dir), mapping(spark, sf_dir).collect(), "fact_order", kinds)
 
 
 def star_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +207,7 @@ def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARK = {
     "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
-    "name_scores": name_scores, "join_edges": join_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping,
+    "name_scores": name_scores, "join_edges": join_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load,
     "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "set_operations": set_operations, "flagship": flagship,
 }
 
@@ -288,6 +294,9 @@ SQL = {
         p AS (SELECT source AS start, target, [source, target] AS tables, 1 AS hops FROM e
               UNION ALL SELECT p.start, e.target, list_append(p.tables, e.target), p.hops + 1 FROM p JOIN e ON p.target = e.source WHERE NOT list_contains(p.tables, e.target) AND p.hops < 3)
         SELECT start, target, array_to_string(tables, '>') AS tables, round(hops * -ln(0.9::DOUBLE * 0.97), 9) AS cost, hops, CAST(row_number() OVER (PARTITION BY start, target ORDER BY hops, tables) AS INT) AS place FROM p""",
+    "mapping_load": """
+        SELECT o_orderkey AS order_key, c_name AS customer_name, o_orderstatus AS order_status, o_totalprice AS total_price, n_name AS nation_name
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "star_load": """
         SELECT o_orderkey AS order_key, concat_ws(' / ', c_name, n_name) AS customer, r_name AS region, o_totalprice > 100000 AS is_large, lower(c_mktsegment) AS segment
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
