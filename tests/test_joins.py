@@ -55,3 +55,78 @@ def test_paths_equal_brute_force(spark):
     assert round(best["a", "e"], 9) == round(sum(s.cost for s in graph.paths("a", "e", k=1)[0]), 9)
     assert graph.paths("a", "e", k=1, required={"b"})[0][0].target == "b"
     assert all("c" not in {s.target for s in p} for p in graph.paths("a", "e", banned={"c"}))
+
+
+def _graph(spark, rows):
+    return paths.JoinGraph(spark.createDataFrame([(x, ["k"], y, ["k"], "N:M", "undirected", c, [], "single") for x, y, c in rows], joins.EDGE), 0.0)
+
+
+def test_trees_equal_brute_force(spark):
+    """The cheapest tree over all sets of middle tables: each is a minimum spanning tree of its tables."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(3)
+    names = "abcdefg"
+    for _ in range(25):
+        rows = [(x, y, round(rng.uniform(0.3, 0.95), 3)) for x, y in combinations(names, 2) if rng.random() < 0.4]
+        graph = _graph(spark, rows)
+        cost = {(s.source, s.target): s.cost for steps in graph.next.values() for s in steps}
+        needed = set(rng.sample(names, 3))
+        best = None
+        for n in range(len(names)):
+            for middle in combinations([t for t in names if t not in needed | {"a"}], n):
+                nodes = {"a", *needed, *middle}
+                seen, total = {"a"}, 0.0
+                while seen != nodes:
+                    grow = min(((c, y) for (x, y), c in cost.items() if x in seen and y in nodes - seen), default=None)
+                    if grow is None:
+                        break
+                    total += grow[0]
+                    seen.add(grow[1])
+                else:
+                    best = total if best is None else min(best, total)
+        tree = graph.tree("a", needed)
+        if best is None:
+            assert not needed - {"a"} <= {s.target for s in tree}
+            continue
+        assert round(sum(s.cost for s in tree), 9) == round(best, 9)
+        reached = {"a"}
+        for s in tree:
+            assert s.source in reached and s.target not in reached
+            reached.add(s.target)
+        greedy = graph.tree("a", needed, exact=0)
+        assert needed <= {"a", *(s.target for s in greedy)} and sum(s.cost for s in greedy) <= 2 * best + 1e-9
+        for t in needed - {"a"}:
+            way = paths.branch(tree, t)
+            assert way[0].source == "a" and way[-1].target == t and all(p.target == q.source for p, q in zip(way, way[1:]))
+
+
+def test_primary_tables_and_load(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import candidates, execute
+
+    columns = spark.createDataFrame([("employees", "id"), ("departments", "id"), ("sales_orders", "id"), ("vendors", "id")], "table string, column string")
+    targets = spark.createDataFrame([("dim_employee", "x"), ("fact_order", "x"), ("stg_supplier", "x"), ("staff_list", "x"), ("fact_weather", "x")], "table string, column string")
+    found = {r.tt: (r.primary, r.votes) for r in candidates.primary_tables(targets, columns).collect()}
+    # sales votes for order as well: both are words for a purchase
+    assert found == {"dim_employee": ("employees", 2.0), "fact_order": ("sales_orders", 3.5), "stg_supplier": ("vendors", 1.5), "staff_list": ("employees", 1.5)}
+
+    tables = {
+        "lines": spark.createDataFrame([(1, 5, 2, 1.5), (2, 6, 1, 7.0), (3, 9, 1, 1.0)], "line_id int, order_id int, quantity int, price double"),
+        "orders": spark.createDataFrame([(5, 70, "2024-02-03"), (6, None, "bad")], "order_id int, customer_id int, day string"),
+        "people": spark.createDataFrame([(70, "Ann", "Lee")], "customer_id int, first string, last string"),
+    }
+    rows = [("lines", ["order_id"], "orders", ["order_id"], "N:1", "right_parent", 0.9, [], "single"), ("orders", ["customer_id"], "people", ["customer_id"], "N:1", "right_parent", 0.9, [], "single")]
+    mapped = spark.createDataFrame(
+        [("fact_lines", "total", ["lines.quantity", "lines.price"], "arithmetic"), ("fact_lines", "name", ["people.first", "people.last"], "concat"), ("fact_lines", "day", ["orders.day"], "date_parse"), ("fact_lines", "gone", ["nowhere.x"], "rename")],
+        "tt string, tc string, refs array<string>, transform string")
+    primary = spark.createDataFrame([("fact_lines", "lines")], "tt string, primary string")
+    ways = candidates.join_ways(mapped, primary, spark.createDataFrame(rows, joins.EDGE))
+    plan = mapped.join(ways, ["tt", "tc"]).collect()
+    by = {r.tc: r for r in plan}
+    assert [p["to"] for p in by["name"].join_path] == ["orders", "people"] and by["total"].join_path is None and by["gone"].join_path is None
+    kinds = {"total": "double", "name": "string", "day": "date", "gone": "string", "unplanned": "int"}
+    out = execute.load(tables, plan, "fact_lines", kinds).orderBy(F.col("total")).collect()
+    assert [(r.total, r.name, str(r.day), r.gone, r.unplanned) for r in out] == [(1.0, "", "None", None, None), (3.0, "Ann Lee", "2024-02-03", None, None), (7.0, "", "None", None, None)]

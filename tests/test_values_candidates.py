@@ -88,9 +88,6 @@ def test_transform_inference(spark):
 def test_metrics_and_matching(spark):
     ranked = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 1), (3, 1, 0)], "query int, place int, label int")
     assert {r.k: round(r.recall, 4) for r in metrics.recall_at(ranked, [1, 2]).collect()} == {1: 0.3333, 2: 0.6667}
-    one = lambda *v: spark.createDataFrame([(str(x),) for x in v], "value string")
-    assert candidates.match_score(one(1, 2, 3), one(3, 2, 1)).first()[0] == 1.0
-    assert candidates.match_score(one("a b", "c"), one("x y", "z")).first()[0] == 0.0
     v = spark.createDataFrame([("customer_name",), ("customer_names",), ("zzz",)], "t string").select("t", candidates.hashed_grams(F.col("t")).alias("v"))
     a = {r.t: r.v for r in v.collect()}
     dot = lambda x, y: sum(w * y.get(k, 0) for k, w in x.items())
@@ -101,9 +98,11 @@ def test_mapping_of_the_star_schema(spark):
     """Prefixes that abbreviate a table stand for it."""
     got = {(r.tt, r.tc): r for r in match_queries.mapping(spark, "/root/testdata/sf0.001").collect()}
     want = {("fact_order", "order_key"): "orders.o_orderkey", ("fact_order", "customer_name"): "customer.c_name", ("fact_order", "order_status"): "orders.o_orderstatus",
-            ("fact_order", "total_price"): "orders.o_totalprice", ("dim_customer", "customer_key"): "customer.c_custkey", ("dim_customer", "nation_name"): "nation.n_name"}
+            ("fact_order", "total_price"): "orders.o_totalprice", ("fact_order", "nation_name"): "nation.n_name", ("dim_customer", "customer_key"): "customer.c_custkey", ("dim_customer", "nation_name"): "nation.n_name"}
     assert {k: r.refs[0] for k, r in got.items()} == want
     assert [p["to"] for p in got["fact_order", "customer_name"].join_path] == ["customer"] and got["fact_order", "customer_name"].transform == "fk_lookup"
+    assert [(p["from"], p["to"]) for p in got["fact_order", "nation_name"].join_path] == [("orders", "customer"), ("customer", "nation")]
+    assert all(r.primary == {"fact_order": "orders", "dim_customer": "customer"}[tt] for (tt, _), r in got.items())
 
 
 def test_flagship(spark):

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import TYPES, compatible, normalize_match, parse_date, parse_number, type_bucket, type_family
+from ..functions.values import TYPES, compatible, type_bucket, type_family
 from ..plans.tables import cut
 from .names import _map, _synonymous, bridge_similarity, simple_tokens
 from .paths import JoinGraph, branch
@@ -34,12 +34,6 @@ COMPOSITE_NAMES = {
     "address": [["street", "city"], ["line1", "city"], ["addr1", "city"]],
 }
 DATE_PARTS = ("year", "month", "quarter", "week", "day", "hour")
-# Priors of families of transformations that can be executed on samples.
-PRIORS = {
-    "identity": 0.90, "cast_to_string": 0.60, "parse_numeric": 0.60, "parse_date": 0.60, "lower": 0.50, "upper": 0.50, "trim": 0.55, "substring": 0.45,
-    "email_username_extract": 0.45, "split": 0.45, "regex_extract": 0.40, "format": 0.40, "concat": 0.60, "round": 0.50, "scale": 0.45, "arithmetic": 0.50,
-    "ratio": 0.45, "currency_convert": 0.45, "date_part": 0.55, "date_diff": 0.50, "conditional": 0.40,
-}
 
 
 def _tokens(c: Column) -> Column:
@@ -299,48 +293,6 @@ def feasible_families(target_type: Column, arity: Column) -> Column:
     return F.when(arity == 1, one).otherwise(many)
 
 
-def family_column(family: str, *cs: Column) -> Column:
-    """The executable template of a family over one or two source columns, as text."""
-    a = cs[0]
-    b = cs[1] if len(cs) > 1 else a
-    num = [parse_number(c) for c in cs]
-    day = lambda c: F.to_date(parse_date(c))
-    made = {
-        "identity": a, "cast_to_string": a, "parse_numeric": num[0], "parse_date": parse_date(a), "lower": F.lower(a), "upper": F.upper(a), "trim": F.trim(a), "substring": F.right(a, F.lit(4)),
-        "email_username_extract": F.when(F.contains(a, F.lit("@")), F.split_part(a, F.lit("@"), F.lit(1))), "split": F.split(a, r"[\s,;|/_-]+")[0], "regex_extract": F.nullif(F.regexp_extract(a, r"([\w.+-]+@[\w.-]+|\.[A-Za-z0-9]+$)", 1), F.lit("")),
-        "format": F.concat_ws("-", *cs), "concat": F.concat_ws(" ", *cs), "round": F.round(num[0], 2), "scale": num[0] / 100, "arithmetic": reduce(lambda x, y: x + y, num), "ratio": F.try_divide(num[0], parse_number(b)),
-        "currency_convert": num[0] * parse_number(b), "date_part": F.year(day(a)), "date_diff": F.abs(F.datediff(day(a), day(b))), "conditional": F.lower(a).isin("1", "true", "yes", "y", "active", "open"),
-    }
-    return made[family].cast("string")
-
-
-def match_score(made: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row, score: bags of values made and expected (column value in both) compared without regard to order.
-
-    Mostly numbers: .75 of closeness of the sorted values, met by rank, and .25 of the bags' overlap; else .6 of the
-    bags' and .4 of their words' overlap.
-    """
-    value = normalize_match(F.col("value").cast("string"))
-    m, e = (d.select(value.alias("v")).where("v is not null") for d in (made, expected))
-    bag = _bag(m, e)
-    words = _bag(*(d.select(F.explode(F.split(F.lower("v"), r"\W+")).alias("v")).where("v != ''") for d in (m, e)))
-    both = m.withColumn("side", F.lit(0)).union(e.withColumn("side", F.lit(1))).withColumn("x", parse_number(F.col("v")))
-    share = both.agg((F.count("x") / F.greatest(F.count("*"), F.lit(1))).alias("numbers"), (F.max("x") - F.min("x")).alias("span"))
-    # quantiles stand for ranks, so that bags of different sizes and of any size can be compared
-    steps = F.array(*[F.lit(i / 100) for i in range(101)])
-    sides = both.groupBy("side").agg(F.percentile("x", steps).alias("q"))
-    gap = sides.groupBy().pivot("side", [0, 1]).agg(F.first("q")).select((F.aggregate(F.zip_with("0", "1", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, d: s + d) / 101).alias("gap"))
-    whole = share.join(gap, F.lit(True)).join(bag.withColumnRenamed("overlap", "bag"), F.lit(True)).join(words.withColumnRenamed("overlap", "words"), F.lit(True))
-    near = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("gap", "span"), F.lit(0.0)))
-    return whole.select(F.round(F.when(F.col("numbers") >= 0.8, 0.75 * near + 0.25 * F.col("bag")).otherwise(0.6 * F.col("bag") + 0.4 * F.col("words")), 6).alias("score"))
-
-
-def _bag(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Overlap of two bags: shared occurrences over the larger bag."""
-    counts = a.withColumn("s", F.lit(0)).union(b.withColumn("s", F.lit(1))).groupBy("v").agg(F.count(F.when(F.col("s") == 0, 1)).alias("n"), F.count(F.when(F.col("s") == 1, 1)).alias("m"))
-    return counts.agg(F.coalesce(F.try_divide(F.sum(F.least("n", "m")), F.greatest(F.sum("n"), F.sum("m"))), F.lit(0.0)).alias("overlap"))
-
-
 def hashed_grams(text: Column, size: int = 384) -> Column:
     """A reproducible embedding: counts of 2- to 4-character grams by hashed place, as a map of unit length."""
     low = F.concat(F.lit("#"), F.lower(text), F.lit("#"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def expression(transform: str, refs: list[str], target: str, kind: str) -> Colum
         return F.try_to_date(cs[0])
     if transform == "arithmetic":
         counted = any(w in r.lower() for r in refs for w in COUNTING)
-        return F.reduce(F.array(*cs[1:]), cs[0], (lambda a, x: a * x) if counted else (lambda a, x: a + x))
+        return reduce((lambda a, x: a * x) if counted else (lambda a, x: a + x), cs)
     return t.type_cast(cs[0], kind) if transform == "type_cast" else cs[0]
 
 

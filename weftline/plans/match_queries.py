@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as t
 from ..functions import legacy
-from ..operators import candidates, execute, joins, metrics, names, paths, profile, synthesis, value_similarity
+from ..operators import candidates, execute, execution, joins, metrics, names, paths, profile, synthesis, value_similarity
 from ..sources import catalog
 from ..sources.tables import table
 from ..streaming.profiles import event_profile
@@ -146,6 +146,34 @@ def mapping_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute.load(_tables(spark, sf_dir), mapping(spark, sf_dir).collect(), "fact_order", kinds)
 
 
+_DATES, _NUMBERS = ("identity", "parse_date", "substring", "date_part"), ("identity", "round", "scale", "conditional")
+_TEXTS, _PAIRS = ("identity", "lower", "upper", "trim", "substring", "split", "regex_extract", "conditional"), ("concat", "format")
+_SINGLES = {"orders.o_orderdate": _DATES, "orders.o_totalprice": _NUMBERS, "orders.o_orderpriority": _TEXTS, "orders.o_orderstatus": _TEXTS,
+            "customer.c_name": _TEXTS, "customer.c_mktsegment": _TEXTS, "customer.c_acctbal": _NUMBERS, "customer.c_nationkey": _NUMBERS}
+_SEVERAL = {("customer.c_name", "customer.c_mktsegment"): _PAIRS, ("orders.o_orderpriority", "orders.o_orderstatus"): _PAIRS, ("orders.o_totalprice", "customer.c_acctbal"): ("arithmetic", "ratio", "currency_convert", "conditional")}
+EXECUTED = ("order_year", "segment_lower", "price_hundredth", "customer_label", "priority_end", "price_total")
+SAMPLE = 500
+
+
+def execution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All templates over columns of orders and customers against samples of six target columns.
+
+    The targets' samples are other rows than the candidates': they are drawn by another salt.
+    """
+    frames = {n: table(spark, sf_dir, n) for n in ("customer", "orders")}
+    o = execution.sample_rows(frames["orders"], ["o_orderkey"], SAMPLE, "target")
+    c = execution.sample_rows(frames["customer"], ["c_custkey"], SAMPLE, "target")
+    expected = [
+        o.select(F.lit("order_year").alias("target"), "pos", F.year("o_orderdate").cast("string").alias("value")), c.select(F.lit("segment_lower"), "pos", F.lower("c_mktsegment")),
+        o.select(F.lit("price_hundredth"), "pos", (F.col("o_totalprice") / 100).cast("string")), c.select(F.lit("customer_label"), "pos", F.concat_ws(" ", "c_name", "c_mktsegment")),
+        o.select(F.lit("priority_end"), "pos", F.right("o_orderpriority", F.lit(4))), o.select(F.lit("price_total"), "pos", F.col("o_totalprice").cast("string")),
+    ]
+    tried = [execution.Candidate(t, (r,), f) for t in EXECUTED for r, f in _SINGLES.items()] + [execution.Candidate(t, r, f) for t in EXECUTED for r, f in _SEVERAL.items()]
+    way = [paths.Step("orders", "customer", ("o_custkey",), ("c_custkey",), 0.9, "N:1")]
+    found = execution.execution_scores(frames, "orders", ["o_orderkey"], way, tried, reduce(DataFrame.union, expected), SAMPLE)
+    return found.select("target", "refs", "family", "n", F.round("score", 6).alias("score"))
+
+
 def star_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _tables(spark, sf_dir)
     step = lambda a, x, b, y: paths.Step(a, b, (x,), (y,), 1.0, "N:1")
@@ -207,7 +235,7 @@ def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARK = {
     "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
-    "name_scores": name_scores, "join_edges": join_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load,
+    "name_scores": name_scores, "join_edges": join_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load, "execution_scores": execution_scores,
     "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "set_operations": set_operations, "flagship": flagship,
 }
 
@@ -249,6 +277,7 @@ _DECLARED = ", ".join(f"('{x}', '{y}'), ('{y}', '{x}')" for x, y in sorted({(a.s
 SQL = {
     "value_scores": matcher_sql.value_scores(_cells_sql()),
     "name_scores": matcher_sql.name_scores([c for cs in WANTED.values() for c in cs]),
+    "execution_scores": matcher_sql.execution_scores(EXECUTED, _SINGLES, _SEVERAL, SAMPLE),
     "join_edges": matcher_sql.join_edges(_cells_sql(), _CATALOG),
     "join_paths": matcher_sql.best_paths(_cells_sql(), _CATALOG, "orders", "region"),
     "legacy_operators": """

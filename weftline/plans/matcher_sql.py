@@ -155,3 +155,74 @@ def best_paths(cells: str, columns: list[tuple[str, str, str, bool, bool]], star
         found AS (SELECT *, list_sum(list_transform(ps, lambda x: -ln(x * 0.97))) AS cost FROM walks WHERE g = '{target}')
         SELECT row_number() OVER (ORDER BY cost, len(ps), steps)::INT AS place, round(cost, 6) AS cost, round(exp(-cost), 6) AS probability, round(exp(list_avg(list_transform(ps, lambda x: ln(x)))), 6) AS confidence, len(ps)::INT AS hops,
                array_to_string(tables, '>') AS tables, array_to_string(steps, ' ') AS steps FROM found QUALIFY place <= {k}""")
+
+
+# What each template gives in SQL: a and b are trimmed cells that are not empty, m the median of a's numbers.
+_TEMPLATES = {
+    "identity": "a", "lower": "lower(a)", "upper": "upper(a)", "trim": "trim(a)", "substring": "CASE WHEN length(a) >= 4 THEN right(a, 4) END", "parse_date": "left(a, 10)",
+    "split": "nullif(trim(string_split_regex(a, '[_\\-\\s/]+')[1], '.'), '')", "regex_extract": "nullif(lower(regexp_extract(a, '\\.([A-Za-z0-9]{1,8})$', 1)), '')",
+    "round": "round(a::DOUBLE, 2)::VARCHAR", "scale": "(a::DOUBLE / 100)::VARCHAR", "date_part": "left(a, 4)", "concat": "concat_ws(' ', a, b)", "format": "concat_ws('-', a, b)",
+    "arithmetic": "(a::DOUBLE + b::DOUBLE)::VARCHAR", "ratio": "CASE WHEN b::DOUBLE <> 0 THEN (a::DOUBLE / b::DOUBLE)::VARCHAR END", "currency_convert": "(a::DOUBLE * b::DOUBLE)::VARCHAR",
+}
+
+
+def execution_scores(targets: tuple, singles: dict, several: dict, rows: int) -> str:
+    """All templates over a sample of orders joined to customers, against samples of the targets."""
+    cell = lambda r: f"nullif(trim({r.split('.')[1]}::VARCHAR), '')"
+    each = []
+    for refs, families in [*(((r,), f) for r, f in singles.items()), *several.items()]:
+        name, a, b = "+".join(refs), cell(refs[0]), cell(refs[-1])
+        for family in families:
+            made = _TEMPLATES.get(family)
+            if family == "conditional" and len(refs) > 1:
+                made = "(a::DOUBLE > b::DOUBLE)::VARCHAR"
+            elif family == "conditional":
+                number = refs[0] in ("orders.o_totalprice", "customer.c_acctbal", "customer.c_nationkey")
+                made = f"(a::DOUBLE >= (SELECT quantile_cont({refs[0].split('.')[1]}::DOUBLE, 0.5) FROM drawn))::VARCHAR" if number else "(lower(a) IN ('active', 'open', 'yes', 'true', '1'))::VARCHAR"
+            each.append(f"SELECT '{name}' AS refs, '{family}' AS family, pos, {made} AS value FROM (SELECT pos, {a} AS a, {b} AS b FROM drawn) WHERE a IS NOT NULL AND b IS NOT NULL")
+    made = "\n          UNION ALL ".join(each)
+    listed = ", ".join(f"('{t}')" for t in targets)
+    draw = lambda t, k, salt: f"SELECT *, row_number() OVER (ORDER BY md5('{salt}|' || {k}), {k}) AS pos FROM {t} QUALIFY pos <= {rows}"
+    bag = "target, refs, family"
+    return f"""
+        WITH drawn AS (SELECT * FROM ({draw('orders', 'o_orderkey', '')}) LEFT JOIN customer ON o_custkey = c_custkey),
+        o AS ({draw('orders', 'o_orderkey', 'target')}),
+        c AS ({draw('customer', 'c_custkey', 'target')}),
+        expected AS (
+          SELECT 'order_year' AS target, pos, year(o_orderdate)::VARCHAR AS value FROM o
+          UNION ALL SELECT 'segment_lower', pos, lower(c_mktsegment) FROM c
+          UNION ALL SELECT 'price_hundredth', pos, (o_totalprice / 100)::VARCHAR FROM o
+          UNION ALL SELECT 'customer_label', pos, concat_ws(' ', c_name, c_mktsegment) FROM c
+          UNION ALL SELECT 'priority_end', pos, right(o_orderpriority, 4) FROM o
+          UNION ALL SELECT 'price_total', pos, o_totalprice::VARCHAR FROM o),
+        made AS (
+          {made}),
+        told AS (SELECT * FROM made, (VALUES {listed}) v(target) WHERE value IS NOT NULL),
+        bags AS (
+          SELECT *, TRY_CAST(regexp_replace(replace(value, ',', ''), '%$', '') AS DOUBLE) AS x FROM (
+            SELECT {bag}, pos, lower(trim(value)) AS value, 0 AS side FROM told
+            UNION ALL SELECT {bag}, e.pos, lower(trim(e.value)), 1 FROM (SELECT DISTINCT {bag} FROM told) JOIN expected e USING (target))
+          WHERE value <> ''),
+        sides AS (
+          SELECT {bag}, count(*) FILTER (side = 0) AS pn, count(x) FILTER (side = 0) AS px, count(*) FILTER (side = 1) AS tn, count(x) FILTER (side = 1) AS tx
+          FROM bags GROUP BY ALL HAVING pn > 0 AND tn > 0),
+        kinds AS (SELECT *, px >= 0.8 * pn AND tx >= 0.8 * tn AS is_number, least(px, tx) AS n FROM sides),
+        early AS (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {bag}, side ORDER BY pos, x) AS early FROM bags WHERE x IS NOT NULL)
+          JOIN (SELECT {bag}, n FROM kinds WHERE is_number) USING ({bag}) WHERE early <= n),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY {bag}, side ORDER BY x) AS rank FROM early),
+        near AS (
+          SELECT {bag}, greatest(0, 1 - avg(abs(p.x - t.x)) / greatest(max(t.x) - min(t.x), max(p.x) - min(p.x), 1e-9::DOUBLE)) AS near
+          FROM (SELECT * FROM ranked WHERE side = 0) p JOIN (SELECT * FROM ranked WHERE side = 1) t USING ({bag}, rank) GROUP BY ALL),
+        units AS (
+          SELECT 'exact' AS unit, {bag}, side, round(x, 6)::VARCHAR AS v FROM early
+          UNION ALL SELECT 'texts', {bag}, side, value FROM bags
+          UNION ALL SELECT 'words', {bag}, side, unnest(string_split_regex(value, '[^a-z0-9]+')) FROM bags),
+        counted AS (SELECT unit, {bag}, v, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS t FROM units WHERE v <> '' GROUP BY ALL),
+        shared AS (SELECT unit, {bag}, coalesce(sum(least(p, t)) / nullif(least(sum(p), sum(t)), 0), 0)::DOUBLE AS share FROM counted GROUP BY ALL),
+        wide AS (
+          SELECT {bag}, max(share) FILTER (unit = 'exact') AS exact, max(share) FILTER (unit = 'texts') AS texts, max(share) FILTER (unit = 'words') AS words
+          FROM shared GROUP BY ALL)
+        SELECT {bag}, pn AS n,
+               round(CASE WHEN is_number THEN 0.75::DOUBLE * coalesce(near, 0) + 0.25::DOUBLE * coalesce(exact, 0) ELSE 0.6::DOUBLE * coalesce(texts, 0) + 0.4::DOUBLE * coalesce(words, 0) END, 6) AS score
+        FROM kinds LEFT JOIN near USING ({bag}) LEFT JOIN wide USING ({bag})"""
