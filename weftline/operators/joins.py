@@ -6,6 +6,8 @@ small as the catalog; only value counts and tuple counts grow with the data, and
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -20,6 +22,9 @@ from .names import join_name_score
 from .profile import cells, profiles, value_counts
 from .value_similarity import KEY, similarity
 
+#: Rows (a combination and a hash) of all sketches that may be broadcast, some 10 MB; more are joined by a shuffle.
+SAMPLE_ROWS = 500_000
+
 EDGE = "left_table string, left_cols array<string>, right_table string, right_cols array<string>, cardinality string, direction string, confidence double, reasons array<string>, kind string"
 
 
@@ -33,6 +38,8 @@ class Limits:
     pairs_for_composites: int = 24
     composites_per_pair: int = 9
     unique: float = 0.98
+    #: Distinct tuples that a sketch of a combination draws.
+    sketch: int = 1024
     #: Accept columns without values and score them by names, types and constraints alone.
     metadata_only: bool = False
 
@@ -105,12 +112,14 @@ def sibling_penalty(edges: DataFrame) -> DataFrame:
 
 def tuple_counts(df: DataFrame, combos: list[tuple[int, list[str]]]) -> DataFrame:
     """(combo, key, n): equal tuples of each combination of columns, in one scan and one shuffle; no part may be null."""
-    made = []
-    for number, names in combos:
-        parts = [normalize_join(F.col(f"`{c}`").cast("string")) for c in names]
-        whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
-        made.append(F.when(whole, F.struct(F.lit(number).alias("combo"), F.to_json(F.array(*parts)).alias("key"))))
-    return df.select(F.inline(F.array_compact(F.array(*made)))).groupBy("combo", "key").agg(F.count("*").alias("n"))
+    names = sorted({c for _, each in combos for c in each})
+    place = {c: i for i, c in enumerate(names)}
+    told = json.dumps([{"combo": number, "cells": [place[c] for c in each]} for number, each in combos])
+    every = F.from_json(F.lit(told), "array<struct<combo int, cells array<int>>>")
+    cells = df.select(F.array(*[normalize_join(F.col(f"`{c}`").cast("string")) for c in names]).alias("cells"))
+    parts = F.transform(every, lambda x: F.struct(x["combo"].alias("combo"), F.transform(x["cells"], lambda i: F.get(F.col("cells"), i)).alias("parts")))
+    whole = F.filter(parts, lambda x: F.forall(x["parts"], lambda p: p.isNotNull()))
+    return cells.select(F.inline(whole)).groupBy("combo", F.to_json("parts").alias("key")).agg(F.count("*").alias("n"))
 
 
 def tuple_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -124,33 +133,178 @@ def tuple_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
         (F.col("low") / (F.col("lall") + F.col("rall") - F.col("low"))).alias("freq"), (F.col("ld") / F.col("lall")).alias("lu"), (F.col("rd") / F.col("rall")).alias("ru"))
 
 
+@dataclass(frozen=True)
+class Combination:
+    """Two or three column pairs of two tables, tried together as one join key."""
+
+    number: int
+    left: tuple[str, tuple[str, ...]]
+    right: tuple[str, tuple[str, ...]]
+    #: Means of the pairs' confidence, type and constraint scores.
+    pair: float
+    kind: float
+    constraint: float
+    left_parent: bool
+    right_parent: bool
+
+
+def combinations_of(found: list, size: int, first: int, alive: set[frozenset] | None = None) -> list[Combination]:
+    """All sets of size pairs of one pair of tables that repeat no column; of three, those whose parts of two are alive."""
+    out = []
+    for c in combinations(found, size):
+        if len({x.lc for x in c}) < size or len({x.rc for x in c}) < size:
+            continue
+        if alive is not None and not all(frozenset((x.lc, x.rc) for x in part) in alive for part in combinations(c, size - 1)):
+            continue
+        mean = lambda f: sum(getattr(x, f) for x in c) / size
+        out.append(Combination(
+            first + len(out), (c[0].lt, tuple(x.lc for x in c)), (c[0].rt, tuple(x.rc for x in c)), mean("confidence"), mean("type_score"), mean("constraint_score"),
+            all(x.lis_pk or x.lis_unique for x in c) and any(x.ris_fk for x in c), all(x.ris_pk or x.ris_unique for x in c) and any(x.lis_fk for x in c)))
+    return out
+
+
+def tuple_hashes(df: DataFrame, lists: list[tuple[int, tuple[str, ...], float]]) -> DataFrame:
+    """(list, hash) of each row's tuple of each list of columns, of those hashes that fall below the list's share of all.
+
+    lists: number, columns, share. One scan: a row's cells are hashed once, and tuples are mixed from the cells' hashes.
+    A share below 1 keeps the same tuples in every table, so that samples can be compared.
+    """
+    names = sorted({c for _, columns, _ in lists for c in columns})
+    place = {c: i for i, c in enumerate(names)}
+    told = json.dumps([{"list": n, "cells": [place[c] for c in columns], "limit": min(2**53, int(share * 2**53))} for n, columns, share in lists])
+    every = F.from_json(F.lit(told), "array<struct<list int, cells array<int>, limit bigint>>")
+    cell = lambda c: normalize_join(F.col(f"`{c}`").cast("string"))
+    hashed = df.select(F.array(*[F.when(cell(c).isNotNull(), F.xxhash64(cell(c))) for c in names]).alias("hs"))
+    mixed = lambda x: F.aggregate(x["cells"], F.lit(42).cast("long"), lambda h, i: F.when(h.isNotNull() & F.get(F.col("hs"), i).isNotNull(), F.xxhash64(h, F.get(F.col("hs"), i))))
+    made = F.transform(every, lambda x: F.struct(x["list"].alias("list"), mixed(x).alias("hash"), x["limit"].alias("limit")))
+    low = F.filter(made, lambda x: x["hash"].isNotNull() & (F.shiftrightunsigned(x["hash"], 11) < x["limit"]))
+    return hashed.select(F.inline(low)).select("list", "hash")
+
+
+def sketched(tables: dict[str, DataFrame], combos: list[Combination], size: int) -> dict[int, Sketch]:
+    """What a sample says of each combination.
+
+    Of the side with fewer distinct tuples, by approximate counts, those of the smallest hashes are drawn, some size of
+    them or all. Each table is scanned once for the counts, once for all samples drawn from it and once for all that are
+    sought in it; a row of the other side leaves its task only if its tuple is in a sample.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    lists: dict[tuple[str, tuple[str, ...]], int] = {}
+    for c in combos:
+        for side in (c.left, c.right):
+            lists.setdefault(side, len(lists))
+
+    def hashes(wanted: dict[int, float]) -> list[DataFrame]:
+        by: dict[str, list] = {}
+        for (table, columns), n in lists.items():
+            if n in wanted:
+                by.setdefault(table, []).append((n, columns, wanted[n]))
+        return [tuple_hashes(tables[t], each) for t, each in sorted(by.items())]
+
+    everything = reduce(DataFrame.unionByName, hashes(dict.fromkeys(lists.values(), 1.0)))
+    distinct = {r["list"]: r.n for r in everything.groupBy("list").agg(F.approx_count_distinct("hash").alias("n")).collect()}
+    known, draw, seek = [], {}, {}
+    for c in combos:
+        few, many = sorted((lists[c.left], lists[c.right]), key=lambda n: distinct.get(n, 0))
+        share = min(1.0, size / max(1, distinct.get(few, 0)))
+        known.append((c.number, few, many, min(2**53, int(share * 2**53)), share))
+        draw[few] = max(share, draw.get(few, 0.0))
+        seek[many] = max(share, seek.get(many, 0.0))
+    frame = spark.createDataFrame([k[:4] for k in known], "combo int, few int, many int, limit bigint")
+    drawn = cut(reduce(DataFrame.unionByName, hashes(draw)).distinct(), "drawn")
+    sample = drawn.withColumnRenamed("list", "few").join(F.broadcast(frame), "few").where(F.shiftrightunsigned("hash", 11) < F.col("limit"))
+    sample = cut(sample.select("combo", F.col("many").alias("list"), "hash"), "sample")
+    n = sample.count()
+    sought = sample.select("list", "hash").distinct()
+    sought = F.broadcast(sought) if n <= SAMPLE_ROWS else sought
+    met = reduce(DataFrame.unionByName, [h.join(sought, ["list", "hash"], "left_semi") for h in hashes(seek)]).distinct()
+    hits = sample.join(met.withColumn("met", F.lit(1)), ["list", "hash"], "left").groupBy("combo").agg(F.count("*").alias("n"), F.count("met").alias("hits"))
+    found = {r.combo: (r.n, r.hits) for r in hits.collect()}
+    return {number: Sketch(*found.get(number, (0, 0)), share >= 1.0) for number, _, _, _, share in known}
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """Distinct tuples drawn from the side with fewer, those of them that the other side has, and whether all were drawn."""
+
+    drawn: int
+    hits: int
+    whole: bool
+
+    @property
+    def apart(self) -> bool:
+        """No tuple is shared, and so none of a longer combination."""
+        return self.whole and not self.hits
+
+    @property
+    def contain(self) -> float:
+        """Containment in the smaller side, bounded from above.
+
+        A sample of n strays by more than sqrt(ln(10^9) / 2n) once in 10^9 times. Where the sides' counts are too close
+        to tell apart, the smaller side may be the other one, smaller by up to a quarter.
+        """
+        if not self.drawn:
+            return 0.0 if self.whole else 1.0
+        return min(1.0, 1.25 * (self.hits / self.drawn + (0.0 if self.whole else math.sqrt(math.log(1e9) / (2 * self.drawn)))))
+
+
+def _open(c: Combination, sketch: Sketch, limits: Limits) -> bool:
+    """Whether a combination can still be an edge. Jaccard of sets is at most the containment, that of bags at most 1."""
+    score = 0.42 * c.pair + (0.26 + 0.10) * sketch.contain + 0.10 + 0.06 * c.kind + 0.06 * c.constraint + 0.02
+    return sketch.contain >= 0.15 and score >= limits.min_composite - 1e-4
+
+
 def composite_edges(tables: dict[str, DataFrame], pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Edges of two or three column pairs. Combinations are formed from the scored pairs, a list as small as the catalog."""
+    """Edges of two or three column pairs, sought level by level over all pairs of tables at once.
+
+    Combinations are formed from the scored pairs, a list as small as the catalog. Sketches reject those whose tuples
+    hardly meet; three pairs are tried only where no two of them were found, over all tuples, to share none. The tuples
+    of the combinations left are counted exactly, in one scan of each table.
+    """
     spark = pairs.sparkSession
     flag = lambda s, f: F.coalesce(F.col(f"{s}_meta.{f}"), F.lit(False)).alias(s + f)
-    rows = pairs.where(F.col("place") <= limits.pairs_for_composites).select(*KEY, "confidence", "type_score", "constraint_score", *[flag(s, f) for s in "lr" for f in ("is_pk", "is_fk", "is_unique")]).collect()
+    columns = [*KEY, "confidence", "type_score", "constraint_score", *[flag(s, f) for s in "lr" for f in ("is_pk", "is_fk", "is_unique")]]
     by: dict[tuple[str, str], list] = {}
-    for r in sorted(rows, key=lambda r: (-r.confidence, r.lc, r.rc)):
+    for r in sorted(pairs.where(F.col("place") <= limits.pairs_for_composites).select(*columns).collect(), key=lambda r: (r.lt, r.rt, -r.confidence, r.lc, r.rc)):
         by.setdefault((r.lt, r.rt), []).append(r)
-    edges = []
-    for (lt, rt), found in sorted(by.items()):
-        combos = [c for k in (2, 3) for c in combinations(found, k) if len({x.lc for x in c}) == k == len({x.rc for x in c})][:2000]
+    chosen: list[Combination] = []
+    alive: dict[tuple[str, str], set[frozenset]] = {}
+    total = 0
+    for level in (2, 3):
+        combos = []
+        for key, found in by.items():
+            combos += combinations_of(found, level, total + len(combos), alive.get(key, set()) if level > 2 else None)
         if not combos:
-            continue
-        known = [(i, sum(x.confidence for x in c) / len(c), sum(x.type_score for x in c) / len(c), sum(x.constraint_score for x in c) / len(c), [x.lc for x in c], [x.rc for x in c],
-                  all(x.lis_pk or x.lis_unique for x in c) and any(x.ris_fk for x in c), all(x.ris_pk or x.ris_unique for x in c) and any(x.lis_fk for x in c)) for i, c in enumerate(combos)]
-        frame = spark.createDataFrame(known, "combo int, pair_mean double, type_mean double, cons_mean double, left_cols array<string>, right_cols array<string>, lp boolean, rp boolean")
-        met = tuple_metrics(tuple_counts(tables[lt], [(k[0], k[4]) for k in known]), tuple_counts(tables[rt], [(k[0], k[5]) for k in known]))
-        c = F.col
-        scored = frame.join(met, "combo").where("contain >= 0.25 or jacc >= 0.15")
-        one = (c("lu") > limits.unique) != (c("ru") > limits.unique)
-        score = 0.42 * c("pair_mean") + 0.26 * c("contain") + 0.10 * c("jacc") + 0.10 * c("freq") + 0.06 * c("type_mean") + 0.06 * c("cons_mean") + F.when(one, 0.02).otherwise(0.0)
-        scored = scored.withColumn("confidence", F.round(F.least(F.lit(1.0), score), 4)).where(c("confidence") >= limits.min_composite)
-        edges.append(scored.select(
-            F.lit(lt).alias("left_table"), "left_cols", F.lit(rt).alias("right_table"), "right_cols", cardinality(c("lu"), c("ru"), limits.unique).alias("cardinality"),
-            direction(c("lp"), c("rp"), c("lu"), c("ru"), limits.unique).alias("direction"), "confidence", F.array(F.lit("composite")).alias("reasons"), F.lit("composite").alias("kind"),
-        ).orderBy(F.desc("confidence"), "left_cols", "right_cols").limit(limits.composites_per_pair))
-    return reduce(DataFrame.unionByName, edges) if edges else spark.createDataFrame([], EDGE)
+            break
+        total += len(combos)
+        told = sketched(tables, combos, limits.sketch)
+        alive = {}
+        for c in combos:
+            if not told[c.number].apart:
+                alive.setdefault((c.left[0], c.right[0]), set()).add(frozenset(zip(c.left[1], c.right[1])))
+            if _open(c, told[c.number], limits):
+                chosen.append(c)
+    if not chosen:
+        return spark.createDataFrame([], EDGE)
+    rows = [(c.number, c.left[0], list(c.left[1]), c.right[0], list(c.right[1]), c.pair, c.kind, c.constraint, c.left_parent, c.right_parent) for c in chosen]
+    frame = spark.createDataFrame(rows, "combo int, left_table string, left_cols array<string>, right_table string, right_cols array<string>, pair_mean double, type_mean double, cons_mean double, lp boolean, rp boolean")
+
+    def counted(side: str) -> DataFrame:
+        wanted: dict[str, list] = {}
+        for c in chosen:
+            table, names = getattr(c, side)
+            wanted.setdefault(table, []).append((c.number, list(names)))
+        return cut(reduce(DataFrame.unionByName, [tuple_counts(tables[t], each) for t, each in sorted(wanted.items())]), f"{side}-tuples")
+
+    c = F.col
+    scored = frame.join(tuple_metrics(counted("left"), counted("right")), "combo").where("contain >= 0.25 or jacc >= 0.15")
+    one = (c("lu") > limits.unique) != (c("ru") > limits.unique)
+    score = 0.42 * c("pair_mean") + 0.26 * c("contain") + 0.10 * c("jacc") + 0.10 * c("freq") + 0.06 * c("type_mean") + 0.06 * c("cons_mean") + F.when(one, 0.02).otherwise(0.0)
+    scored = scored.withColumn("confidence", F.round(F.least(F.lit(1.0), score), 4)).where(c("confidence") >= limits.min_composite)
+    place = F.row_number().over(Window.partitionBy("left_table", "right_table").orderBy(F.desc("confidence"), "left_cols", "right_cols"))
+    return scored.withColumn("place", place).where(c("place") <= limits.composites_per_pair).select(
+        "left_table", "left_cols", "right_table", "right_cols", cardinality(c("lu"), c("ru"), limits.unique).alias("cardinality"),
+        direction(c("lp"), c("rp"), c("lu"), c("ru"), limits.unique).alias("direction"), "confidence", F.array(F.lit("composite")).alias("reasons"), F.lit("composite").alias("kind"))
 
 
 def best_edges(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:

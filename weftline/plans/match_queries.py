@@ -103,7 +103,7 @@ def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.discover(_tables(spark, sf_dir), _catalog(spark, sf_dir), composites=False)
+    return joins.discover(_tables(spark, sf_dir), _catalog(spark, sf_dir))
 
 
 def join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,25 @@ def join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).select("left_table", told[0], "right_table", told[1], "cardinality", "direction", "confidence", told[2], "kind")
 
 
+# Lines against tables that Spark derives from them: returned lines by order and line, and each part's suppliers.
+COMPOSED = {
+    "lineitem": {"l_orderkey": "bigint", "l_linenumber": "int", "l_partkey": "bigint", "l_suppkey": "bigint", "l_quantity": "double", "l_returnflag": "string"},
+    "part_supply": {"ps_partkey": "bigint", "ps_suppkey": "bigint", "lines": "bigint"},
+    "return_lines": {"order_key": "bigint", "line_number": "int", "part_key": "bigint", "quantity": "double"},
+}
+
+
+def composite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite keys between lines, returned lines and each part's suppliers."""
+    lines = table(spark, sf_dir, "lineitem").select(*COMPOSED["lineitem"])
+    frames = {
+        "lineitem": lines, "part_supply": lines.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.count("*").alias("lines")),
+        "return_lines": lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("part_key"), F.col("l_quantity").alias("quantity")),
+    }
+    edges = joins.discover(frames, catalog.from_frames(spark, frames)).where("kind = 'composite'")
+    return edges.select("left_table", F.array_join("left_cols", ",").alias("left_cols"), "right_table", F.array_join("right_cols", ",").alias("right_cols"), "cardinality", "direction", "confidence")
+
+
 def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paths.best_paths(spark, _edges(spark, sf_dir), "orders", "region")
     steps = F.array_join(F.transform("steps", lambda s: F.concat_ws(".", s["from"], F.array_join(s["left_cols"], "+"), s["to"], F.array_join(s["right_cols"], "+"))), " ")
@@ -235,7 +254,7 @@ def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARK = {
     "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
-    "name_scores": name_scores, "join_edges": join_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load, "execution_scores": execution_scores,
+    "name_scores": name_scores, "join_edges": join_edges, "composite_edges": composite_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load, "execution_scores": execution_scores,
     "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "set_operations": set_operations, "flagship": flagship,
 }
 
@@ -263,9 +282,9 @@ def _synthetic_sql() -> str:
 _NULLS = "('', 'null', 'none', 'nan', 'na', 'n/a', 'nil')"
 
 
-def _cells_sql() -> str:
-    one = lambda n, c: f"SELECT '{n}' AS \"table\", '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM {n}"
-    union = " UNION ALL ".join(one(n, c) for n, cs in WANTED.items() for c in cs)
+def _cells_sql(wanted: dict = WANTED, sources: dict[str, str] | None = None) -> str:
+    one = lambda n, c: f"SELECT '{n}' AS \"table\", '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM {(sources or {}).get(n, n)}"
+    union = " UNION ALL ".join(one(n, c) for n, cs in wanted.items() for c in cs)
     return f"""cells AS ({union}),
         norm AS (SELECT "table", "column", CASE WHEN v IS NULL OR lower(trim(v)) IN {_NULLS} THEN NULL ELSE trim(regexp_replace(lower(v), '\\s+', ' ', 'g')) END AS value FROM cells),
         counts AS (SELECT "table", "column", value, TRY_CAST(regexp_replace(replace(value, ',', ''), '%$', '') AS DOUBLE) AS number, count(*) AS n FROM norm GROUP BY ALL)"""
@@ -274,11 +293,25 @@ def _cells_sql() -> str:
 _CATALOG = [(n, c, kind, KEYS.get(n) == c, f"{n}.{c}" in REFERENCES) for n, cs in SCHEMA.items() for c, kind in cs.items()]
 _DECLARED = ", ".join(f"('{x}', '{y}'), ('{y}', '{x}')" for x, y in sorted({(a.split(".")[0], b.split(".")[0]) for a, b in REFERENCES.items()}))
 
+
+def _composite_sql() -> str:
+    """The edges of COMPOSED's tables, each given as a query in place of a table."""
+    renamed = {"order_key": "l_orderkey", "line_number": "l_linenumber", "part_key": "l_partkey", "quantity": "l_quantity"}
+    sources = {
+        "lineitem": "lineitem", "part_supply": "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, count(*) AS lines FROM lineitem GROUP BY ALL)",
+        "return_lines": "(SELECT " + ", ".join(f"{c} AS {n}" for n, c in renamed.items()) + " FROM lineitem WHERE l_returnflag = 'R')",
+    }
+    declared = [(t, c, kind, False, False) for t, cs in COMPOSED.items() for c, kind in cs.items()]
+    tail = f", {matcher_sql.composite_ctes(declared, sources)} SELECT left_table, left_cols, right_table, right_cols, cardinality, direction, confidence FROM composites"
+    return matcher_sql.join_edges(_cells_sql(COMPOSED, sources), declared, tail)
+
+
 SQL = {
     "value_scores": matcher_sql.value_scores(_cells_sql()),
     "name_scores": matcher_sql.name_scores([c for cs in WANTED.values() for c in cs]),
     "execution_scores": matcher_sql.execution_scores(EXECUTED, _SINGLES, _SEVERAL, SAMPLE),
-    "join_edges": matcher_sql.join_edges(_cells_sql(), _CATALOG),
+    "join_edges": matcher_sql.join_edges(_cells_sql(), _CATALOG, f", {matcher_sql.composite_ctes(_CATALOG)} SELECT * FROM final UNION ALL SELECT * FROM composites"),
+    "composite_edges": _composite_sql(),
     "join_paths": matcher_sql.best_paths(_cells_sql(), _CATALOG, "orders", "region"),
     "legacy_operators": """
         SELECT o_orderkey, o_totalprice >= 100000 AS gte, o_totalprice >= 100000 AND o_orderdate >= TIMESTAMP '1997-01-01' AS both, o_totalprice >= 100000 OR o_orderdate >= TIMESTAMP '1997-01-01' AS any,

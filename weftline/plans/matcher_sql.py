@@ -141,6 +141,51 @@ def join_edges(cells: str, columns: list[tuple[str, str, str, bool, bool]], tail
         {tail}"""
 
 
+def composite_ctes(columns: list[tuple[str, str, str, bool, bool]], sources: dict[str, str] | None = None) -> str:
+    """Edges of two and three column pairs (composites), by counting every combination's tuples. Needs join_edges' CTEs."""
+    names: dict[str, list[str]] = {}
+    for t, c, *_ in columns:
+        names.setdefault(t, []).append(c)
+    source = lambda t: (sources or {}).get(t, t)
+    wide = "\n          UNION ALL ".join(
+        f"SELECT '{t}' AS t, rid, '{c}' AS c, nullif(lower(trim(CAST({c} AS VARCHAR))), '') AS v FROM (SELECT row_number() OVER () AS rid, * FROM {source(t)})" for t, cs in names.items() for c in cs)
+    parent = lambda xs, one, two: " AND ".join(f"{x}.{one}.pk" for x in xs) + " AND (" + " OR ".join(f"{x}.{two}.fk" for x in xs) + ")"
+
+    def made(xs: str) -> str:
+        mean = lambda c: "(" + " + ".join(f"{x}.{c}" for x in xs) + f") / {len(xs)}"
+        joins = " ".join(f"JOIN ranked_pairs {x} ON {x}.lt = x.lt AND {x}.rt = x.rt AND {x}.place > {w}.place" for w, x in zip(xs, xs[1:]))
+        apart = " AND ".join(f"{x}.{c} <> {w}.{c}" for i, x in enumerate(xs) for w in xs[:i] for c in ("lc", "rc"))
+        lists = ", ".join("[" + ", ".join(f"{x}.{c}" for x in xs) + f"] AS {c}s" for c in ("lc", "rc"))
+        return f"SELECT x.lt, x.rt, {lists}, {mean('first')} AS pm, {mean('type_score')} AS tm, {mean('cons')} AS cm, {parent(xs, 'a', 'b')} AS lp, {parent(xs, 'b', 'a')} AS rp FROM ranked_pairs x {joins} WHERE {apart}"
+
+    def tuples(side: str) -> str:
+        return f"""SELECT combo, key, count(*) AS n FROM (
+            SELECT combo, rid, list(v ORDER BY i) AS key
+            FROM (SELECT combo, {side}t AS t, unnest({side}cs) AS c, unnest(range(len({side}cs))) AS i, len({side}cs) AS size FROM combos) JOIN wide_cells USING (t, c)
+            GROUP BY combo, rid, size HAVING count(v) = size) GROUP BY combo, key"""
+
+    return f"""
+        ranked_pairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lt, rt ORDER BY first DESC, lc, rc) AS place FROM kept) WHERE place <= 24),
+        combos AS (SELECT row_number() OVER () AS combo, * FROM ({made('xy')} UNION ALL {made('xyz')})),
+        wide_cells AS (
+          {wide}),
+        left_tuples AS ({tuples('l')}),
+        right_tuples AS ({tuples('r')}),
+        tuple_shares AS (
+          SELECT combo, ld, rd, ld / lall AS lu, rd / rall AS ru, shared / least(ld, rd)::DOUBLE AS contain, shared / (ld + rd - shared)::DOUBLE AS jacc, low / (lall + rall - low)::DOUBLE AS freq
+          FROM (SELECT combo, count(*) AS shared, sum(least(l.n, r.n)) AS low FROM left_tuples l JOIN right_tuples r USING (combo, key) GROUP BY combo)
+          JOIN (SELECT combo, count(*) AS ld, sum(n) AS lall FROM left_tuples GROUP BY combo) USING (combo)
+          JOIN (SELECT combo, count(*) AS rd, sum(n) AS rall FROM right_tuples GROUP BY combo) USING (combo)),
+        composites AS (
+          SELECT lt AS left_table, array_to_string(lcs, ',') AS left_cols, rt AS right_table, array_to_string(rcs, ',') AS right_cols,
+                 CASE WHEN lu >= 0.98 AND ru >= 0.98 THEN '1:1' WHEN lu >= 0.98 THEN '1:N' WHEN ru >= 0.98 THEN 'N:1' ELSE 'N:M' END AS cardinality,
+                 CASE WHEN lp AND NOT rp THEN 'left_parent' WHEN rp AND NOT lp THEN 'right_parent' WHEN lu >= 0.98 AND ru < 0.98 THEN 'left_parent' WHEN ru >= 0.98 AND lu < 0.98 THEN 'right_parent' ELSE 'undirected' END AS direction,
+                 round(least(1, 0.42 * pm + 0.26 * contain + 0.10 * jacc + 0.10 * freq + 0.06 * tm + 0.06 * cm + CASE WHEN (lu > 0.98) <> (ru > 0.98) THEN 0.02 ELSE 0 END)::DOUBLE, 4) AS confidence,
+                 'composite' AS reasons, 'composite' AS kind
+          FROM combos JOIN tuple_shares USING (combo) WHERE (contain >= 0.25 OR jacc >= 0.15) AND confidence >= 0.72
+          QUALIFY row_number() OVER (PARTITION BY lt, rt ORDER BY confidence DESC, lcs, rcs) <= 3)"""
+
+
 def best_paths(cells: str, columns: list[tuple[str, str, str, bool, bool]], start: str, target: str, k: int = 3) -> str:
     """The k cheapest simple paths of at most six hops over the single-column edges."""
     turn = lambda ahead, behind: f"0.03 * CASE direction WHEN '{ahead}' THEN 1.0 WHEN '{behind}' THEN 0.4 ELSE 0 END"
