@@ -310,12 +310,3 @@ def hashed_grams(text: Column, size: int = 384) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two sparse maps."""
     return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
-
-
-def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Exact top k of items (id, type, vector) for queries (query, type, vector), within compatible types."""
-    q = queries.select("query", F.col("type").alias("q_type"), F.col("vector").alias("q_vector"))
-    met = q.join(items, compatible(type_bucket(F.col("q_type")), type_bucket(F.col("type"))))
-    scored = met.select("query", "id", F.round(dot(F.col("q_vector"), F.col("vector")), 9).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as t
 from ..functions import legacy
-from ..operators import candidates, execute, execution, joins, metrics, names, paths, profile, synthesis, value_similarity
+from ..operators import candidates, execute, execution, joins, metrics, names, paths, profile, retrieval, synthesis, value_similarity
 from ..sources import catalog
 from ..sources.tables import table
 from ..streaming.profiles import event_profile
@@ -228,6 +228,29 @@ def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.monotonic(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey"]).withColumn("monotonic", F.round("monotonic", 9))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth vector as a query that accepts all buckets, and all vectors in buckets by label."""
+    rows = table(spark, sf_dir, "embeddings")
+    bucket = F.coalesce(F.col("label").cast("string"), F.lit("none"))
+    items = rows.select(F.col("vec_id").alias("id"), bucket.alias("bucket"), F.col("embedding").alias("vector"))
+    labels = sorted(r.bucket for r in items.select("bucket").distinct().collect())  # as many as there are labels
+    every = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), every.alias("buckets"), F.col("embedding").alias("vector")), items
+
+
+def nearest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 50 vectors of each bucket for every fiftieth, merged: all pairs of a query and a row, in blocks."""
+    queries, items = _vectors(spark, sf_dir)
+    return retrieval.merged(retrieval.search(queries, items, 50), 50).select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+def nearest_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the index of cells."""
+    queries, items = _vectors(spark, sf_dir)
+    index = retrieval.Index.fit(retrieval.unit(items), 50)
+    return retrieval.merged(retrieval.search(queries, items, 50, index), 50).select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' and customers' nations: in both, in either only, and all."""
     c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
@@ -255,7 +278,7 @@ SPARK = {
     "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
     "name_scores": name_scores, "join_edges": join_edges, "composite_edges": composite_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load, "execution_scores": execution_scores,
-    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "set_operations": set_operations, "flagship": flagship,
+    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "nearest_exact": nearest_exact, "nearest_indexed": nearest_indexed, "set_operations": set_operations, "flagship": flagship,
 }
 
 
@@ -376,6 +399,12 @@ SQL = {
     "monotonic": """
         WITH s AS (SELECT n_regionkey - lag(n_regionkey) OVER (ORDER BY n_nationkey) AS step FROM nation)
         SELECT round(greatest(count(*) FILTER (step >= 0), count(*) FILTER (step <= 0)) / count(step), 9) AS monotonic FROM s""",
+    "nearest_exact": """
+        WITH s AS (
+          SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity
+          FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
+        SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INT AS place
+        FROM s QUALIFY place <= 50""",
     "set_operations": """
         SELECT 'both' AS part, * FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)
         UNION ALL SELECT 'customers', * FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)
