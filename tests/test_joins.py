@@ -130,3 +130,49 @@ def test_primary_tables_and_load(spark):
     kinds = {"total": "double", "name": "string", "day": "date", "gone": "string", "unplanned": "int"}
     out = execute.load(tables, plan, "fact_lines", kinds).orderBy(F.col("total")).collect()
     assert [(r.total, r.name, str(r.day), r.gone, r.unplanned) for r in out] == [(1.0, "", "None", None, None), (3.0, "Ann Lee", "2024-02-03", None, None), (7.0, "", "None", None, None)]
+
+
+def test_k_best_paths_equal_brute_force_with_required_and_banned_tables(spark):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(9)
+    for _ in range(12):
+        rows = [(x, y, round(rng.uniform(0.3, 0.95), 3)) for x, y in combinations("abcdefg", 2) if rng.random() < 0.6]
+        graph = _graph(spark, rows)
+
+        def walk(steps, seen, hops):
+            node = steps[-1].target if steps else "a"
+            if node == "g":
+                yield steps
+            elif hops:
+                for s in graph.next.get(node, ()):
+                    if s.target not in seen:
+                        yield from walk([*steps, s], seen | {s.target}, hops - 1)
+
+        for required, banned in ((set(), set()), ({"c"}, set()), ({"b", "d"}, {"e"})):
+            every = [p for p in walk([], {"a"}, 4) if required <= {s.target for s in p} and not banned & {s.target for s in p}]
+            want = sorted(round(sum(s.cost for s in p), 9) for p in every)[:6]
+            got = graph.paths("a", "g", 6, 4, required, banned)
+            assert [round(sum(s.cost for s in p), 9) for p in got] == want
+        fewest = graph.first_hops("a", 4)
+        for t, way in fewest.items():
+            ways = [p for p in graph.paths("a", t, 1000, 4)]
+            least = min(map(len, ways))
+            assert len(way) == least and round(sum(s.cost for s in way), 9) == min(round(sum(s.cost for s in p), 9) for p in ways if len(p) == least)
+
+
+def test_k_best_paths_of_a_dense_graph_are_quick():
+    import random
+    import time
+
+    rng = random.Random(1)
+    graph = paths.JoinGraph.__new__(paths.JoinGraph)
+    graph.next = {f"t{i}": [paths.Step(f"t{i}", f"t{j}", ("k",), ("k",), rng.uniform(0.55, 0.99), "N:1") for j in range(300) if j != i] for i in range(300)}
+    began = time.perf_counter()
+    found = graph.paths("t0", "t299", k=10, max_hops=6)
+    assert time.perf_counter() - began < 10
+    costs = [sum(s.cost for s in p) for p in found]
+    assert len(found) == 10 and costs == sorted(costs) and len({tuple(p) for p in found}) == 10
+    middle = graph.paths("t0", "t299", k=3, max_hops=6, required={"t7", "t8"})
+    assert len(middle) == 3 and all({"t7", "t8"} <= {s.target for s in p} for p in middle) and time.perf_counter() - began < 20

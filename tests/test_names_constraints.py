@@ -71,3 +71,49 @@ def test_values(spark):
     assert [r.d for r in got][5:7] == ["2024-01-02", "2024-01-02"]
     kinds = spark.createDataFrame([("int", "bigint"), ("int", "INT"), ("date", "timestamp"), ("string", "text"), ("int", "string"), ("boolean", "boolean")], "a string, b string")
     assert [r[0] for r in kinds.select(values.type_score(F.col("a"), F.col("b"))).collect()] == [0.95, 1.0, 0.93, 0.90, 0.0, 1.0]
+
+
+def test_names_are_cut_into_words(spark):
+    rows = ["custfirstname", "linenumber", "acctbal", "orderkey", "mktsegment", "shipdate", "birthdate", "ab", "x", "", None, "zzqqj", "extendedprice", "customer"]
+    got = {r.t: r.w for r in spark.createDataFrame([(r,) for r in rows], "t string").select("t", names.segment(F.col("t")).alias("w")).collect()}
+    want = {
+        "custfirstname": ["cust", "first", "name"], "linenumber": ["line", "number"], "acctbal": ["acct", "bal"], "orderkey": ["order", "key"], "mktsegment": ["mktsegment"], "shipdate": ["ship", "date"],
+        "birthdate": ["birthdate"], "ab": ["ab"], "x": ["x"], "": [], None: [], "zzqqj": ["zzqqj"], "extendedprice": ["extended", "price"], "customer": ["customer"],
+    }
+    assert got == want
+
+
+def test_cuts_equal_brute_force(spark):
+    import random
+    from itertools import product
+
+    rng, words = random.Random(2), {"ab": 1.0, "abc": 1.5, "cd": 0.5, "bcd": 0.7, "da": 2.0, "aab": 0.1}
+    tokens = ["".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(60)]
+
+    def brute(t):
+        if t in words:
+            return [t]
+        best = None
+        for cuts in product([0, 1], repeat=len(t) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(t)]
+            parts = [t[i:j] for i, j in zip(at, at[1:])]
+            if min(map(len, parts)) >= 2:
+                value = (sum(words.get(p, 3 + 1.5 * len(p)) for p in parts), parts)
+                best = min(best, value) if best and abs(best[0] - value[0]) > 1e-9 else best if best and best[1] < parts else value
+        return best[1]
+
+    got = {r.t: r.w for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", names.segment(F.col("t"), words).alias("w")).collect()}
+    cost = lambda parts: sum(words.get(p, 3 + 1.5 * len(p)) for p in parts)
+    for t in tokens:
+        assert "".join(got[t]) == t and abs(cost(got[t]) - cost(brute(t))) < 1e-9, (t, got[t], brute(t))
+
+
+def test_meaning_of_the_star_schema(spark):
+    from weftline.plans import match_queries
+
+    rows = [(c,) for cs in match_queries.SCHEMA.values() for c in cs] + [("CustFirstName",), ("xyzw_qty",)]
+    got = {r.c: r.m for r in spark.createDataFrame(rows, "c string").select("c", names.meaning(F.col("c")).alias("m")).collect()}
+    assert got["c_custkey"] == ["c", "customer", "key"] and got["c_acctbal"] == ["c", "account", "balance"] and got["l_shipdate"] == ["l", "shipment", "date"]
+    assert got["CustFirstName"] == ["customer", "first", "name"] and got["n_nationkey"][1:] == ["nation", "key"]
+    asked = spark.createDataFrame(rows, "c string").select("c", names.meaning(F.col("c"), expander=lambda t: F.when(t == "xyzw", "xylophone").otherwise("no")).alias("m"))
+    assert {r.c: r.m for r in asked.collect()}["xyzw_qty"] == ["xylophone", "quantity"]

@@ -5,7 +5,9 @@ All are expressions; dictionaries are small fixed maps inside them. Score distin
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Abbreviations and what they stand for.
@@ -96,6 +98,70 @@ def expand(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.split(F.coalesce(F.try_element_at(known, t), t), " ")))
 
 
+def known_words(more: dict[str, float] | None = None) -> dict[str, float]:
+    """Words that names are cut into, each with its cost: those of this module's tables, the longer the cheaper, and more."""
+    told = [*ABBREVIATIONS, *ABBREVIATIONS.values(), *SYNONYMS, *[w for pairs in PAIRS.values() for p in pairs for w in p]]
+    usable = lambda phrases: {w for phrase in phrases for w in phrase.split(" ") if w.isalpha() and len(w) > 1}
+    found, others = usable(told), usable(w for vs in SYNONYMS.values() for w in vs)
+    # a synonym that is two of the words run together is no word of its own
+    found |= {w for w in others if not any(w[:i] in found | others and w[i:] in found | others for i in range(3, len(w) - 2))}
+    return {w: 1 + 6 / len(w) for w in found} | (more or {})
+
+
+def weighed_words(words: DataFrame, most: int = 20_000) -> dict[str, float]:
+    """Costs of the most frequent words of a column word: minus the logarithm of each word's share, at most that many words."""
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    return {r.word: math.log(total / r.n) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
+
+
+def segment(token: Column, words: dict[str, float] | None = None, least: int = 2) -> Column:
+    """A token cut into words: the cheapest cut by dynamic programming over its places, of equals the first by its parts.
+
+    A known word is never cut. What no word covers stays as a part of its own and costs 3 and 1.5 for each letter; parts
+    of fewer letters than least are not allowed, so a token that would need one stays whole.
+    """
+    words = known_words() if words is None else words
+    costs, longest = _map(words), max(map(len, words), default=1)
+    never = F.lit(1e6)
+
+    def cost(part: Column) -> Column:
+        n = F.char_length(part)
+        return F.when(n < least, never).otherwise(F.coalesce(F.try_element_at(costs, part), 3 + 1.5 * n))
+
+    def best(done: Column, end: Column) -> Column:
+        # words are at most longest letters long; what no word covers may be longer, up to the whole token
+        starts = F.sequence(F.lit(0), end - 1)
+        near = F.filter(starts, lambda j: (end - j <= longest) | (j == 0) | (end == F.char_length(token)))
+        return F.array_min(F.transform(near, lambda j: F.struct(
+            (F.get(done, j)["cost"] + cost(F.substring(token, j + 1, end - j))).alias("cost"), F.array_append(F.get(done, j)["parts"], F.substring(token, j + 1, end - j)).alias("parts"))))
+
+    begun = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("parts")))
+    done = F.aggregate(F.sequence(F.lit(1), F.char_length(token)), begun, lambda acc, i: F.array_append(acc, best(acc, i)), lambda acc: F.element_at(acc, -1))
+    whole = F.array(token)
+    cut = F.when(done["cost"] < never, done["parts"]).otherwise(whole)
+    return F.when(F.coalesce(token, F.lit("")) == "", F.array().cast("array<string>")).when(F.try_element_at(costs, token).isNotNull() | (F.char_length(token) < 2 * least), whole).otherwise(cut)
+
+
+def meaning(name: Column, vocabulary: dict[str, float] | None = None, expander=None) -> Column:
+    """The whole pipeline of a name: split by its form, cut into words, abbreviations expanded.
+
+    expander, if given, maps a word that the dictionary does not have to another, as a model would; it is asked only for
+    words that are not known, and its answer is taken if it has three letters or more.
+    """
+    parts = F.flatten(F.transform(words(name), lambda t: segment(t, vocabulary)))
+    told = expand(parts)
+    if expander is None:
+        return told
+    known = _map(known_words() | (vocabulary or {}))
+
+    def asked(t: Column) -> Column:
+        other = expander(t)
+        return F.when(F.try_element_at(known, t).isNotNull() | (F.char_length(F.coalesce(other, F.lit(""))) < 3), t).otherwise(other)
+
+    return F.transform(told, asked)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     either = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(either, F.lit(1)))

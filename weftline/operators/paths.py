@@ -71,30 +71,74 @@ class JoinGraph:
         return Step(*sides, confidence, kind, e.confidence)
 
     def paths(self, start: str, target: str, k: int = 3, max_hops: int = 6, required: set[str] = frozenset(), banned: set[str] = frozenset()) -> list[list[Step]]:
-        """The k cheapest simple paths that pass all required tables and no banned one.
+        """The k cheapest simple paths that pass all required tables and no banned one; of equal costs the fewest joins.
 
-        Partial paths leave a queue in order of cost, so each that ends at the target is the next best; what is
-        visited is part of a partial path, so no simple path is lost.
+        Partial paths leave a queue in order of their cost and the least that is still to come: the distance to the
+        target within the hops left, and by way of each required table not yet passed. Such bounds are never too high,
+        so each path that ends at the target is the next best, and few partial paths besides those of the k best are
+        ever taken up, however dense the graph.
         """
         if start in banned or target in banned:
             return []
+        to_target = self._within(target, max_hops, banned)
+        to_required = {r: self._within(r, max_hops, banned) for r in sorted(required)}
+        nothing = math.inf
+
+        def ahead(node: str, left: int, seen: frozenset[str]) -> float:
+            least = to_target[left].get(node, nothing)
+            for r, reach in to_required.items():
+                if r not in seen:
+                    least = max(least, reach[left].get(node, nothing) + to_target[left].get(r, nothing))
+            return least
+
         out: list[list[Step]] = []
-        turn = 0
-        queue: list[tuple[float, int, int, str, tuple[Step, ...]]] = [(0.0, 0, turn, start, ())]
+        seen = frozenset({start})
+        queue: list[tuple] = [(round(ahead(start, max_hops, seen), 12), 0, (), 0.0, seen, ())]
         while queue and len(out) < k:
-            cost, hops, _, node, steps = heapq.heappop(queue)
-            seen = {start, *(s.target for s in steps)}
-            if node == target and required <= seen:
-                out.append(list(steps))
-                continue
-            if hops == max_hops or (node == target and steps):
+            _, hops, names, cost, seen, steps = heapq.heappop(queue)
+            node = steps[-1].target if steps else start
+            if node == target and (steps or start == target):
+                if required <= seen:
+                    out.append(list(steps))
                 continue
             for s in self.next.get(node, ()):
-                if s.target not in seen and s.target not in banned:
-                    turn += 1
-                    heapq.heappush(queue, (cost + s.cost, hops + 1, turn, s.target, (*steps, s)))
+                if s.target in seen or s.target in banned:
+                    continue
+                after = seen | {s.target}
+                least = ahead(s.target, max_hops - hops - 1, after)
+                if least < nothing:
+                    told = (*names, (s.source, s.target, s.left, s.right))
+                    heapq.heappush(queue, (round(cost + s.cost + least, 12), hops + 1, told, cost + s.cost, after, (*steps, s)))
         return out
 
+    def _within(self, target: str, hops: int, banned: set[str]) -> list[dict[str, float]]:
+        """For each number of hops up to hops: the least cost of a walk of no more hops from each table to target."""
+        levels = [{target: 0.0}]
+        for _ in range(hops):
+            last, level = levels[-1], dict(levels[-1])
+            for node, steps in self.next.items():
+                if node in banned:
+                    continue
+                for s in steps:
+                    if s.target in last and s.target not in banned and s.cost + last[s.target] < level.get(node, math.inf):
+                        level[node] = s.cost + last[s.target]
+            levels.append(level)
+        return levels
+
+    def first_hops(self, start: str, max_hops: int = 6) -> dict[str, list[Step]]:
+        """A way to each table within reach, of the fewest hops and of those the cheapest."""
+        best: dict[str, tuple[float, list[Step]]] = {start: (0.0, [])}
+        level = {start: (0.0, [])}
+        for _ in range(max_hops):
+            after: dict[str, tuple[float, list[Step]]] = {}
+            for node, (cost, way) in sorted(level.items()):
+                for s in self.next.get(node, ()):
+                    if s.target not in best and (s.target not in after or cost + s.cost < after[s.target][0] - 1e-12):
+                        after[s.target] = (cost + s.cost, [*way, s])
+            best |= after
+            level = after
+        return {t: way for t, (_, way) in best.items() if t != start}
+
     def tree(self, root: str, needed: set[str], exact: int = 7) -> list[Step]:
         """The cheapest set of joins, all leading away from root, that reaches every needed table that can be reached.
 

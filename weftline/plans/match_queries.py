@@ -224,6 +224,14 @@ def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("id", F.round(metrics.fuzzy_columns(F.col("predicted"), F.col("expected")), 6).alias("score"))
 
 
+def segmented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names without their spaces, cut into words again by the weights of the words that all names have."""
+    part = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).where("name is not null")
+    costs = names.weighed_words(part.select(F.explode(F.split("name", "[^a-z]+")).alias("word")).where("word != ''"))
+    joined = part.groupBy(F.regexp_replace("name", "[^a-z]", "").alias("token")).agg(F.count("*").alias("n"))
+    return joined.select("token", F.array_join(names.segment(F.col("token"), costs), " ").alias("words"), "n")
+
+
 def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.monotonic(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey"]).withColumn("monotonic", F.round("monotonic", 9))
 
@@ -278,7 +286,7 @@ SPARK = {
     "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
     "name_scores": name_scores, "join_edges": join_edges, "composite_edges": composite_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load, "execution_scores": execution_scores,
-    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "nearest_exact": nearest_exact, "nearest_indexed": nearest_indexed, "set_operations": set_operations, "flagship": flagship,
+    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "segmented_names": segmented_names, "nearest_exact": nearest_exact, "nearest_indexed": nearest_indexed, "set_operations": set_operations, "flagship": flagship,
 }
 
 
@@ -405,6 +413,9 @@ SQL = {
           FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
         SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INT AS place
         FROM s QUALIFY place <= 50""",
+    "segmented_names": """
+        SELECT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS token, array_to_string(list_filter(string_split_regex(lower(p_name), '[^a-z]+'), lambda w: w <> ''), ' ') AS words, count(*) AS n
+        FROM part WHERE p_name IS NOT NULL GROUP BY ALL""",
     "set_operations": """
         SELECT 'both' AS part, * FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)
         UNION ALL SELECT 'customers', * FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)
