@@ -8,8 +8,9 @@ only counted. The valid classes' tokens are the template; elements nest them, an
 A page's text is read from the slots of its main element (article or main, else the body). Blocks of text that are of
 the template are not of the page: menus and notices go that way, whatever they are called; a page that has no other
 text keeps them. Elements named as menus, headers, footers, sidebars, notices, adverts, forms or reader comments are
-left out; inside of the main element a class or id that holds such a word among others (related-research) counts only
-if it is of the template.
+left out, an aside in an article too; a class or id that holds such a word among others (related-research, ad-free
+story) counts only if the others say nothing or the element is of the template, and outside of a main element one
+that holds most of the page's text stays, whatever its class, unless it is one of comments. End tags that HTML lets one leave out are implied.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line feed. Null
 html counts as empty; empty html has empty text; a url without host is a host of its own; repeated rows get the same
@@ -46,8 +47,12 @@ BLOCKS = (
 ROLE_WORDS = (
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
     "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
-    "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 )
+#: Those that name reader comments, which may be longer than what they comment on.
+COMMENT_WORDS = ("comment", "comments", "replies", "respond")
+#: An element named by a role word stays if it holds more than this share of the page's text, outside of main elements.
+MOST = 0.5
 #: Those that name an article's own heading when inside of it.
 HEADING_WORDS = ("banner", "header", "masthead")
 # Words beside a role word that say nothing of what an element holds.
@@ -56,6 +61,20 @@ NEUTRAL_WORDS = (
     "outer", "panel", "posts", "right", "section", "site", "slot", "top", "unit", "wrap", "wrapper",
 )
 
+# Elements that end an open paragraph, as HTML lets its end tag be left out, and those that hide it from them.
+ENDS_P = (
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dl", "div", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
+    "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+)
+HIDES_P = ("html", "table", "td", "th", "caption", "button", "object")
+# For elements whose end tag may be left out, the open elements that their like ends, and where that stops.
+ENDED = {
+    "li": (("li",), ("ul", "ol", "menu", "table", "article", "main", "section", "body")), "dt": (("dt", "dd"), ("dl", "table", "body")), "dd": (("dt", "dd"), ("dl", "table", "body")),
+    "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tbody": (("tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)), "thead": (("tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
+    "tfoot": (("tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
+}
+
 _piece = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -66,7 +85,7 @@ _piece = re.compile(
 )
 _role = re.compile(r"""(?:\b(class|id|role)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _words = re.compile(r"[a-z]+")
-_roles, _headings, _neutral = frozenset(ROLE_WORDS), frozenset(HEADING_WORDS), frozenset(NEUTRAL_WORDS)
+_roles, _headings, _neutral, _comments = frozenset(ROLE_WORDS), frozenset(HEADING_WORDS), frozenset(NEUTRAL_WORDS), frozenset(COMMENT_WORDS)
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -120,35 +139,101 @@ def token_counts(page: str | None) -> dict[str, int]:
     return found
 
 
-def _unwanted(token: str, inside: bool, template: set[str] | None) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or reader comment by its names."""
+def _unwanted(token: str, inside: bool, template: set[str] | None) -> str:
+    """Why an element is a menu, header, footer, sidebar, notice, advert, form or reader comment: by what it is, by its
+    names, or by the names of comments; empty if it is none.
+
+    A class or id that holds such a word among others (related-research, ad-free story) counts only if the others say
+    nothing, or the element is of the host's template.
+    """
     name, *marks = token.split(" ")
     if name in BOILERPLATE:
-        return not (inside and name == "header")
+        return "" if inside and name == "header" else "element"
     # the element that holds the whole page may be named after what surrounds the text
     if name in ("html", "body", *MAIN):
-        return False
-    if not inside:
-        return any(w in _roles for x in marks for w in _words.findall(x.partition("=")[2]))
+        return ""
     for mark in marks:
         words = set(_words.findall(mark.partition("=")[2]))
-        if words & (_roles - _headings) and (words <= _roles | _neutral or (template is not None and token in template)):
-            return True
-    return False
+        named = words & ((_roles - _headings) if inside else _roles)
+        if named and (words <= _roles | _neutral or (template is not None and token in template)):
+            return "comments" if named & _comments else "name"
+    return ""
+
+
+def _left_open(name: str, stack: list) -> int:
+    """How many open elements the opening of name ends, of those whose end tags were left out."""
+    depth = 0
+    if name in ENDS_P:
+        depth = _to(stack, ("p",), HIDES_P)
+    if name in ENDED:
+        depth = max(depth, _to(stack, *ENDED[name]))
+    return depth
+
+
+def _to(stack: list, ended: tuple[str, ...], stops: tuple[str, ...]) -> int:
+    """The number of open elements down to the outermost of ended that no stop hides; none: 0."""
+    found = 0
+    for depth, element in enumerate(reversed(stack), 1):
+        if element[0] in stops:
+            break
+        if element[0] in ended:
+            found = depth
+    return found
+
+
+def _held_text(page: str) -> tuple[list[int], int]:
+    """Characters of text, white space aside, in each opened element in order, and on the page."""
+    sizes: list[int] = []
+    stack: list[tuple[str, int, int]] = []  # name, number, characters before it
+    total = 0
+
+    def end(n: int) -> None:
+        for _ in range(n):
+            _, number, before = stack.pop()
+            sizes[number] = total - before
+
+    for kind, name, _ in _tokens(page):
+        if kind == "text":
+            total += sum(map(len, name.split()))
+        elif kind == "open":
+            end(_left_open(name, stack))
+            sizes.append(0)
+            if name not in VOID:
+                stack.append((name, len(sizes) - 1, total))
+        elif any(e[0] == name for e in stack):
+            end(next(i for i, e in enumerate(reversed(stack), 1) if e[0] == name))
+    end(len(stack))
+    return sizes, total
 
 
 def extract(page: str | None, template: set[str] | None) -> str:
     """The text in the slots of a page's main element. template: the host's tokens in valid classes, None if not known."""
+    page = page or ""
     stack: list[tuple[str, bool]] = []  # open elements, and whether text in them is not wanted
     slots: list[tuple[bool, list[str]]] = [(False, [])]  # blocks, and whether they are of the main element
-    inside = 0
+    inside = dropped = 0
     found_main = False
-    dropped = 0
-    for kind, name, token in _tokens(page or ""):
+    sizes: tuple[list[int], int] | None = None
+    number = -1
+
+    def end(n: int) -> None:
+        nonlocal inside, dropped
+        for _ in range(n):
+            name, unwanted = stack.pop()
+            dropped -= unwanted
+            if name in MAIN and inside and not dropped:
+                inside -= 1
+            if name in BLOCKS:
+                slots.append((inside > 0, []))
+
+    for kind, name, token in _tokens(page):
         if kind == "text":
             if not dropped:
                 slots[-1][1].append(name)
             continue
+        if kind == "open":
+            number += 1
+            end(_left_open(name, stack))
         if name in BLOCKS:
             slots.append((inside > 0, []))
         if name in VOID:
@@ -157,23 +242,18 @@ def extract(page: str | None, template: set[str] | None) -> str:
             continue
         if kind == "open":
             # every element is open, so that a closing tag ends the one that it belongs to
-            unwanted = _unwanted(token, inside > 0, template)
-            stack.append((name, unwanted))
-            dropped += unwanted
+            why = "" if dropped else _unwanted(token, inside > 0, template)
+            if why == "name" and not inside:
+                sizes = sizes or _held_text(page)
+                why = "" if sizes[0][number] > MOST * sizes[1] else why
+            stack.append((name, bool(why)))
+            dropped += bool(why)
             if name in MAIN and not dropped:
                 inside += 1
                 found_main = True
                 slots[-1] = (True, [])
         elif any(n == name for n, _ in stack):
-            while stack:
-                n, unwanted = stack.pop()
-                dropped -= unwanted
-                if n in MAIN and inside and not dropped:
-                    inside -= 1
-                if n == name:
-                    break
-            if name in BLOCKS:
-                slots[-1] = (inside > 0, [])
+            end(next(i for i, (n, _) in enumerate(reversed(stack), 1) if n == name))
     blocks = [b for b in (_block(texts) for main, texts in slots if main or not found_main) if b]
     if template and not found_main:
         blocks = [b for b in blocks if _text_token(b) not in template] or blocks
