@@ -52,7 +52,7 @@ ROLE_WORDS = (
 #: Those that name reader comments, which may be longer than what they comment on.
 COMMENT_WORDS = ("comment", "comments", "replies", "respond")
 #: An element named by a role word stays if it holds more than this share of the page's text, outside of main elements.
-MOST = 0.5
+MOST = 0.8
 #: Those that name an article's own heading when inside of it.
 HEADING_WORDS = ("banner", "header", "masthead")
 # Words beside a role word that say nothing of what an element holds.
