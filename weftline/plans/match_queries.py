@@ -15,7 +15,7 @@ from ..sources import catalog
 from ..sources.tables import table
 from ..streaming.profiles import event_profile
 from . import matcher_sql
-from .tables import cut
+from .tables import cut, own_path
 
 # The star schema as it is matched: all columns of all its tables with their declared types, and the declared keys.
 SCHEMA = {
@@ -259,6 +259,23 @@ def nearest_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.merged(retrieval.search(queries, items, 50, index), 50).select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
 
 
+def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON lines, some spoilt by a rule of their ids, and read back with the reasons against each line."""
+    rows = table(spark, sf_dir, "conversations").withColumn("kind", (F.col("conv_id") * 7 + F.col("turn")) % 11)
+    kind = F.col("kind")
+    whole = F.to_json(F.struct(
+        F.when(kind != 1, F.col("conv_id")).alias("conv_id"), "turn", F.when(kind == 2, "robot").when(kind == 3, "").when(kind == 4, F.upper("role")).otherwise(F.col("role")).alias("role"),
+        F.when(kind != 5, F.length("text")).alias("n")))
+    broken = F.when(kind == 6, F.left(whole, F.length(whole) - 4)).when(kind == 7, F.regexp_replace(whole, r'"turn":(\d+)', '"turn":"t$1"')).when(kind == 8, F.concat(F.lit("["), whole, F.lit("]"))).when(kind == 9, "  ").otherwise(whole)
+    path = own_path(spark, "lines")
+    rows.select(broken.alias("value")).write.text(path)
+    checked = catalog.checked_records(
+        spark.read.text(path), "conv_id long, turn long, role string, n long", required=["conv_id", "role"], allowed={"role": ["system", "user", "assistant"]}, defaults={"n": -1}, lowered=["role"])
+    reason = F.when(F.size("reasons") == 0, "valid").otherwise(F.array_join("reasons", "; "))
+    return checked.groupBy(reason.alias("reason"), F.when(F.size("reasons") == 0, F.col("record.role")).alias("role")).agg(
+        F.count("*").alias("lines"), F.count_if((F.size("reasons") == 0) & (F.col("record.n") == -1)).alias("defaulted"))
+
+
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' and customers' nations: in both, in either only, and all."""
     c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
@@ -286,7 +303,7 @@ SPARK = {
     "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
     "name_scores": name_scores, "join_edges": join_edges, "composite_edges": composite_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load, "execution_scores": execution_scores,
-    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "segmented_names": segmented_names, "nearest_exact": nearest_exact, "nearest_indexed": nearest_indexed, "set_operations": set_operations, "flagship": flagship,
+    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "rejected_records": rejected_records, "segmented_names": segmented_names, "nearest_exact": nearest_exact, "nearest_indexed": nearest_indexed, "set_operations": set_operations, "flagship": flagship,
 }
 
 
@@ -416,6 +433,11 @@ SQL = {
     "segmented_names": """
         SELECT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS token, array_to_string(list_filter(string_split_regex(lower(p_name), '[^a-z]+'), lambda w: w <> ''), ' ') AS words, count(*) AS n
         FROM part WHERE p_name IS NOT NULL GROUP BY ALL""",
+    "rejected_records": """
+        WITH c AS (SELECT *, (conv_id * 7 + turn) % 11 AS kind FROM conversations),
+        t AS (SELECT CASE kind WHEN 1 THEN 'missing conv_id' WHEN 2 THEN 'invalid role: robot' WHEN 3 THEN 'missing role' WHEN 6 THEN 'malformed' WHEN 7 THEN 'malformed' WHEN 8 THEN 'malformed' ELSE 'valid' END AS reason, role, kind
+              FROM c WHERE kind <> 9)
+        SELECT reason, CASE WHEN reason = 'valid' THEN role END AS role, count(*) AS lines, count(*) FILTER (reason = 'valid' AND kind = 5) AS defaulted FROM t GROUP BY ALL""",
     "set_operations": """
         SELECT 'both' AS part, * FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)
         UNION ALL SELECT 'customers', * FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)

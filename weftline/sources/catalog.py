@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = (
@@ -69,22 +69,65 @@ def summary(columns: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return out if rows is None else out.join(rows, "table", "left")
 
 
-def schema_text(columns: DataFrame) -> DataFrame:
-    """(table, text): table(column type PK, ...) for prompts and logs."""
+def schema_text(columns: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(table, text): table(column type PK, ...) for prompts and logs; with edges, its joins below, sorted and each once."""
     mark = F.concat_ws(" ", "column", "type", F.when(F.col("is_pk"), "PK"), F.when(F.col("is_fk"), "FK"))
     lines = columns.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("ordinal", mark.alias("m")))).alias("c"))
-    return lines.select("table", F.concat("table", F.lit("("), F.array_join(F.col("c.m"), ", "), F.lit(")")).alias("text"))
-
-
-def read_records(spark: SparkSession, path: str, schema: str, required: list[str] = (), allowed: dict[str, list] | None = None) -> tuple[DataFrame, DataFrame]:
-    """JSON lines as (valid, rejected): rows without a required field or with a value not allowed are rejected, blank lines skipped."""
-    rows = spark.read.schema(schema).json(path)
-    bad = F.lit(False)
-    for c in required:
-        bad = bad | F.col(c).isNull()
-    for c, values in (allowed or {}).items():
-        bad = bad | ~F.coalesce(F.col(c).isin(values), F.lit(False))
-    return rows.where(~bad), rows.where(bad)
+    out = lines.select("table", F.concat("table", F.lit("("), F.array_join(F.col("c.m"), ", "), F.lit(")")).alias("text"))
+    if edges is None:
+        return out
+    end = lambda t, cs: F.transform(cs, lambda c: F.concat(F.col(t), F.lit("."), c))
+    joins = F.zip_with(end("left_table", F.col("left_cols")), end("right_table", F.col("right_cols")), lambda a, b: F.concat(a, F.lit(" = "), b))
+    told = edges.select(F.explode(F.array("left_table", "right_table")).alias("table"), F.array_join(joins, " AND ").alias("line"))
+    told = told.groupBy("table").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("lines"))
+    return out.join(told, "table", "left").select("table", F.concat_ws("\n", "text", "lines").alias("text"))
+
+
+def checked_records(
+    lines: DataFrame, schema: str, required: list[str] = (), allowed: dict[str, list] | None = None, defaults: dict | None = None, lowered: list[str] = ()
+) -> DataFrame:
+    """JSON lines (column value) as (line, reasons, record); blank lines are skipped, reasons is empty for a valid line.
+
+    A line that is no JSON object, or has a value that does not fit its field's type, is malformed. Fields without a
+    value get their default; those named in lowered are lower-cased. A required field must then have a value, not empty
+    for text, and fields in allowed one of theirs. Reasons come in that order, fields in the schema's order.
+    """
+    record = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.where(F.col("value").rlike(r"\S")).select(F.col("value").alias("line"), record.alias("r"))
+    fields = [f for f in parsed.schema["r"].dataType.names if f != "_corrupt"]
+
+    def field(name: str) -> Column:
+        c = F.col(f"r.{name}")
+        c = F.coalesce(c, F.lit((defaults or {})[name])) if name in (defaults or {}) else c
+        return F.lower(c) if name in lowered else c
+
+    broken = ~F.col("line").rlike(r"^\s*\{") | F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    filled = parsed.select("line", broken.alias("broken"), F.struct(*[field(f).alias(f) for f in fields]).alias("record"))
+    reasons = [F.when(F.col("broken"), "malformed")]
+    for f in fields:
+        c = F.col(f"record.{f}")
+        empty = c.isNull() | (c.cast("string") == "")
+        if f in required:
+            reasons.append(F.when(~F.col("broken") & empty, f"missing {f}"))
+        if f in (allowed or {}):
+            reasons.append(F.when(~F.col("broken") & ~empty & ~c.isin(list(allowed[f])), F.concat(F.lit(f"invalid {f}: "), c.cast("string"))))
+    return filled.select("line", F.array_compact(F.array(*reasons)).alias("reasons"), "record")
+
+
+def read_records(spark: SparkSession, path: str, schema: str, **rules) -> tuple[DataFrame, DataFrame]:
+    """A file or folder of JSON lines as (valid, rejected): records as columns, and lines with the reasons against them."""
+    checked = checked_records(spark.read.text(path), schema, **rules)
+    return checked.where(F.size("reasons") == 0).select("record.*"), checked.where(F.size("reasons") > 0).select("line", "reasons")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines without rules: every line that is an object of the schema's types; others fail the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls left out."""
+    df.write.json(path)
 
 
 def union_records(parts: list[DataFrame], label: str, aliases: dict[str, str], seed: int) -> DataFrame:
