@@ -81,6 +81,41 @@ CASES = {
             ("fact_visit", "department_name", "string", "department from doctor lookup", "hospital_departments.dept_name", "lookup_join"),
         ],
     ),
+    "robust": (
+        {
+            "src_employees": "emp_id int pk, first_name string, last_name string, email_address string, hire_date date, department_id int fk, salary_amount decimal, manager_id int, phone_num string, job_title string, birth_date date, address_line1 string, zip_code string, performance_rating decimal, is_active boolean",
+            "dim_department": "department_id int pk, dept_name string, dept_budget decimal, location_city string",
+            "src_projects": "project_id int pk, project_name string, department_id int fk, start_date date, end_date date, budget_usd decimal, status string",
+            "src_timesheets": "timesheet_id int pk, emp_id int fk, project_id int fk, log_date date, hours_worked decimal, description string",
+            "dim_location": "location_city string pk, country_code string, timezone string, currency string",
+        },
+        [("src_employees.department_id", "dim_department.department_id"), ("src_employees.emp_id", "src_timesheets.emp_id"), ("src_projects.project_id", "src_timesheets.project_id"),
+         ("src_projects.department_id", "dim_department.department_id"), ("dim_department.location_city", "dim_location.location_city")],
+        [
+            ("dim_employee", "hire_year", "int", "Year employee was hired", "src_employees.hire_date", None),
+            ("dim_employee", "birth_month", "int", "Month of birth", "src_employees.birth_date", None),
+            ("dim_employee", "hire_date_parsed", "date", "Parsed hire date", "src_employees.hire_date", None),
+            ("dim_employee", "is_senior_salary", "boolean", "Whether salary exceeds senior threshold", "src_employees.salary_amount", None),
+            ("dim_employee", "rating_text", "string", "Performance rating as text", "src_employees.performance_rating", None),
+            ("dim_employee", "department_name", "string", "Department name from lookup", "dim_department.dept_name", None),
+            ("dim_employee", "work_timezone", "string", "Employee work timezone via department location", "dim_location.timezone", None),
+            ("dim_employee", "pay_currency", "string", "Currency used for employee pay", "dim_location.currency", None),
+            ("dim_employee", "email_local_part", "string", "Username from email", "src_employees.email_address", None),
+            ("dim_employee", "job_title_lower", "string", "Job title in lowercase", "src_employees.job_title", None),
+            ("dim_employee", "employee_full_name", "string", "Employee full name", "src_employees.first_name src_employees.last_name", None),
+            ("dim_employee", "clean_address", "string", "Cleaned address text", "src_employees.address_line1", None),
+            ("dim_employee", "salary_rounded", "decimal", "Salary rounded to nearest thousand", "src_employees.salary_amount", None),
+            ("dim_project", "monthly_budget", "decimal", "Monthly project budget", "src_projects.budget_usd", None),
+            ("fct_timesheet", "total_hours", "decimal", "Hours worked copied", "src_timesheets.hours_worked", None),
+            ("dim_employee", "emp_tenure_years", "int", "Years since employee was hired", "src_employees.hire_date", None),
+            ("dim_employee", "dept_location", "string", "Location of employee department", "dim_department.location_city", None),
+            ("dim_project", "proj_duration_days", "int", "Project duration in days", "src_projects.start_date src_projects.end_date", None),
+            ("dim_employee", "empl_dob", "date", "Employee date of birth", "src_employees.birth_date", None),
+            ("fct_employee", "dept_key", "int", "Department key for employee fact", "src_employees.department_id", None),
+            ("dim_project", "project_title", "string", "Project title (renamed from project_name)", "src_projects.project_name", None),
+            ("dim_project", "is_active_project", "boolean", "Whether project is currently active", "src_projects.status", None),
+        ],
+    ),
     "bank": (
         {
             "bank_accounts": "account_id int pk, account_number string, account_type_code string, customer_id int fk, open_date date, balance decimal, status_code string, created_by string, updated_at datetime",

@@ -34,6 +34,14 @@ COMPOSITE_NAMES = {
     "address": [["street", "city"], ["line1", "city"], ["addr1", "city"]],
 }
 DATE_PARTS = ("year", "month", "quarter", "week", "day", "hour")
+# Words of names that say what a column is like rather than what it is about.
+DATE_WORDS = ("date", "dt", "time", "timestamp", "ts", "at", "on", "day", "of")
+BIRTH_WORDS = ("dob", "birth", "birthdate", "birthday", "born")
+STATUS_WORDS = ("status", "state", "flag", "active", "enabled", "stage", "indicator")
+LABEL_WORDS = ("label", "name", "title", "description", "desc")
+CODE_WORDS = ("code", "cd")
+END_WORDS = ("start", "end", "begin", "finish", "from", "to", "open", "close")
+BRACKET_WORDS = ("bracket", "band", "bucket", "tier", "range", "segment")
 
 
 def _tokens(c: Column) -> Column:
@@ -51,6 +59,31 @@ def _name_score(table: Column, column: Column, target: Column) -> Column:
     return F.greatest(bridge_similarity(column, target), F.when((prefix != "") & F.lower(table).startswith(prefix), bridge_similarity(whole, target)))
 
 
+def _fit() -> Column:
+    """How a source's type serves a target: of one family, or of those from which a kind of transformation leads there.
+
+    A date serves a target that asks for one of its parts, or for a span, the better if the rest of its name is among
+    the target's words; a status serves a flag; a name serves a label better than a code does.
+    """
+    has = lambda c, ws: F.arrays_overlap(c, F.array(*map(F.lit, ws)))
+    source, target = type_family(F.col("s_type")), type_family(F.col("t_type"))
+    same = F.coalesce((source == target) | (F.lower("s_type") == F.lower("t_type")), F.lit(False))
+    own = _tokens(F.col("tc"))
+    about = F.array_except(_synonymous(F.col("s_words")), F.array(*map(F.lit, DATE_WORDS)))
+    shared = F.arrays_overlap(about, F.col("t_words"))
+    is_date, number = F.coalesce(source == "date", F.lit(False)), F.coalesce(target == "numeric", F.lit(False))
+    part = number & has(own, DATE_PARTS)
+    span = number & has(own, DURATION_WORDS)
+    birth = has(F.col("s_words"), BIRTH_WORDS) & has(own, ("age",))
+    flag = F.lower("t_type").isin("boolean", "bool")
+    named = F.arrays_overlap(F.array_except(F.col("s_words"), F.array(F.lit("is"), F.lit("has"))), F.col("t_words"))
+    label = has(own, LABEL_WORDS) & F.coalesce(source == "string", F.lit(False)) & shared
+    fit = F.when(part & is_date, F.when(shared, 0.50).otherwise(0.15)).when(span & is_date, F.when(birth | shared | has(about, END_WORDS), 0.45).otherwise(0.10))
+    fit = fit.when(part & ~has(F.col("s_words"), DATE_PARTS), -0.35).when(flag & ~same, F.when(has(F.col("s_words"), STATUS_WORDS), 0.40).when(named, 0.15).otherwise(-0.15))
+    fit = fit.when(flag & ~named, -0.10).when(same, 0.15).otherwise(-0.15)
+    return fit + F.when(label & has(F.col("s_words"), LABEL_WORDS), 0.15).when(label & has(F.col("s_words"), CODE_WORDS), 0.05).otherwise(0.0)
+
+
 def scored_sources(targets: DataFrame, columns: DataFrame, min_score: float = 0.15) -> DataFrame:
     """Each target with each source column: name, description, type, key and table evidence, best first."""
     t = targets.select(F.col("table").alias("tt"), F.col("column").alias("tc"), F.col("type").alias("t_type"), "description")
@@ -61,11 +94,11 @@ def scored_sources(targets: DataFrame, columns: DataFrame, min_score: float = 0.
     met = t.join(s, F.lit(True))
     asked = F.arrays_overlap("t_words", F.array(*map(F.lit, KEY_WORDS)))
     key = F.when(F.col("is_pk") | F.col("is_fk"), F.when(asked, 0.15).otherwise(-0.10)).otherwise(0.0)
-    fits = (type_family(F.col("s_type")) == type_family(F.col("t_type"))) | (F.lower("s_type") == F.lower("t_type"))
-    kind = F.when(F.coalesce(fits, F.lit(False)), 0.15).otherwise(-0.15)
-    score = _name_score(F.col("st"), F.col("sc"), F.col("tc")) + 0.3 * F.when(F.size("d_words") > 0, _share(F.col("s_words"), F.col("d_words"))).otherwise(0.0) + kind + key + 0.2 * _share(F.col("st_words"), F.col("t_words"))
+    score = _name_score(F.col("st"), F.col("sc"), F.col("tc")) + 0.3 * F.when(F.size("d_words") > 0, _share(F.col("s_words"), F.col("d_words"))).otherwise(0.0) + _fit() + key + 0.2 * _share(F.col("st_words"), F.col("t_words"))
+    # of tables that share as many words with the target the one that is about nothing else; of keys the table's own
+    score = score + 0.05 * _share(F.col("t_words"), _tokens(F.col("st"))) + F.when(F.col("is_pk") & asked, 0.05).otherwise(0.0)
     primary = F.arrays_overlap("st_words", "tt_words")
-    found = met.select("tt", "tc", "t_type", "st", "sc", "s_type", "is_pk", "is_fk", "t_words", primary.alias("is_primary"), F.round(score, 6).alias("score")).where(F.col("score") > min_score)
+    found = met.select("tt", "tc", "t_type", "st", "sc", "s_type", "is_pk", "is_fk", "t_words", "s_words", _fit().alias("fit"), primary.alias("is_primary"), F.round(score, 6).alias("score")).where(F.col("score") > min_score)
     place = F.row_number().over(Window.partitionBy("tt", "tc").orderBy(F.desc("score"), F.desc("is_primary"), "st", "sc"))
     return found.withColumn("place", place)
 
@@ -81,8 +114,11 @@ def infer_transform(target: Column, target_type: Column, sources: Column, joined
     every = lambda k: F.forall(kinds, lambda x: F.array_contains(family[k], x))
     num, text, date = of(target_type, "numeric"), of(target_type, "string"), of(target_type, "date")
     same = (F.lower(one["type"]) == F.lower(target_type)) | (of(one["type"], "numeric") & num)
+    last = F.element_at(_tokens(one["column"]), -1)
+    coded = text & last.isin(*CODE_WORDS) & has(LABEL_WORDS)
+    flag = F.lower(target_type).isin("boolean", "bool") & ~F.lower(one["type"]).isin("boolean", "bool")
     single = (
-        F.when(F.lower(one["column"]) == F.lower(target), "direct_copy").when(of(one["type"], "date") & num & has(DATE_PARTS), "date_part").when(of(one["type"], "date") & num, "date_diff")
+        F.when(F.lower(one["column"]) == F.lower(target), "direct_copy").when(coded, "code_to_label").when(flag, "conditional").when(text & of(one["type"], "numeric") & has(BRACKET_WORDS), "bucketing").when(of(one["type"], "date") & num & has(DATE_PARTS), "date_part").when(of(one["type"], "date") & num, "date_diff")
         .when(of(one["type"], "date") & text, "date_format").when(of(one["type"], "string") & date, "date_parse").when(joined, "fk_lookup").when(same, "rename").otherwise("type_cast"))
     names = F.exists(sources, lambda s: F.arrays_overlap(_tokens(s["column"]), F.array(*map(F.lit, NAME_WORDS))))
     several = (
@@ -100,10 +136,22 @@ def candidates(scored: DataFrame, per_target: int = 10, pairs_of: int = 6) -> Da
     few = top.where((F.col("place") <= pairs_of) & ~F.col("is_pk") & ~F.col("is_fk"))
     a, b = few.alias("a"), few.alias("b")
     met = a.join(b, (F.col("a.tt") == F.col("b.tt")) & (F.col("a.tc") == F.col("b.tc")) & (F.col("a.st") == F.col("b.st")) & (F.col("a.sc") < F.col("b.sc")))
-    asked = F.arrays_overlap(F.col("a.t_words"), F.array(*map(F.lit, (*NAME_WORDS, "total", *DURATION_WORDS))))
     mean = (F.col("a.score") + F.col("b.score")) / 2
-    # a pair must be asked for by the target's words
-    pairs = met.select("a.tt", "a.tc", "a.t_type", F.array("a.source", "b.source").alias("sources"), (mean + F.when(asked, 0.10).otherwise(-0.30)).alias("score"), "a.is_primary")
+    both = F.array("a.source", "b.source")
+    within = lambda side: F.size(F.array_except(F.col(f"{side}.s_words"), F.col("a.t_words"))) == 0
+    numbers = (type_family(F.col("a.t_type")) == "numeric") & (type_family(F.col("a.s_type")) == "numeric") & (type_family(F.col("b.s_type")) == "numeric")
+    told = F.coalesce(numbers & within("a") & within("b"), F.lit(False))
+    asked = F.arrays_overlap(F.col("a.t_words"), F.array(*map(F.lit, ("total", *DURATION_WORDS))))
+    # a pair must be asked for: as the parts of a name, by a description that names both, or by a word for a sum or span
+    bonus = F.when(concat_asked(F.col("a.tc"), F.array_join("a.t_words", " "), both), 0.10).when(told, 0.45).when(asked, 0.10).otherwise(-0.30)
+    pairs = met.select("a.tt", "a.tc", "a.t_type", both.alias("sources"), (mean + bonus).alias("score"), "a.is_primary")
+    # a span lies between two dates, of any tables
+    is_date = F.coalesce((type_family(F.col("s_type")) == "date") & (type_family(F.col("t_type")) == "numeric"), F.lit(False))
+    spans = scored.withColumn("source", source).where(is_date & (F.col("fit") >= 0.45) & F.arrays_overlap(_tokens(F.col("tc")), F.array(*map(F.lit, DURATION_WORDS))))
+    turn = F.row_number().over(Window.partitionBy("tt", "tc").orderBy(F.desc("score"), "st", "sc"))
+    ends = spans.withColumn("turn", turn).where("turn <= 2").groupBy("tt", "tc", "t_type").agg(F.array_sort(F.collect_list("source")).alias("sources"), F.avg("score").alias("score"), F.max("is_primary").alias("is_primary"))
+    ends = ends.where(F.size("sources") == 2).select("tt", "tc", "t_type", "sources", (F.col("score") + 0.30).alias("score"), "is_primary")
+    pairs = pairs.unionByName(ends).groupBy("tt", "tc", "t_type", "sources").agg(F.max("score").alias("score"), F.max("is_primary").alias("is_primary"))
     every = singles.unionByName(pairs)
     return every.withColumn("transform", infer_transform(F.col("tc"), F.col("t_type"), F.col("sources"), ~F.col("is_primary")))
 
@@ -220,7 +268,8 @@ def primary_tables(targets: DataFrame, columns: DataFrame) -> DataFrame:
     met = t.select("tt", "target_word", "key").join(s.select("primary", "source_word", "key"), "key")
     vote = F.max(F.when(F.col("key").startswith("#"), 1.5).otherwise(2.0)).alias("vote")
     votes = met.groupBy("tt", "primary", "target_word", "source_word").agg(vote).groupBy("tt", "primary").agg(F.sum("vote").alias("votes"))
-    place = F.row_number().over(Window.partitionBy("tt").orderBy(F.desc("votes"), "primary"))
+    # of equal votes the table whose name says least besides
+    place = F.row_number().over(Window.partitionBy("tt").orderBy(F.desc("votes"), F.size(_tokens(F.col("primary"))), "primary"))
     return votes.withColumn("place", place).where("place = 1").drop("place")
 
 
@@ -264,6 +313,9 @@ def plan_mappings(targets: DataFrame, columns: DataFrame, edges: DataFrame, alte
     sure = lambda score, least: F.round(F.greatest(F.lit(least), 1 / (1 + F.exp(-(score - 0.42) / 0.20))), 4)
     names = F.array_sort(F.transform("sources", lambda s: F.concat_ws(".", s["table"], s["column"])))
     parts = found.where(concat_asked(F.col("tc"), F.col("description"), F.col("sources"))).withColumn("refs", names)
+    # a column of the target's very name is no part of it
+    same = found.where((F.size("sources") == 1) & (F.lower(F.col("sources")[0]["column"]) == F.lower("tc")) & (type_family(F.col("sources")[0]["type"]) == type_family(F.col("t_type"))))
+    parts = parts.join(same.select("tt", "tc").distinct(), ["tt", "tc"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("tt", "tc").orderBy(F.desc("score"), F.desc("is_primary"), "refs"))
     kind = F.when(F.col("transform") == "template", "template").otherwise("concat")
     parts = parts.withColumn("turn", turn).where("turn = 1").select("tt", "tc", F.struct("refs", kind.alias("transform"), sure(F.col("score"), 0.75).alias("confidence"), F.lit("concat").alias("by")).alias("parts"))
@@ -279,7 +331,9 @@ def plan_mappings(targets: DataFrame, columns: DataFrame, edges: DataFrame, alte
     best = best.select("tt", "tc", F.coalesce("parts", "looked", "ranks").alias("best"), "alternatives").select("tt", "tc", "best.*", "alternatives")
     best = cut(best, "mappings")
     ways = join_ways(best, primary_tables(targets, columns), edges)
-    return best.join(ways, ["tt", "tc"], "left").select("tt", "tc", "refs", "transform", "confidence", "primary", "join_path", "by", "alternatives")
+    far = (F.col("transform") == "fk_lookup") & (F.size("join_path") > 1)
+    kind = F.when(far, "lookup_join").otherwise(F.col("transform"))
+    return best.join(ways, ["tt", "tc"], "left").select("tt", "tc", "refs", kind.alias("transform"), "confidence", "primary", "join_path", "by", "alternatives")
 
 
 def feasible_families(target_type: Column, arity: Column) -> Column:
