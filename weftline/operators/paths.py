@@ -265,5 +265,5 @@ def enumerate_paths(edges: DataFrame, max_hops: int = 3) -> DataFrame:
         met = level.join(steps.withColumnsRenamed({"source": "at", "target": "then"}), (F.col("target") == F.col("at")) & ~F.array_contains("tables", F.col("then")))
         level = met.select("start", F.col("then").alias("target"), F.array_append("tables", F.col("then")).alias("tables"), (F.col("cost") + F.col("step")).alias("cost"))
         every = every.unionByName(level)
-    place = F.row_number().over(Window.partitionBy("start", "target").orderBy("cost", "tables"))
+    place = F.row_number().over(Window.partitionBy("start", "target").orderBy(F.round("cost", 9), "tables"))
     return every.withColumn("hops", F.size("tables") - 1).withColumn("place", place)

@@ -137,9 +137,14 @@ def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple paths over the declared references, each worth .9 of confidence."""
-    rows = [(a.split(".")[0], b.split(".")[0]) for a, b in REFERENCES.items()]
-    edges = spark.createDataFrame([(x, y, 0.9) for p in rows for x, y in (p, p[::-1])], "source string, target string, confidence double")
+    """Simple paths over the declared references, each worth .9 of the share of its rows whose key is found."""
+    frames, parts = _tables(spark, sf_dir), []
+    for a, b in REFERENCES.items():
+        (left, x), (right, y) = a.split("."), b.split(".")
+        keys = frames[right].select(F.col(y).alias("k")).distinct().withColumn("found", F.lit(1))
+        rows = frames[left].select(F.col(x).alias("k")).where("k is not null").join(keys, "k", "left")
+        parts.append(rows.agg((0.9 * F.count("found") / F.count("*")).alias("confidence")).select(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target")) for s, t in ((left, right), (right, left))]).alias("ends"), "confidence"))
+    edges = cut(reduce(DataFrame.unionByName, parts).select(F.inline("ends"), "confidence"), "references")
     found = paths.enumerate_paths(edges)
     return found.select("start", "target", F.array_join("tables", ">").alias("tables"), F.round("cost", 9).alias("cost"), "hops", "place")
 
@@ -219,9 +224,11 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, ["a.x"], ["a.x"]), (2, ["a.y"], ["a.x"]), (3, ["a.x", "b.y"], ["a.x"]), (4, ["c.z"], ["a.x"])]
-    cases = spark.createDataFrame(rows, "id int, predicted array<string>, expected array<string>")
-    return cases.select("id", F.round(metrics.fuzzy_columns(F.col("predicted"), F.col("expected")), 6).alias("score"))
+    """Orders as cases: the parts of their large lines as predicted columns, those of their cheap lines as expected ones."""
+    name = F.concat(F.lit(" S"), (F.col("l_suppkey") % 3).cast("string"), F.lit(".P"), (F.col("l_partkey") % 4).cast("string"))
+    sets = lambda kept: F.collect_set(F.when(kept, name))
+    cases = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(sets(F.col("l_quantity") > 20).alias("p"), sets(F.col("l_extendedprice") < 40000).alias("e"))
+    return cases.select("id", F.round(metrics.fuzzy_columns(F.col("p"), F.col("e")), 6).alias("score"))
 
 
 def segmented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,7 +346,8 @@ def _cells_sql(wanted: dict = WANTED, sources: dict[str, str] | None = None) ->
 
 
 _CATALOG = [(n, c, kind, KEYS.get(n) == c, f"{n}.{c}" in REFERENCES) for n, cs in SCHEMA.items() for c, kind in cs.items()]
-_DECLARED = ", ".join(f"('{x}', '{y}'), ('{y}', '{x}')" for x, y in sorted({(a.split(".")[0], b.split(".")[0]) for a, b in REFERENCES.items()}))
+_DECLARED = " UNION ALL ".join(
+    f"SELECT '{a.split('.')[0]}', '{b.split('.')[0]}', 0.9::DOUBLE * count(*) FILTER ({a.split('.')[1]} IN (SELECT {b.split('.')[1]} FROM {b.split('.')[0]})) / count({a.split('.')[1]}) FROM {a.split('.')[0]}" for a, b in REFERENCES.items())
 
 
 def _composite_sql() -> str:
@@ -400,10 +408,11 @@ SQL = {
         s AS (SELECT combo, count(*) FILTER (l > 0 AND r > 0) AS shared, count(*) FILTER (l > 0) AS ld, count(*) FILTER (r > 0) AS rd, sum(l) AS la, sum(r) AS ra, sum(least(l, r)) AS low FROM c GROUP BY combo)
         SELECT combo, round(shared / least(ld, rd), 9) AS contain, round(shared / (ld + rd - shared), 9) AS jacc, round(low / (la + ra - low), 9) AS freq, round(ld / la, 9) AS lu, round(rd / ra, 9) AS ru FROM s""",
     "declared_paths": f"""
-        WITH RECURSIVE e(source, target) AS (VALUES {_DECLARED}),
-        p AS (SELECT source AS start, target, [source, target] AS tables, 1 AS hops FROM e
-              UNION ALL SELECT p.start, e.target, list_append(p.tables, e.target), p.hops + 1 FROM p JOIN e ON p.target = e.source WHERE NOT list_contains(p.tables, e.target) AND p.hops < 3)
-        SELECT start, target, array_to_string(tables, '>') AS tables, round(hops * -ln(0.9::DOUBLE * 0.97), 9) AS cost, hops, CAST(row_number() OVER (PARTITION BY start, target ORDER BY hops, tables) AS INT) AS place FROM p""",
+        WITH RECURSIVE one(source, target, c) AS ({_DECLARED}),
+        e AS (SELECT source, target, -ln(c * 0.97) AS step FROM one UNION ALL SELECT target, source, -ln(c * 0.97) FROM one),
+        p AS (SELECT source AS start, target, [source, target] AS tables, step AS cost, 1 AS hops FROM e
+              UNION ALL SELECT p.start, e.target, list_append(p.tables, e.target), p.cost + e.step, p.hops + 1 FROM p JOIN e ON p.target = e.source WHERE NOT list_contains(p.tables, e.target) AND p.hops < 3)
+        SELECT start, target, array_to_string(tables, '>') AS tables, round(cost, 9) AS cost, hops, CAST(row_number() OVER (PARTITION BY start, target ORDER BY round(cost, 9), tables) AS INT) AS place FROM p""",
     "mapping_load": """
         SELECT o_orderkey AS order_key, c_name AS customer_name, o_orderstatus AS order_status, o_totalprice AS total_price, n_name AS nation_name
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
@@ -420,7 +429,11 @@ SQL = {
         WITH c AS (SELECT o_orderpriority, o_orderstatus, o_totalprice > 100000 AS a, o_custkey % 2 = 0 AS b FROM orders)
         SELECT o_orderpriority, o_orderstatus, count(*) AS cases, round(avg(a::INT), 4) AS column_accuracy, round(avg(b::INT), 4) AS transform_accuracy, round(avg((a AND b)::INT), 4) AS joint_accuracy
         FROM c GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""",
-    "fuzzy_columns": "SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.5), (3, 0.375), (4, 0.0)) v(id, score)",
+    "fuzzy_columns": """
+        WITH n AS (SELECT l_orderkey AS id, concat('s', l_suppkey % 3, '.p', l_partkey % 4) AS c, l_quantity > 20 AS is_p, l_extendedprice < 40000 AS is_e FROM lineitem),
+        s AS (SELECT id, coalesce(list_sort(list(DISTINCT c) FILTER (is_p)), []) AS p, coalesce(list_sort(list(DISTINCT c) FILTER (is_e)), []) AS e FROM n GROUP BY id),
+        t AS (SELECT *, list_sort(list_transform(p, lambda x: split_part(x, '.', 1))) AS pt, list_sort(list_transform(e, lambda x: split_part(x, '.', 1))) AS et, len(list_intersect(p, e))::DOUBLE AS shared FROM s)
+        SELECT id, round(CASE WHEN p = e THEN 1.0::DOUBLE WHEN len(pt) > 0 AND pt = et THEN 0.5::DOUBLE ELSE (shared / greatest(len(p), 1) + shared / greatest(len(e), 1)) / 4 END, 6) AS score FROM t""",
     "monotonic": """
         WITH s AS (SELECT n_regionkey - lag(n_regionkey) OVER (ORDER BY n_nationkey) AS step FROM nation)
         SELECT round(greatest(count(*) FILTER (step >= 0), count(*) FILTER (step <= 0)) / count(step), 9) AS monotonic FROM s""",
