@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as t
 from ..functions import legacy
-from ..operators import candidates, execute, execution, joins, metrics, names, paths, profile, retrieval, synthesis, value_similarity
+from ..operators import candidates, execute, execution, joins, metrics, names, paths, profile, retrieval, semantics, synthesis, value_similarity
 from ..sources import catalog
 from ..sources.tables import table
 from ..streaming.profiles import event_profile
@@ -283,6 +284,28 @@ def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("lines"), F.count_if((F.size("reasons") == 0) & (F.col("record.n") == -1)).alias("defaulted"))
 
 
+def semantic_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector, drawn towards one of the concepts, as a target of its two successors.
+
+    The first vectors stand for the concepts' descriptions; each row's vector is drawn to the concept that its id names.
+    """
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    n = len(semantics.CONCEPTS)
+    seeds = retrieval.unit(rows.where(F.col("vec_id") < n), "v").collect()
+    concepts = {semantics.CONCEPTS[r.vec_id]: list(r.v) for r in seeds}
+    pull = F.try_element_at(F.from_json(F.lit(json.dumps([concepts.get(c, []) for c in semantics.CONCEPTS])), "array<array<double>>"), (F.col("vec_id") * (F.col("vec_id") + 3) % n + 1).cast("int"))
+    drawn = rows.withColumn("v", F.when(F.size(pull) > 0, F.zip_with("v", pull, lambda x, y: x + 1.5 * y)).otherwise(F.col("v")))
+    scored = semantics.concept_scores(retrieval.unit(drawn, "v"), concepts, "v")
+    scored = cut(scored, "concepts")
+    other = scored.select(F.explode(F.array(F.col("vec_id") - 1, F.col("vec_id") - 2)).alias("vec_id"), F.col("concepts").alias("sc"), F.col("v").alias("sv"))
+    met = scored.join(other, "vec_id").withColumn("similarity", semantics.dot(F.col("v"), F.col("sv")))
+    affinity = semantics.cross_type_affinity(F.col("concepts"), F.col("sc"), F.col("similarity"))
+    told = met.groupBy("vec_id").agg(F.max(affinity).alias("affinity"), F.collect_list(F.struct(F.col("sc").alias("concepts"), "similarity")).alias("sources"))
+    out = scored.join(told, "vec_id").withColumn("best", semantics.best_concepts(F.col("concepts"), 1)[0])
+    return out.select("vec_id", F.col("best.concept").alias("concept"), F.round("best.score", 6).alias("score"), F.array_join(semantics.target_roles(F.col("concepts")), ",").alias("roles"),
+                      F.round("affinity", 6).alias("affinity"), F.round(semantics.role_compatibility(F.col("concepts"), F.col("sources")), 6).alias("role_score"))
+
+
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' and customers' nations: in both, in either only, and all."""
     c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
@@ -310,7 +333,7 @@ SPARK = {
     "legacy_operators": legacy_operators, "synthetic_records": synthetic_records,
     "profile_columns": profile_columns, "most_common_values": most_common_values, "value_histogram": value_histogram, "shared_values": shared_values, "value_scores": value_scores,
     "name_scores": name_scores, "join_edges": join_edges, "composite_edges": composite_edges, "join_paths": join_paths, "declared_paths": declared_paths, "tuple_overlap": tuple_overlap, "mapping": mapping, "mapping_load": mapping_load, "execution_scores": execution_scores,
-    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "rejected_records": rejected_records, "segmented_names": segmented_names, "nearest_exact": nearest_exact, "nearest_indexed": nearest_indexed, "set_operations": set_operations, "flagship": flagship,
+    "star_load": star_load, "event_windows": event_windows, "recall_at_k": recall, "accuracy_rollup": accuracy, "fuzzy_columns": fuzzy, "monotonic": monotonic, "semantic_roles": semantic_roles, "rejected_records": rejected_records, "segmented_names": segmented_names, "nearest_exact": nearest_exact, "nearest_indexed": nearest_indexed, "set_operations": set_operations, "flagship": flagship,
 }
 
 
@@ -451,6 +474,7 @@ SQL = {
         t AS (SELECT CASE kind WHEN 1 THEN 'missing conv_id' WHEN 2 THEN 'invalid role: robot' WHEN 3 THEN 'missing role' WHEN 6 THEN 'malformed' WHEN 7 THEN 'malformed' WHEN 8 THEN 'malformed' ELSE 'valid' END AS reason, role, kind
               FROM c WHERE kind <> 9)
         SELECT reason, CASE WHEN reason = 'valid' THEN role END AS role, count(*) AS lines, count(*) FILTER (reason = 'valid' AND kind = 5) AS defaulted FROM t GROUP BY ALL""",
+    "semantic_roles": matcher_sql.semantic_roles(semantics.CONCEPTS),
     "set_operations": """
         SELECT 'both' AS part, * FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)
         UNION ALL SELECT 'customers', * FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)

@@ -271,3 +271,45 @@ def execution_scores(targets: tuple, singles: dict, several: dict, rows: int) ->
         SELECT {bag}, pn AS n,
                round(CASE WHEN is_number THEN 0.75::DOUBLE * coalesce(near, 0) + 0.25::DOUBLE * coalesce(exact, 0) ELSE 0.6::DOUBLE * coalesce(texts, 0) + 0.4::DOUBLE * coalesce(words, 0) END, 6) AS score
         FROM kinds LEFT JOIN near USING ({bag}) LEFT JOIN wide USING ({bag})"""
+
+
+def semantic_roles(concepts: tuple[str, ...]) -> str:
+    """Concept scores by list functions, a column for each concept, and the rules over them."""
+    n = len(concepts)
+    listed = ", ".join(f"({i}, '{c}')" for i, c in enumerate(concepts))
+    wide = ", ".join(f"max(score) FILTER (concept = '{c}') AS {c}" for c in concepts)
+    near = lambda share, t, s: f"CASE WHEN t.{t} > 0.38 AND s.{s} > 0.38 THEN {share}::DOUBLE * least(t.{t}, s.{s}) / 0.5 ELSE 0 END"
+    text = "greatest(s.text_description, s.email, s.file_resource)"
+    roles = ", ".join(f"CASE WHEN {c} > {x} THEN '{r}' END" for r, c, x in sorted([
+        ("amount_like", "monetary", 0.42), ("date_part_like", "date_extraction", 0.40), ("duration_like", "duration_span", 0.40), ("email_like", "email", 0.42), ("full_name_like", "full_name", 0.42),
+        ("identifier_like", "identifier", 0.42), ("username_like", "username", 0.42)]))
+    roles = roles.replace("CASE WHEN date_extraction", "CASE WHEN currency > 0.42 OR monetary > 0.45 AND exchange_rate > 0.30 THEN 'currency_like' END, CASE WHEN date_extraction")
+    return f"""
+        WITH names(i, concept) AS (VALUES {listed}),
+        rows AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        seeds AS (SELECT vec_id AS i, concept, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS c FROM rows JOIN names ON i = vec_id),
+        drawn AS (
+          SELECT vec_id, CASE WHEN c IS NULL THEN v ELSE list_transform(list_zip(v, c), lambda p: p[1] + 1.5::DOUBLE * p[2]) END AS v
+          FROM rows LEFT JOIN seeds ON i = vec_id * (vec_id + 3) % {n}),
+        units AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM drawn),
+        scores AS (SELECT vec_id, concept, list_dot_product(v, c) AS score FROM units, seeds),
+        best AS (SELECT vec_id, concept, score FROM scores QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, concept) = 1),
+        w AS (SELECT vec_id, {wide} FROM scores GROUP BY vec_id),
+        met AS (
+          SELECT t.vec_id, list_dot_product(a.v, b.v) AS similarity, s.monetary > 0.40 AS is_money, s.exchange_rate > 0.35 AS is_rate, s.name_component > 0.40 AS is_part, s.email > 0.40 AS is_email, s.date_temporal > 0.40 AS is_date,
+                 least(1, greatest(0, {near(0.35, 'date_extraction', 'date_temporal')}, {near(0.30, 'duration_span', 'date_temporal')}, {near(0.35, 'username', 'email')},
+                   CASE WHEN t.monetary > 0.38 AND s.exchange_rate > 0.35 THEN 0.30 ELSE 0 END, CASE WHEN t.full_name > 0.38 AND s.name_component > 0.38 THEN 0.30 ELSE 0 END,
+                   CASE WHEN t.parsing_extraction > 0.35 AND {text} > 0.35 THEN 0.20 ELSE 0 END,
+                   CASE WHEN list_dot_product(a.v, b.v) > 0.55 THEN 0.10::DOUBLE * list_dot_product(a.v, b.v) ELSE 0 END))::DOUBLE AS affinity
+          FROM w t JOIN w s ON s.vec_id IN (t.vec_id + 1, t.vec_id + 2) JOIN units a ON a.vec_id = t.vec_id JOIN units b ON b.vec_id = s.vec_id),
+        told AS (
+          SELECT vec_id, max(affinity) AS affinity, max(similarity) AS similarity, bool_or(is_money) AS money, bool_or(is_rate) AS rate, count(*) FILTER (is_part) AS parts, bool_or(is_email) AS mail, bool_or(is_date) AS day
+          FROM met GROUP BY vec_id),
+        summed AS (
+          SELECT *, CASE WHEN affinity > 0.1 THEN affinity ELSE 0 END + CASE WHEN (monetary > 0.40 OR currency > 0.40) AND money THEN 0.25 ELSE 0 END + CASE WHEN (monetary > 0.40 OR currency > 0.40) AND rate THEN 0.30 ELSE 0 END
+                 + CASE WHEN full_name > 0.40 OR concatenation > 0.35 THEN CASE WHEN parts >= 2 THEN 0.60 WHEN parts = 1 THEN 0.25 ELSE 0 END ELSE 0 END
+                 + CASE WHEN username > 0.40 AND mail THEN 0.50 ELSE 0 END + CASE WHEN (date_extraction > 0.40 OR duration_span > 0.40) AND day THEN 0.40 ELSE 0 END AS gain
+          FROM w JOIN told USING (vec_id))
+        SELECT vec_id, concept, round(score, 6) AS score, concat_ws(',', {roles}) AS roles, round(affinity, 6) AS affinity,
+               round(greatest(0, least(1, CASE WHEN gain < 0.1 THEN 0.20::DOUBLE * similarity ELSE gain END))::DOUBLE, 6) AS role_score
+        FROM summed JOIN best USING (vec_id)"""
