@@ -122,3 +122,16 @@ def test_stream_profile_equals_batch(spark):
     got = {(r.start, r.event_type): r.n for r in spark.table("profiled").collect()}
     want = {(r.start, r.event_type): r.n for r in event_profile(batch).collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_monotonic_over_parts_equals_one_pass(spark):
+    import random
+
+    rng = random.Random(4)
+    for n in (0, 3, 4, 5, 400):
+        values = [rng.randint(0, 9) if rng.random() < 0.9 else None for _ in range(n)]
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int").repartition(5)
+        kept = [v for v in values if v is not None]
+        steps = [b - a for a, b in zip(kept, kept[1:])]
+        want = max(sum(s >= 0 for s in steps), sum(s <= 0 for s in steps)) / len(steps) if len(kept) >= 5 else 0.0
+        assert profile.monotonic(df, "v", ["i"]).first()[0] == pytest.approx(want)

@@ -110,15 +110,21 @@ def profiles(counts: DataFrame) -> DataFrame:
     )
 
 
-def monotonic(df: DataFrame, column: str, order: list) -> DataFrame:
-    """Share of steps that go up or down, whichever is more, in an explicit order; 0 below five values.
+def monotonic(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Share of steps that go up or down, whichever is more, in the order of columns; 0 below five values.
 
-    The order is over the whole frame, so give it a frame of one column's sample.
+    Rows are partitioned by ranges of the order, so no task holds the frame: steps are taken within a part, and from the
+    last value of each part to the first of the next.
     """
     x = df.select(parse_number(F.col(column).cast("string")).alias("x"), *order).where("x is not null")
-    step = x.withColumn("step", F.col("x") - F.lag("x").over(Window.orderBy(*order)))
+    parts = cut(x.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    inner = parts.select((F.col("x") - F.lag("x").over(Window.partitionBy("part").orderBy(*order))).alias("step"))
+    ends = parts.groupBy("part").agg(F.min_by("x", F.struct(*order)).alias("first"), F.max_by("x", F.struct(*order)).alias("last"))
+    # one row a part
+    outer = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("part"))).alias("step"))
     up, down = (F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("step") >= 0, F.col("step") <= 0))
-    return step.agg(F.when(F.count("*") >= 5, F.greatest(up, down) / F.count("step")).otherwise(0.0).alias("monotonic"))
+    told = inner.union(outer.where("step is not null")).agg(F.count("step").alias("steps"), F.greatest(up, down).alias("one_way"))
+    return told.select(F.when(F.col("steps") >= 4, F.col("one_way") / F.col("steps")).otherwise(0.0).alias("monotonic"))
 
 
 def most_common(counts: DataFrame, k: int = MCV) -> DataFrame:

@@ -72,12 +72,12 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def most_common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = profile.most_common(_counts(spark, sf_dir), 10)
+    top = profile.most_common(cut(_counts(spark, sf_dir), "counts"), 10)
     return top.select("table", "column", "value", "n", F.round("frequency", 9).alias("frequency"), "place")
 
 
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.histogram(_counts(spark, sf_dir, {"orders": ["o_totalprice"]}))
+    return profile.histogram(cut(_counts(spark, sf_dir), "counts"))
 
 
 def shared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ def segmented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.monotonic(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey"]).withColumn("monotonic", F.round("monotonic", 9))
+    return profile.monotonic(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]).withColumn("monotonic", F.round("monotonic", 9))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -419,9 +419,11 @@ SQL = {
         SELECT "table", "column", value, n, round(n / sum(n) OVER (PARTITION BY "table", "column"), 9) AS frequency,
                CAST(row_number() OVER (PARTITION BY "table", "column" ORDER BY n DESC, value) AS INT) AS place
         FROM counts WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY n DESC, value) <= 10""",
-    "value_histogram": """
-        WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
-        SELECT 'orders' AS "table", 'o_totalprice' AS "column", CAST(least(floor((o_totalprice - lo) * 20 / (hi - lo)), 19) AS INT) AS bin, count(*) AS n FROM orders, e GROUP BY ALL""",
+    "value_histogram": f"""
+        WITH {_cells_sql()},
+        e AS (SELECT "table", "column", min(number) AS lo, max(number) AS hi FROM counts WHERE number IS NOT NULL GROUP BY ALL)
+        SELECT "table", "column", coalesce(CAST(least(floor((number - lo) * 20 / nullif(hi - lo, 0)), 19) AS INT), 0) AS bin, sum(n)::BIGINT AS n
+        FROM counts JOIN e USING ("table", "column") WHERE number IS NOT NULL GROUP BY ALL""",
     "shared_values": f"""
         WITH {_cells_sql()}, v AS (SELECT DISTINCT "table" AS t, "column" AS c, number FROM counts WHERE "column" IN ('c_nationkey', 'n_nationkey', 'o_custkey', 'c_custkey', 'n_regionkey', 'r_regionkey'))
         SELECT a.t AS lt, a.c AS lc, b.t AS rt, b.c AS rc, count(*) AS shared FROM v a JOIN v b ON a.number = b.number AND a.t < b.t GROUP BY ALL""",
@@ -458,7 +460,7 @@ SQL = {
         t AS (SELECT *, list_sort(list_transform(p, lambda x: split_part(x, '.', 1))) AS pt, list_sort(list_transform(e, lambda x: split_part(x, '.', 1))) AS et, len(list_intersect(p, e))::DOUBLE AS shared FROM s)
         SELECT id, round(CASE WHEN p = e THEN 1.0::DOUBLE WHEN len(pt) > 0 AND pt = et THEN 0.5::DOUBLE ELSE (shared / greatest(len(p), 1) + shared / greatest(len(e), 1)) / 4 END, 6) AS score FROM t""",
     "monotonic": """
-        WITH s AS (SELECT n_regionkey - lag(n_regionkey) OVER (ORDER BY n_nationkey) AS step FROM nation)
+        WITH s AS (SELECT l_extendedprice - lag(l_extendedprice) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS step FROM lineitem)
         SELECT round(greatest(count(*) FILTER (step >= 0), count(*) FILTER (step <= 0)) / count(step), 9) AS monotonic FROM s""",
     "nearest_exact": """
         WITH s AS (
