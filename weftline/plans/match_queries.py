@@ -94,8 +94,14 @@ def value_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*value_similarity.KEY, "value_score", "reason", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in matcher_sql.SIGNALS])
 
 
+# Columns whose values are names.
+NAMED = (("part", "p_name"), ("events", "event_type"))
+
+
 def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _catalog(spark, sf_dir).select("column")
+    """Column names, and the names that parts and events have in the data, each with each other."""
+    held = [table(spark, sf_dir, t).select(F.col(c).alias("column")) for t, c in NAMED]
+    c = cut(reduce(DataFrame.union, held, _catalog(spark, sf_dir).select("column")).where("column is not null").distinct(), "names")
     a, b = c.select(F.col("column").alias("a")), c.select(F.col("column").alias("b"))
     met = a.join(b, F.col("a") < F.col("b"))
     x, y = F.col("a"), F.col("b")
@@ -387,7 +393,7 @@ def _composite_sql() -> str:
 
 SQL = {
     "value_scores": matcher_sql.value_scores(_cells_sql()),
-    "name_scores": matcher_sql.name_scores([c for cs in WANTED.values() for c in cs]),
+    "name_scores": matcher_sql.name_scores([c for cs in WANTED.values() for c in cs], NAMED),
     "execution_scores": matcher_sql.execution_scores(EXECUTED, _SINGLES, _SEVERAL, SAMPLE),
     "join_edges": matcher_sql.join_edges(_cells_sql(), _CATALOG, f", {matcher_sql.composite_ctes(_CATALOG)} SELECT * FROM final UNION ALL SELECT * FROM composites"),
     "composite_edges": _composite_sql(),

@@ -79,7 +79,7 @@ def join_name(x: str, y: str) -> str:
         ELSE {shared} / (len({tokens[0]}) + len({tokens[1]}) - {shared})::DOUBLE END"""
 
 
-def name_scores(columns: list[str]) -> str:
+def name_scores(columns: list[str], held: tuple[tuple[str, str], ...] = ()) -> str:
     """All name scores of pairs of names that repeat no token, by joins of a table of tokens with tables of synonyms,
     abbreviations and conflicts."""
     synonyms = sorted({p for k, vs in names.SYNONYMS.items() for v in vs for p in ((k, v), (v, k))})
@@ -88,7 +88,7 @@ def name_scores(columns: list[str]) -> str:
         JOIN (SELECT name, count(*) AS n FROM {sets} GROUP BY name) nb ON nb.name = b LEFT JOIN (SELECT x.name AS a, y.name AS b, count(*) AS s FROM {sets} x JOIN {sets} y USING (t) GROUP BY ALL) USING (a, b)"""
     part = "(contains(replace(lower(a), '_', ''), replace(lower(b), '_', '')) OR contains(replace(lower(b), '_', ''), replace(lower(a), '_', '')))"
     return f"""
-        WITH cols(name) AS {_values((c,) for c in columns)}, syn(k, v) AS {_values(synonyms)}, abbr(k, v) AS {_values(sorted(names.ABBREVIATIONS.items()))},
+        WITH cols(name) AS (FROM {_values((c,) for c in columns)} {" ".join(f"UNION SELECT {c} FROM {t} WHERE {c} IS NOT NULL" for t, c in held)}), syn(k, v) AS {_values(synonyms)}, abbr(k, v) AS {_values(sorted(names.ABBREVIATIONS.items()))},
         opp(kind, x, y) AS {_values(opposites)}, units(u) AS {_values((u,) for u in names.UNITS)}, weights(kind, w) AS (VALUES {", ".join(f"('{k}', {w}::DOUBLE)" for k, w in names.PENALTIES.items())}),
         pairs AS (SELECT x.name AS a, y.name AS b FROM cols x JOIN cols y ON x.name < y.name),
         simple AS (SELECT DISTINCT name, t FROM (SELECT name, unnest(string_split_regex(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS t FROM cols) WHERE t <> ''),
