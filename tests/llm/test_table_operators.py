@@ -367,3 +367,12 @@ def test_whole_licences(spark):
     rows += [(200, texts[0][1] + " and one more word"), (201, texts[0][1][:-200])]
     got = {r.doc_id: r.text_license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {200: None, 201: None} | {k + i: name for i, (name, _) in enumerate(texts) for k in (0, 100)}
+
+
+def test_sharding_plans_stay_short(spark, monkeypatch):
+    """What a round makes is written: no plan holds the plans of the rounds before it."""
+    docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(400)], "doc_id long, text string")
+    plans, write = [], sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or write(df, *a))
+    assert sharding.shard_documents(docs, 4).count() == 400
+    assert plans and not any("InMemoryTableScan" in x for x in plans)

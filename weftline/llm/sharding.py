@@ -20,7 +20,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, held, stored
+from .common import discard, stored
 
 #: Rows of a cell of a rank, on average at most, in tables of more than CELLS cells of so many; the cells' counts are a small table.
 CELL_ROWS = 50_000
@@ -84,18 +84,24 @@ def label_propagation(rows: DataFrame, shards: int, rounds: int | None = None) -
     quota = _quota(total, shards)
     whole = max(1, quota[-1])
     salted = max(1, quota[-1] // PART_OF_SHARD)
-    sizes = held(rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"))
+    # tables are written, not held: the plan of a held table is a part of every later plan, and the driver describes each
+    # plan anew whenever a stage ends
+    sizes = stored(rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "hubs", total)
     cells = _cells(total)
     linked = _with_sizes(rows, sizes, salted)
-    linked = linked.withColumn("_part", F.lit(0)) if sizes.where(F.col("n") > whole).isEmpty() else _quota_parts(held(linked), whole, cells)
+    over = not sizes.where(F.col("n") > whole).isEmpty()
+    linked = stored(linked, "linked", total) if over else linked
+    parts = _quota_parts(linked, whole, cells) if over else linked.withColumn("_part", F.lit(0))
     salts = F.coalesce(F.ceil(F.col("n") / salted), F.lit(1)).cast("int")
-    state = linked.withColumns({"hub": F.when(F.col("n") > 1, F.xxhash64("hub")), "_salts": salts, "_salt": F.pmod(F.xxhash64("doc_id"), salts).cast("int")}).drop("n")
+    state = parts.withColumns({"hub": F.when(F.col("n") > 1, F.xxhash64("hub")), "_salts": salts, "_salt": F.pmod(F.xxhash64("doc_id"), salts).cast("int")}).drop("n")
     spread = F.coalesce(F.col("hub"), F.xxhash64("doc_id", F.lit("alone")))
     # a large hub has cells of its own, next to each other and before all others, so that its parts are granted whole;
     # there are few such hubs
     near = F.pmod(F.xxhash64("hub", F.lit("cell")), F.lit(1 << 20)) * (1 << 20) + F.col("_salt")
     state = state.withColumn("cell", F.when(F.col("_salts") > 1, near).otherwise((1 + F.pmod(F.xxhash64(spread), F.lit(cells))) * (1 << 42)))
-    state = held(state.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(shards)).cast("int")))
+    state = stored(state.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(shards)).cast("int")), "state", total)
+    for made in (sizes, linked):
+        discard(made)
     order = ["hub", "doc_id", *[c for c in state.columns if c not in ("hub", "doc_id", "cell", "shard")]]
     cut = None
     for number in itertools.count():
@@ -107,10 +113,10 @@ def label_propagation(rows: DataFrame, shards: int, rounds: int | None = None) -
         want = want.select("hub", "want", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_salt"))
         # rows without a hub stay out of the join: their key would be one
         moved = state.where("hub is not null").join(want, ["hub", "_salt"]).withColumn("want", F.pmod(F.col("want") + F.col("_part"), F.lit(shards)))
-        moved = held(moved.unionByName(state.where("hub is null").withColumn("want", F.lit(None).cast("int"))))
+        moved = stored(moved.unionByName(state.where("hub is null").withColumn("want", F.lit(None).cast("int"))), "moved", total)
         asking = ranked(moved.where("want is not null"), ["want"], order, "at")
         full = F.element_at(F.array(*map(F.lit, quota)), F.col("want") + 1)
-        placed = held(asking.withColumn("granted", F.col("at") < full).drop("at"))
+        placed = stored(asking.withColumn("granted", F.col("at") < full).drop("at"), "placed", total)
         taken = dict(placed.where("granted").groupBy("want").count().collect())  # a number for each shard
         free = [q - taken.get(s, 0) for s, q in enumerate(quota)]
         rest = placed.where("not granted").drop("granted").unionByName(moved.where("want is null"))
@@ -144,8 +150,11 @@ def shard_documents(docs: DataFrame, shards: int, text: str = "text", doc_id: st
         F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(whole) + 16).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole, F.octet_length(whole)).alias("hub"),
     )
-    rows = held(rows)
+    rows = stored(rows, "rows")
+    total = rows.count()
     state = label_propagation(rows, shards)
-    state = state.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(_cells(rows.count()))).cast("int"))
+    if total:
+        discard(rows)
+    state = state.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(_cells(total))).cast("int"))
     slots = ranked(state, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
