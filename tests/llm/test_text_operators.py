@@ -227,3 +227,13 @@ def test_toxicity_edges(spark, docs, nothing, clashing):
     assert toxicity.score(nothing, chain).count() == 0
     empty = toxicity.train(nothing, labels.limit(0))
     assert toxicity.score(docs, empty).count() == docs.count()
+
+
+def test_bpe_remembers_rare_chunks():
+    """Two hundred thousand other chunks between two of a kind do not make a worker forget the first."""
+    coder = bpe.WordBpe(queries.bpe_path())
+    text = " ".join(f"w{i}" for i in range(200_000))
+    first = coder.encode(text)
+    asked, chunk = [], coder._chunk
+    coder._chunk = lambda x: asked.append(x) or chunk(x)
+    assert coder.encode(text) == first and not asked

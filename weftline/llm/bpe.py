@@ -28,7 +28,8 @@ from .common import small_batches, unused
 #: Words of more symbols than this go to the heap.
 SHORT = 256
 #: Bytes of a worker's memory of encoded chunks, and what an entry takes beside its key and ids; when full it is emptied.
-MEMORY_BYTES = 16 << 20
+#: A worker's share of texts has some hundred thousand rare chunks between two of a kind, so a small memory forgets them.
+MEMORY_BYTES = 128 << 20
 ENTRY_BYTES = 140
 #: Chunks of more bytes than this are not remembered.
 REMEMBER_BYTES = 64
