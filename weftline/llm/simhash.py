@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, held, small_batches, unused
+from .common import components, discard, small_batches, stored, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -93,10 +93,13 @@ def near_pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
 
 def _rooted(prints: DataFrame, tau: int) -> DataFrame:
     """One row per fp of prints: fp, root (its component's key), component_id (the component's smallest doc_id)."""
-    classes = held(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    # written, not held: a held table's plan would be a part of every plan that the driver describes
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(near_pairs(classes.select("fp"), tau))
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = held(named)
+    named = stored(named, "named")
+    for made in (classes, roots):
+        discard(made)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return named.join(least, "root").select("fp", "root", "component_id")
 
@@ -104,7 +107,7 @@ def _rooted(prints: DataFrame, tau: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
     small_batches(docs.sparkSession)
-    prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")))
+    prints = stored(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")), "prints")
     return prints.join(_rooted(prints, tau).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -116,7 +119,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     small_batches(docs.sparkSession)
     own_key, keep, keep_key = unused(docs, "key", "keep", "keep_key")
     key = F.xxhash64(F.col(f"`{text}`"))
-    prints = held(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), fingerprints(F.col(f"`{text}`")).alias("fp")))
+    prints = stored(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), fingerprints(F.col(f"`{text}`")).alias("fp")), "prints")
     rooted = prints.join(_rooted(prints, tau).select("fp", "root"), "fp")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
     found = first.select(F.col("first.doc_id").alias(keep), F.col("first.key").alias(keep_key))
