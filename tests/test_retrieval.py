@@ -61,3 +61,14 @@ def test_index_reaches_its_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     found, exact = match_queries.nearest_indexed(spark, sf), match_queries.nearest_exact(spark, sf)
     assert retrieval.recall(found, exact) >= 0.95
+
+
+def test_search_multiplies_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [(i, "ab"[i % 2], rng.normal(size=4).round(1).tolist()) for i in range(120)]
+    queries = [(q, ["a", "b"], rng.normal(size=4).tolist()) for q in range(11)]
+    want = brute(queries, items, 7)
+    monkeypatch.setattr(retrieval, "STEP_ROWS", 3)
+    found = retrieval.search(spark.createDataFrame(queries, SCHEMA_Q), spark.createDataFrame(items, SCHEMA_I), 7)
+    got = {(r.query, r.bucket, r.id): r.similarity for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
