@@ -376,3 +376,21 @@ def test_sharding_plans_stay_short(spark, monkeypatch):
     monkeypatch.setattr(sharding, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or write(df, *a))
     assert sharding.shard_documents(docs, 4).count() == 400
     assert plans and not any("InMemoryTableScan" in x for x in plans)
+
+
+@pytest.mark.parametrize("pairs", [5_000_000, 3_000])
+def test_line_dedup_leaves_no_pair_of_a_large_bucket(spark, monkeypatch, pairs):
+    """Every shingle is in eight lines or more, and each line is like one other: rounds of pivots end at once, and all pairs
+    are found, in any number of passes."""
+    for name, value in (("WHOLE", 4), ("PIVOTS_LINK", 1), ("BUCKETS_LINK", 1), ("PASS_PAIRS", pairs)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = np.random.default_rng(8)
+    block = lambda n: "".join(rng.choice(list("etaoinshrdlu"), n))
+    heads, tails, middle = [block(14) for _ in range(8)], [block(14) for _ in range(8)], block(8)
+    twins = [tuple(a + middle + b + end for end in "01") for a in heads for b in tails]
+    nodes = spark.createDataFrame([(x,) for pair in twins for x in pair], "line string").withColumn("node", F.xxhash64("line"))
+    named = {r.node: r.line for r in nodes.collect()}
+    members = nodes.select(F.lit(1).cast("long").alias("key"), "node")
+    edges = line_dedup.stored(spark.createDataFrame([], "u long, v long"), "none")
+    found = line_dedup._exhausted(members, edges, nodes, 10)
+    assert {frozenset((named[r.u], named[r.v])) for r in found.collect()} == set(map(frozenset, twins))
