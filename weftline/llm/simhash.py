@@ -82,7 +82,8 @@ def near_pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
     flips = f"filter(transform(sequence(0, {width - 1}), b -> shiftleft(1L, {width} + b)), x -> (turned & x) != 0)"
     probe = ring.select("start", "fp", "turned", F.expr(key).alias("key"), F.explode(F.expr(f"concat(array(0L), {flips})")).alias("cleared"))
     probe = probe.select("start", (F.col("key").bitwiseXOR(F.col("cleared"))).alias("key"), F.col("fp").alias("u"), F.col("turned").alias("u_turned"), "cleared")
-    found = probe.join(index, ["start", "key"]).where("u != v and (cleared != 0 or u > v)")
+    # Spark sizes what explode makes like the rows before it, and would send all fingerprints, four times, through the driver
+    found = probe.join(index.hint("merge"), ["start", "key"]).where("u != v and (cleared != 0 or u > v)")
     differ = F.col("u_turned").bitwiseXOR(F.col("v_turned"))
     for chain in range(1, parts + 1):
         bits = width * chain
