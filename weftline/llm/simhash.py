@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, small_batches, stored, unused
+from .common import components, discard, small, small_batches, stored, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -102,7 +102,7 @@ def _rooted(prints: DataFrame, tau: int) -> DataFrame:
     for made in (classes, roots):
         discard(made)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    return small(named.join(small(least, named.count()), "root").select("fp", "root", "component_id"), named.count())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU) -> DataFrame:
