@@ -90,3 +90,28 @@ def test_three_pairs_need_alive_parts():
 def test_no_rows_and_no_pairs(spark, tables):
     assert edges(spark, {"plan": tables["plan"], "none": tables["visits"].limit(0)}) == set()
     assert edges(spark, {"plan": tables["plan"].select("goal"), "visits": tables["visits"].select("note")}) == set()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tuples_are_made_without_lambdas_and_counted_in_one_shuffle(spark, tables):
+    lists = [(0, ("region_no", "store_no"), 1.0), (1, ("region_no", "store_no", "day_no"), 1.0)]
+    assert "lambda" not in plan(joins.tuple_hashes(tables["plan"], lists))
+    sides = [joins.tuples(tables[t], [(n, list(columns)) for n, columns, _ in lists]) for t in ("plan", "visits")]
+    assert "lambda" not in plan(sides[0])
+    metrics = plan(joins.tuple_metrics(*sides))
+    assert "Join" not in metrics and metrics.count("Exchange hashpartitioning") == 2
+
+
+def test_unlike_tuples_have_unlike_keys(spark):
+    rows = [("a", "b:c", None), ("a:b", "c", "x"), ("1:a", "1:b", "x"), ("a", "1:b1:c", "x"), ("a1:b", "c", "x"), (" A ", "b:c", "y"), ("", "b", "y"), (None, "b", "y")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    combos = [(0, ["a", "b"]), (1, ["b", "a"]), (2, ["a", "b", "c"])]
+    got = {(r.combo, r.key): r.n for r in joins.tuple_counts(df, combos).collect()}
+    assert sorted((c, n) for (c, _), n in got.items()) == [(0, 1)] * 4 + [(0, 2)] + [(1, 1)] * 4 + [(1, 2)] + [(2, 1)] * 5
+    hashes = joins.tuple_hashes(df, [(n, tuple(columns), 1.0) for n, columns in combos]).distinct().groupBy("list").count().collect()
+    assert {r["list"]: r["count"] for r in hashes} == {0: 5, 1: 5, 2: 5}
+    m = joins.tuple_metrics(joins.tuple_counts(df, combos), joins.tuples(df.where("c = 'y'"), combos)).where("combo = 0").first()
+    assert (m.contain, m.jacc, m.freq, m.lu, m.ru) == (1.0, 1 / 5, 1 / 6, 5 / 6, 1.0)
